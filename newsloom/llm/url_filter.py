@@ -9,36 +9,37 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizer, Normalizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import table
 
-SLOTS, GRAMS, THRESHOLD = 1024, (3, 4, 5), 0.5
-
-#: The labelled URL table: hosts and paths of spam, pills, gambling, adult, piracy and scams, and of ordinary sites.
-BLOCKED_URLS = """
-http://cheap-pills.example/buy http://www.cheap-meds.example/order/now http://pills-online.example/viagra http://discount-pharmacy-rx.example/cialis
-http://spam-farm.example/page/1 http://link-farm.example/seo/backlinks http://article-spinner.example/auto http://free-backlinks.example/seo
-http://best-casino-bonus.example/slots http://online-poker-win.example/jackpot http://betting-tips-sure.example/win http://lucky-slots-casino.example/free-spins
-http://hot-xxx-videos.example/porn http://adult-cams-live.example/sex http://free-porn-tube.example/xxx http://nude-dating.example/singles
-http://free-movies-download.example/torrent http://cracked-software.example/keygen http://warez-serial.example/crack http://torrent-hub.example/download/free
-http://make-money-fast.example/rich http://work-from-home-cash.example/earn http://crypto-doubler.example/invest http://payday-loans-now.example/apply
-http://free-iphone-winner.example/claim http://win-gift-card.example/prize http://account-verify-login.example/password http://miracle-weight-loss.example/diet
-http://ads-server.example/track/click http://ad-tracker.example/pixel http://banner-ads.example/track http://adult-content.example/x
-http://free-bets-today.example/odds http://win-casino.example/bets http://replica-watches-sale.example/cheap http://cheap-designer-bags.example/discount http://essay-writing-cheap.example/order http://seo-spam-links.example/buy-links
+SLOTS, GRAMS, THRESHOLD, PENALTY = 1 << 15, (3, 4, 5), 0.5, 3e-6
+#: Of a row labelled as allowed: most urls are, and a url of unknown n-grams is taken for one.
+ALLOWED_WEIGHT = 5.0
+
+#: The labelled URL table: hosts of spam, pills, gambling, advertising, adult content, piracy and scams, and ordinary ones.
+BLOCKED_HOSTS = """
+cheap-meds.example.com www.discount-pills.example.net online-pills.example.org blog.pills-store.example.com pharmacy-cheap.example.net m.cheap-viagra.example.org
+spam-links.example.com www.link-farm.example.net spamfarms.example.org blog.web-spam.example.com m.content-farm.example.net seo-spam.example.org
+casino-bonus.example.com www.online-casino.example.net win-jackpot.example.org m.casino-slots.example.com poker-win.example.net blog.big-win.example.org
+sports-bets.example.com www.best-bets.example.net free-spins.example.org m.live-bets.example.com free-money.example.net betting-free.example.org
+ads-server.example.com www.ad-track.example.net tracking-pixel.example.org m.click-ads.example.com banner-ads.example.net blog.ads-network.example.org
+adult-cams.example.com www.xxx-adult.example.net adult-videos.example.org blog.porn-x.example.com m.sex-dating.example.net x-rated.example.org
+cracked-warez.example.com www.torrent-free.example.net keygen-crack.example.org replica-watches.example.com payday-loans.example.net get-rich-fast.example.org
 """.split()
-ALLOWED_URLS = """
-http://example.org/ http://www.example.com/en/ http://blog.example.net/2024/01/post http://news.example.org/world/article
-http://docs.example.com/guide/index.html http://en.encyclopedia.example/wiki/Mathematics http://university.example/research/papers http://library.example/catalogue/books
-http://m.weather.example/forecast/today http://www.museum.example/visit http://health.example.gov/advice http://parliament.example/debates/2023
-http://www.theatre.example/programme http://recipes.example/bread/rye http://gardening.example/roses.html http://www.anderson.example/about
-http://blog.henderson.example/en/12 http://thinking.example.com/en/345/ http://m.edison.example.net/de/67.html http://www.northern-times.example/local
-http://history.example.org/fr/89?page=2 http://physics.example.edu/lectures/3 http://rationale.example.com/es/12/ http://orchestra.example/concerts
-http://blog.interior.example.org/en/910 http://www.thornton.example.net/fr/11 http://city-council.example/minutes http://open-source.example/project/readme
-http://maps.example/route http://www.stationery.example/shop/pens http://astronomy.example/stars http://m.harbour.example.com/en/777?ref=x
+ALLOWED_HOSTS = """
+www.example.com example.org blog.example.net news.example.com docs.example.org m.weather.example.net university.example.com www.library.example.org
+blog.anderson.example.com thinking.example.net m.edison.example.org www.thornton.example.com henderson.example.net blog.interior.example.org
+orchestra.example.com www.rationale.example.net stationery.example.org m.harbour.example.com another.example.net blog.thesis.example.org
+astronomy.example.com www.garden.example.net theatre.example.org m.recipes.example.com physics.example.net blog.history.example.org
+council.example.com www.parliament.example.net open-source.example.org m.northern-times.example.com city-museum.example.net blog.maps.example.org
+www.thread.example.com ethernet.example.net weather.example.org blog.mother.example.com m.thirteen.example.net www.leather.example.org
+gathering.example.com blog.northwest.example.net heritage.example.org m.the-editor.example.com train-station.example.net www.tension.example.org
 """.split()
+PATHS = ("/", "/en/120", "/fr/345/", "/de/67.html", "/es/890", "/news/2024/01", "/en/431.html")
+BLOCKED_PATHS = ("/buy/cheap-pills", "/casino/free-spins", "/xxx/porn", "/viagra/order", "/bets/win")
 
 
 @dataclass(frozen=True)
@@ -84,29 +85,37 @@ def _slots(text: Column, offset: int) -> Column:
     return F.concat(*[grams(n) for n in GRAMS])
 
 
-def _mean(slots: Column, weights: Column) -> Column:
-    total = F.aggregate(slots, F.lit(0.0), lambda sum_, i: sum_ + F.get(weights, i))
-    return F.when(F.size(slots) > 0, total / F.size(slots)).otherwise(0.0)
+def _features(h: Column, p: Column) -> Column:
+    return F.concat(_slots(h, 0), _slots(p, SLOTS // 2))
 
 
-def fit_url_model(labelled: DataFrame) -> tuple[list[float], float]:
-    """Weights and intercept from a small table (url, label: 1 is blocked); features are each part's n-gram frequencies."""
-    both = labelled.select("label", _slots(host(F.col("url")), 0).alias("h"), _slots(path(F.col("url")), SLOTS // 2).alias("p"))
-    slot = F.sequence(F.lit(0), F.lit(SLOTS - 1))
-    share = lambda part: F.transform(slot, lambda i: F.size(F.filter(part, lambda x: x == i)) / F.greatest(F.size(part), F.lit(1)))
-    dense = F.zip_with(share("h"), share("p"), lambda a, b: (a + b) * 10)
-    rows = both.select(F.col("label").cast("double").alias("label"), array_to_vector(dense).alias("features")).coalesce(1)
-    model = LogisticRegression(regParam=0.003, standardization=False, maxIter=100).fit(rows)
-    return [10 * w for w in model.coefficients.tolist()], float(model.intercept)
+def fit_url_model(labelled: DataFrame) -> list[float]:
+    """Weights of all slots, from a small table (url, label: 1 is blocked); features are n-gram frequencies.
+
+    There is no intercept: unknown n-grams weigh nothing, so a url of such only is at 0.5 and allowed.
+    """
+    slots = F.transform(_features(host(F.col("url")), path(F.col("url"))), lambda i: i.cast("string"))
+    weight = F.when(F.col("label") == 1, 1.0).otherwise(ALLOWED_WEIGHT)
+    rows = labelled.select(F.col("label").cast("double").alias("label"), weight.alias("weight"), slots.alias("slots")).coalesce(1)
+    counts = CountVectorizer(inputCol="slots", outputCol="counts", vocabSize=SLOTS).fit(rows)
+    scaled = Normalizer(inputCol="counts", outputCol="features", p=1.0).transform(counts.transform(rows))
+    model = LogisticRegression(regParam=PENALTY, standardization=False, maxIter=100, weightCol="weight", fitIntercept=False).fit(scaled.cache())
+    scaled.unpersist()
+    weights = [0.0] * SLOTS
+    for slot, w in zip(counts.vocabulary, model.coefficients.toArray().tolist(), strict=True):
+        weights[int(slot)] = round(w, 6)
+    return weights
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The labelled URL table (url, label)."""
-    values = ", ".join(f"('{u}', {label})" for label, urls in ((1, BLOCKED_URLS), (0, ALLOWED_URLS)) for u in urls)
+    """The labelled URL table (url, label): each listed host with ordinary paths, and ordinary hosts with paths of blocked topics."""
+    urls = [(f"http://{h}{PATHS[(i + k) % len(PATHS)]}", label) for label, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS)) for i, h in enumerate(hosts) for k in (0, 3)]
+    urls += [(f"http://{h}{p}", 1) for h in ALLOWED_HOSTS[::8] for p in BLOCKED_PATHS]
+    values = ", ".join(f"('{u}', {label})" for u, label in urls)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(url, label)")
 
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], model: tuple[list[float], float], column: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], weights: list[float], column: str = "url") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (or null), ``score`` (probability of block) and ``verdict``.
 
     The longest rule that fits decides (of equal length: the first given); without one, the model does, at
@@ -119,14 +128,14 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], model: tuple[list[floa
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in reversed(ordered):
         rule, action = F.when(fits(r), r.name).otherwise(rule), F.when(fits(r), r.action).otherwise(action)
-    weights, intercept = model
-    array = F.from_json(F.lit(str(list(weights))), "array<double>")
-    margin = _mean(F.col("_hs"), array) + _mean(F.col("_ps"), array) + intercept
+    array = F.from_json(F.lit(str(weights)), "array<double>")
+    total = F.aggregate("_s", F.lit(0.0), lambda sum_, i: sum_ + F.get(array, i))
+    margin = F.when(F.size("_s") > 0, total / F.size("_s")).otherwise(0.0)
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "score", "verdict")]
     parts = pages.select(*kept, h.alias("_h"), p.alias("_p"))
-    slots = parts.select("*", _slots(F.col("_h"), 0).alias("_hs"), _slots(F.col("_p"), SLOTS // 2).alias("_ps"))
+    slots = parts.select("*", _features(F.col("_h"), F.col("_p")).alias("_s"))
     scored = slots.select(*kept, "_h", "_p", rule.alias("rule"), action.alias("_action"), (1 / (1 + F.exp(-margin))).alias("score"))
-    verdict = F.coalesce("_action", F.when(F.col("score") >= THRESHOLD, "block").otherwise("allow"))
+    verdict = F.coalesce("_action", F.when(F.col("score") > THRESHOLD, "block").otherwise("allow"))
     return scored.select(*kept, F.col("_h").alias("host"), F.col("_p").alias("path"), "rule", "score", verdict.alias("verdict"))
 
 
