@@ -6,11 +6,12 @@ from newsloom.llm.decontaminate import OP9_SQL, op9_decontamination
 from newsloom.llm.html_extract import op2_html_extract
 from newsloom.llm.language_id import op1_language_id
 from newsloom.llm.packing import op7_packing
+from newsloom.llm.quality_classifier import op10_quality_classifier
 from newsloom.llm.quality_rules import op8_quality_rules
 from newsloom.llm.sharding import OP5_SQL, op5_sharding
 from newsloom.llm.simhash_dedup import op3_simhash_dedup
 from newsloom.llm.token_counts import op6_token_counts
 from newsloom.llm.url_filter import op4_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_extract, op3_simhash_dedup, op4_url_filter, op5_sharding, op6_token_counts, op7_packing, op8_quality_rules, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_extract, op3_simhash_dedup, op4_url_filter, op5_sharding, op6_token_counts, op7_packing, op8_quality_rules, op9_decontamination, op10_quality_classifier)}
 ORACLES: dict[str, str] = {"op5_sharding": OP5_SQL, "op9_decontamination": OP9_SQL}
