@@ -1,8 +1,68 @@
-"""The training-data pipeline over ``documents``."""
+"""The training-data pipeline over ``documents``: classifier, quality rules, near-duplicates, decontamination, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. The filtering stages return
+the columns of ``documents`` unchanged; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsloom.llm.common import checkpointed, table
+from newsloom.llm.decontaminate import find_contamination
+from newsloom.llm.packing import pack
+from newsloom.llm.quality_classifier import fit_quality_classifier, score_quality
+from newsloom.llm.quality_rules import apply_rules
+from newsloom.llm.simhash_dedup import near_duplicates
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be of label 1, whatever their length."""
+    classifier = fit_quality_classifier(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, classifier).where("predicted = 1").select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the plain rules and their language's perplexity band."""
+    return apply_rules(docs).where("kept").select(*docs.columns)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the row of smallest doc_id, one of them if it is repeated."""
+    named = near_duplicates(docs.select("doc_id", "text"))
+    kept = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    return find_contamination(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, packed into sequences."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("simhash_dedup", simhash_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+#: Trained models, hashes and tokens can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each keeps is cut from its lineage before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = checkpointed(docs)
+    return docs
