@@ -1,4 +1,4 @@
-"""Queries over the driver tables, and their SQL."""
+"""All queries over the driver tables, and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from newsloom.plans import ingest_queries, text_queries  # noqa: F401
+from newsloom.plans.core import ORACLES, QUERIES  # noqa: F401
