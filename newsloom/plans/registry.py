@@ -1,4 +1,4 @@
 """All queries over the driver tables, and their SQL."""
 
-from newsloom.plans import ingest_queries, text_queries  # noqa: F401
+from newsloom.plans import article_queries, graph_queries, ingest_queries, rule_queries, search_queries, text_queries  # noqa: F401
 from newsloom.plans.core import ORACLES, QUERIES  # noqa: F401
