@@ -32,8 +32,7 @@ LARGE, GROUPS = 3, 48
 
 def id_transducer(path: str) -> Transducer:
     """Arcs are annotated with the token ids they emit, four bytes each, least significant first."""
-    own = tokenizer(path)
-    return Transducer(lambda runs: [b"".join(w.astype("<u4").tobytes() for w in words) for words in own.encode_runs(runs)], b"".join)
+    return Transducer(tokenizer(path).encode_runs, b"".join)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -15,7 +15,7 @@ from newsloom.llm.transducer import Transducer, tokenizer
 def counting_transducer(path: str) -> Transducer:
     """Arcs are annotated with the number of tokens they emit."""
     own = tokenizer(path)
-    return Transducer(lambda runs: [sum(map(len, words)) for words in own.encode_runs(runs)], sum)
+    return Transducer(lambda runs: [len(ids) // 4 for ids in own.encode_runs(runs)], sum)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, column: str = "text") -> DataFrame:

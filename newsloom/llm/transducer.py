@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
-from collections.abc import Callable, Collection, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, filterfalse
 from typing import Any
 
 import numpy as np
@@ -32,6 +34,19 @@ _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 _RUN = regex.compile(r"\P{White_Space}+")
 
 
+#: A stop or comma between a letter and white space is a word of its own.
+_STOP = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=\s)")
+
+
+def _is_latin(text: str) -> bool:
+    """Only characters up to U+00FF, which normal forms leave alone and which have plain lower cases."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in vocabulary files of byte-level tokenizers."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -46,10 +61,11 @@ class Arcs(dict):
         super().__init__()
         self.annotate, self.older = annotate, {}
 
-    def compile(self, runs: Collection[str]) -> None:
-        new = set(runs).difference(self)
+    def compile(self, texts: list[list[str]]) -> None:
+        """Makes sure of all runs of some texts."""
+        new = set(filterfalse(self.__contains__, chain.from_iterable(texts)))
         if len(self) + len(new) > ARCS:
-            self.older, new = dict(self), set(runs)
+            self.older, new = dict(self), set(chain.from_iterable(texts))
             self.clear()
         old = new.intersection(self.older)
         self.update((r, self.older[r]) for r in old)
@@ -137,22 +153,25 @@ class Tokenizer:
                     heapq.heappush(heap, (f, a))
         return [i for i in ids if i >= 0]
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """The tokens of each word; words of one length are merged together."""
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The token ids of each word, four bytes each, least significant first; words of one length are merged together."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         out: list[Any] = [None] * len(words)
         for n in np.unique(sizes).tolist():
             own = np.flatnonzero(sizes == n).tolist()
             if n > LONG:
                 for i in own:
-                    out[i] = np.array(self.encode_long(words[i]), np.uint32)
+                    out[i] = np.array(self.encode_long(words[i]), "<u4").tobytes()
                 continue
             raw = np.frombuffer(b"".join([words[i] for i in own]), np.uint8).reshape(-1, n)
             ids = self.inner_ids[raw]
             ids[:, -1] = self.final_ids[raw[:, -1]]
             ids, lengths = self._encode_equal(ids)
-            for i, row, k in zip(own, ids.astype(np.uint32), lengths.tolist(), strict=True):
-                out[i] = row[:k]
+            flat = ids[np.arange(n) < lengths[:, None]].astype("<u4").tobytes()
+            at = 0
+            for i, k in zip(own, (4 * lengths).tolist(), strict=True):
+                out[i] = flat[at : at + k]
+                at += k
         return out
 
     def words_of(self, run: str) -> list[bytes | int]:
@@ -173,13 +192,13 @@ class Tokenizer:
                 out += [w.encode() for w in self.split.findall(part)]
         return out
 
-    def encode_runs(self, runs: list[str]) -> list[list[np.ndarray]]:
-        """The tokens of each run's words."""
+    def encode_runs(self, runs: list[str]) -> list[bytes]:
+        """The token ids of each run, four bytes each."""
         split = [self.words_of(r) for r in runs]
-        words = list({w for ws in split for w in ws if isinstance(w, bytes)})
-        ids: dict[bytes | int, np.ndarray] = dict(zip(words, self.encode_words(words), strict=True))
-        ids |= {i: np.array([i], np.uint32) for i in self.special.values()}
-        return [[ids[w] for w in ws] for ws in split]
+        words = list({w for ws in split for w in ws if w.__class__ is bytes})
+        ids: dict[bytes | int, bytes] = dict(zip(words, self.encode_words(words), strict=True))
+        ids |= {i: i.to_bytes(4, "little") for i in self.special.values()}
+        return [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in split]
 
 
 @lru_cache(4)
@@ -207,14 +226,20 @@ class Transducer:
         self.empty = total(())
 
     def runs(self, text: str) -> list[str]:
+        """The runs of a whole text, with fewer spellings of a word where that is plain: in lower case and apart from a stop or comma."""
+        if "<|" not in text and (text.isascii() or _is_latin(text)):
+            text = _STOP.sub(r" \1", text.lower())
+        return self.raw_runs(text)
+
+    def raw_runs(self, text: str) -> list[str]:
         return _RUN.findall(text) if any(c in text for c in _NOT_SPACE) else text.split()
 
     def emit(self, runs: list[str]) -> Any:
-        self.arcs.compile(runs)
+        self.arcs.compile([runs])
         return self.total(map(self.arcs.__getitem__, runs))
 
     def map_of(self, chunk: str) -> StateMap:
-        runs = self.runs(chunk)
+        runs = self.raw_runs(chunk)
         space = lambda c: c.isspace() and c not in _NOT_SPACE
         if not runs:
             return StateMap("", self.empty, "") if chunk else StateMap("", self.empty, None)
@@ -255,7 +280,7 @@ class Transducer:
         yield from self._emitted(waiting)
 
     def _emitted(self, runs: list[list[str]]) -> Iterator[Any]:
-        self.arcs.compile(set().union(*runs))
+        self.arcs.compile(runs)
         get = self.arcs.__getitem__
         return (self.total(map(get, r)) for r in runs)
 
