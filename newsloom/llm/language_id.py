@@ -66,6 +66,7 @@ def ngram_slots(texts: list[bytes]) -> tuple[list[tuple[int, np.ndarray]], np.nd
 
 def _sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, 0, dtype=np.float64)])
+    first, last = np.minimum(first, len(values)), np.minimum(last, len(values))
     return total[np.maximum(last, first)] - total[first]
 
 
