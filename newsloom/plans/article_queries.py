@@ -7,7 +7,7 @@ from newsloom.operators.ingest import assign_stories
 from newsloom.operators.tables import apply_changes, last_by, upsert
 from newsloom.plans.core import query
 from newsloom.plans.fixtures import AS_OF
-from newsloom.plans.ingest_queries import NOW, STORIES, hashed
+from newsloom.plans.ingest_queries import now, STORIES, hashed
 
 #: Articles with their stories.
 ART = STORIES + ", art AS (SELECT a.*, s.story_id FROM f_articles a JOIN stories s ON s.id = a.id) "
@@ -68,7 +68,7 @@ _QUEUE = f"status <> 'archived' AND NOT classified AND {ANCHOR} AND fetched_at >
 
 @query("unclassified_queue", "f_articles", sql=ART + f"SELECT id FROM (SELECT id FROM art WHERE {_QUEUE} ORDER BY {ORDER} LIMIT 100)")
 def unclassified_queue(a):
-    return A.unclassified_queue(storied(a), NOW).select("id")
+    return A.unclassified_queue(storied(a), now()).select("id")
 
 
 @query("count_unclassified", "f_articles", sql=ART + f"SELECT count(*) AS n FROM art WHERE status <> 'archived' AND NOT classified AND {ANCHOR}")
@@ -78,13 +78,13 @@ def count_unclassified(a):
 
 @query("recent_articles", "f_articles", sql=f"SELECT id FROM (SELECT id FROM f_articles WHERE status <> 'archived' AND fetched_at >= {TIME} - interval 7 day ORDER BY {ORDER} LIMIT 500)")
 def recent_articles(a):
-    return A.recent_articles(a, NOW).select("id")
+    return A.recent_articles(a, now()).select("id")
 
 
 
 @query("kb_candidates", "f_articles", "f_notes", sql=ART + f"SELECT id FROM (SELECT id FROM art WHERE classified AND importance >= 2 AND status <> 'archived' AND fetched_at >= {TIME} - interval 30 day AND {ANCHOR} AND id NOT IN (SELECT id FROM f_notes WHERE category = 'tools') ORDER BY importance DESC, {ORDER} LIMIT 200)")
 def kb_candidates(a, n):
-    return A.kb_candidates(storied(a), n.where("category = 'tools'"), NOW).select("id")
+    return A.kb_candidates(storied(a), n.where("category = 'tools'"), now()).select("id")
 
 
 @query("inbox", "f_articles", "f_notes", sql=f"SELECT id FROM (SELECT id FROM f_articles WHERE status <> 'archived' AND id NOT IN (SELECT id FROM f_notes) ORDER BY {ORDER} LIMIT 100)")

@@ -9,7 +9,7 @@ from newsloom.operators.themes import cluster_themes, theme_summary
 from newsloom.plans.article_queries import ART, storied
 from newsloom.plans.core import query
 from newsloom.plans.fixtures import AS_OF
-from newsloom.plans.ingest_queries import NOW
+from newsloom.plans.ingest_queries import now
 from newsloom.plans.text_queries import SLUG
 
 ALIASES = "al AS (SELECT DISTINCT to_slug AS alias, concat('area-', len(to_slug) % 3) AS canonical FROM f_links WHERE starts_with(to_slug, 'facet-1'))"
@@ -91,7 +91,7 @@ def mentions_by_month(m):
 
 @query("mentions_since", "f_mentions", "f_notes", sql=f"SELECT concept_slug, note_id FROM f_mentions WHERE created_at >= timestamp '{AS_OF}' - interval 14 day")
 def mentions_since(m, n):
-    return G.mentions_since(m, n, NOW, 14, None).select("concept_slug", "note_id")
+    return G.mentions_since(m, n, now(), 14, None).select("concept_slug", "note_id")
 
 
 @query("incoming_links", "f_links", "f_notes", sql="SELECT l.to_slug AS slug, l.from_note, s.title FROM f_links l JOIN f_notes t ON t.slug = l.to_slug JOIN f_notes s ON s.id = l.from_note")
@@ -230,4 +230,4 @@ def summary(m, n):
 @query("daily_digest", "f_articles", sql=f"""WITH r AS (SELECT coalesce(nullif(category, ''), 'general') AS theme, id, row_number() OVER (PARTITION BY coalesce(nullif(category, ''), 'general') ORDER BY importance DESC, published DESC NULLS LAST, fetched_at DESC, id) AS pos
  FROM f_articles WHERE status <> 'archived' AND fetched_at >= timestamp '{AS_OF}' - interval 7 day) SELECT theme, array_to_string(list(id ORDER BY pos), ',') AS articles FROM r WHERE pos <= 5 GROUP BY theme""")
 def digest(a):
-    return daily_digest(a, NOW).select("theme", F.array_join(F.transform("articles", lambda x: x["id"].cast("string")), ",").alias("articles"))
+    return daily_digest(a, now()).select("theme", F.array_join(F.transform("articles", lambda x: x["id"].cast("string")), ",").alias("articles"))

@@ -8,7 +8,12 @@ from newsloom.plans.core import query
 from newsloom.plans.fixtures import AS_OF
 from newsloom.plans.text_queries import SIMHASH, TOKENS
 
-NOW = F.lit(AS_OF).cast("timestamp_ntz")
+
+
+def now():
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
 #: The canonical form of the article view's urls.
 URL = r"CASE WHEN url LIKE '%utm_source=rss&b=1' THEN replace(url, 'utm_source=rss&', '') ELSE regexp_replace(url, '/$|#top$', '') END"
 
@@ -74,7 +79,7 @@ def drop_unusable(a):
 
 @query("drop_stale", "f_articles", sql=f"SELECT id FROM f_articles WHERE published IS NULL OR published >= timestamp '{AS_OF}' - interval 14 day")
 def drop_stale(a):
-    return I.drop_stale(a, NOW, 14).select("id")
+    return I.drop_stale(a, now(), 14).select("id")
 
 
 @query("dedup_by_url", "f_articles", "pages", sql=f"SELECT min(id) AS id, u AS url FROM (SELECT id, regexp_replace({URL}, '/a/.*$', '') AS u FROM f_articles) WHERE u NOT IN (SELECT url FROM pages) GROUP BY u")
@@ -91,7 +96,7 @@ def dedup_by_url(a, pages):
 )
 def ingest_summary(a):
     known = a.select("url").where("url = ''")
-    return I.ingest_outcomes(a, known, I.assign_stories(hashed(a)), NOW, 14).groupBy("outcome").agg(F.count("*").alias("n"))
+    return I.ingest_outcomes(a, known, I.assign_stories(hashed(a)), now(), 14).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query("exists_simhash", "f_articles", sql=SIMHASH + ", k AS (SELECT DISTINCT s.h FROM sim s JOIN f_articles a ON a.id = s.id WHERE a.extracted) SELECT id FROM sim WHERE h IN (SELECT h FROM k)")

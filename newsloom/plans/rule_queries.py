@@ -6,7 +6,7 @@ from newsloom.operators import learn as L
 from newsloom.operators import rules as R
 from newsloom.plans.article_queries import ART, TIME, storied
 from newsloom.plans.core import query
-from newsloom.plans.ingest_queries import NOW
+from newsloom.plans.ingest_queries import now
 
 RULES = """ru AS (SELECT * FROM f_rules WHERE enabled),
 hit AS (SELECT a.id, r.id AS rule, r.archive, r.keep, r.boost, r.category AS rcat, r.importance AS rimp FROM f_articles a JOIN ru r ON regexp_matches(concat(a.title, chr(10), a.author, chr(10), a.url), concat('(?i)', r.query))),
@@ -132,12 +132,12 @@ sig AS (SELECT sg.*, coalesce(f.name, key) AS label, CASE WHEN samples < 5 THEN
 
 
 def _signals(a, e, s):
-    return L.signals(L.article_verdicts(a, e, NOW), s, min_samples=5)
+    return L.signals(L.article_verdicts(a, e, now()), s, min_samples=5)
 
 
 @query("article_verdicts", "f_articles", "f_article_events", sql=f"WITH {_VERDICTS} SELECT id, is_read, archived, starred FROM vr")
 def article_verdicts(a, e):
-    return L.article_verdicts(a, e, NOW).select("id", "is_read", "archived", "starred")
+    return L.article_verdicts(a, e, now()).select("id", "is_read", "archived", "starred")
 
 
 _LEARN = ("f_articles", "f_article_events", "f_sources")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from newsloom.operators.rules import valid_rules
 from newsloom.plans.core import ORACLES, QUERIES
 from newsloom.plans.fixtures import oracle, view
-from newsloom.plans.ingest_queries import _LOG, NOW
+from newsloom.plans.ingest_queries import _LOG, now
 from newsloom.plans.rule_queries import RULES
 from newsloom.streaming import streams as Z
 
@@ -19,7 +19,7 @@ def _landed(spark, sf_dir, name, *columns):
 
 
 def stream_items(spark, sf_dir):
-    return Z.run_available(Z.stream_items(_landed(spark, sf_dir, "f_articles", "id", "url", "published"), NOW, 14).select("id"))
+    return Z.run_available(Z.stream_items(_landed(spark, sf_dir, "f_articles", "id", "url", "published"), now(), 14).select("id"))
 
 
 def stream_dedup(spark, sf_dir):
