@@ -32,52 +32,64 @@ def dedup_by_url(items: DataFrame, known: DataFrame | None = None, arrival: str
     return out if known is None else out.join(known.select("url"), "url", "left_anti").select(*items.columns)
 
 
+def headline_classes(articles: DataFrame, shared: int = 4) -> DataFrame:
+    """(id, class, t): articles of enough headline tokens; those of equal token sets (t) are a class, named by its first article."""
+    own = articles.select("id", F.array_sort(F.array_distinct(title_tokens(F.col("title")))).alias("t")).where(F.size("t") >= shared)
+    return own.join(own.groupBy("t").agg(F.min("id").alias("class")), "t").select("id", "class", "t")
+
+
 def story_pairs(articles: DataFrame, shared: int = 4, similarity: float = 0.55) -> DataFrame:
-    """(later, earlier, score) of articles whose headlines tell the same story.
+    """(later, earlier, score) of headline classes that tell the same story; copies of a headline are in ``headline_classes``.
 
-    Pairs meet under each token that both have. A pair of enough similarity shares a token among the rarest of
-    either side, so only a prefix of each article's tokens, ordered by how rare they are, is joined; tokens of
-    every second headline are no meeting place. Equal token sets are one row until pairs are made.
+    Pairs meet under a token that both have. A pair of enough similarity shares one among the rarest of either
+    side, so only a prefix of each class's tokens, ordered by how rare they are, is joined.
     """
     own = articles.select("id", F.array_sort(F.array_distinct(title_tokens(F.col("title")))).alias("t")).where(F.size("t") >= shared)
-    sets = own.groupBy("t").agg(F.min("id").alias("set"))
-    words = sets.select("set", "t", F.explode("t").alias("w"))
+    sets = checkpointed(own.groupBy("t").agg(F.min("id").alias("set")))
+    words = sets.select("set", F.explode("t").alias("w"))
     frequency = words.groupBy("w").count()
     ranked = words.join(frequency, "w").groupBy("set").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "w"))), lambda x: x["w"]).alias("r"))
     # a partner shares at least similarity * |set| tokens, and at least ``shared``
     least = F.greatest(F.lit(shared), F.ceil(F.size("r") * similarity))
     prefix = ranked.select("set", F.explode(F.slice("r", F.lit(1), (F.size("r") - least + 1).cast("int"))).alias("w"))
-    met = prefix.alias("x").join(prefix.alias("y"), F.col("x.w") == F.col("y.w")).where("x.set < y.set").select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-    sides = met.join(sets.select(F.col("set").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("set").alias("b"), F.col("t").alias("tb")), "b")
+    met = prefix.alias("x").join(prefix.alias("y"), F.col("x.w") == F.col("y.w")).where("x.set > y.set").select(F.col("x.set").alias("later"), F.col("y.set").alias("earlier")).distinct()
+    sides = met.join(sets.select(F.col("set").alias("later"), F.col("t").alias("ta")), "later").join(sets.select(F.col("set").alias("earlier"), F.col("t").alias("tb")), "earlier")
     n = F.size(F.array_intersect("ta", "tb"))
     score = n / (F.size("ta") + F.size("tb") - n)
-    alike = sides.where((n >= shared) & versions_agree(F.col("ta"), F.col("tb")) & (score >= similarity)).select("a", "b", score.alias("score"))
-    equal = sets.select(F.col("set").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("score"))
-    both = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(equal)
-    member = own.join(sets, "t").select("id", "set")
-    left, right = member.select(F.col("id").alias("later"), F.col("set").alias("a")), member.select(F.col("id").alias("earlier"), F.col("set").alias("b"))
-    return both.join(left, "a").join(right, "b").where("later > earlier").select("later", "earlier", "score")
+    return sides.where((n >= shared) & versions_agree(F.col("ta"), F.col("tb")) & (score >= similarity)).select("later", "earlier", score.alias("score"))
+
+
+def simhash_classes(hashes: DataFrame) -> DataFrame:
+    """(simhash, first) of non-zero simhashes: the first article of each."""
+    return hashes.where("simhash <> 0").groupBy("simhash").agg(F.min("id").alias("first"))
 
 
 def near_duplicates(hashes: DataFrame, max_distance: int = HAMMING) -> DataFrame:
-    """(later, earlier, distance) of non-zero simhashes at most three bits apart: they agree in one of four bands."""
-    distinct = hashes.where("simhash <> 0").select("simhash").distinct()
-    bands = distinct.select("simhash", F.explode(F.array(*[F.struct(F.lit(k).alias("n"), F.shiftrightunsigned("simhash", 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("v")) for k in range(BANDS)])).alias("band"))
-    pairs = bands.alias("x").join(bands.alias("y"), F.col("x.band") == F.col("y.band")).where("x.simhash <> y.simhash").select(F.col("x.simhash").alias("a"), F.col("y.simhash").alias("b"))
-    near = pairs.withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= max_distance).distinct()
-    near = near.unionByName(distinct.select(F.col("simhash").alias("a"), F.col("simhash").alias("b"), F.lit(0).alias("distance")))
-    later, earlier = hashes.select(F.col("id").alias("later"), F.col("simhash").alias("a")), hashes.select(F.col("id").alias("earlier"), F.col("simhash").alias("b"))
-    return near.join(later, "a").join(earlier, "b").where("later > earlier").select("later", "earlier", "distance")
+    """(later, earlier, distance) of classes of equal simhash, by first article, at most three bits apart: they agree in one of four bands."""
+    classes = checkpointed(simhash_classes(hashes))
+    bands = classes.select("simhash", "first", F.explode(F.array(*[F.struct(F.lit(k).alias("n"), F.shiftrightunsigned("simhash", 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("v")) for k in range(BANDS)])).alias("band"))
+    pairs = bands.alias("x").join(bands.alias("y"), F.col("x.band") == F.col("y.band")).where("x.first > y.first")
+    near = pairs.select(F.col("x.first").alias("later"), F.col("y.first").alias("earlier"), hamming(F.col("x.simhash"), F.col("y.simhash")).alias("distance"))
+    return near.where(F.col("distance") <= max_distance).distinct()
 
 
 def story_parents(articles: DataFrame) -> DataFrame:
-    """(id, parent, by): the best earlier headline of the same story, else the earliest near-duplicate by simhash."""
+    """(id, parent, by): the best earlier headline of the same story, else the earliest near-duplicate by simhash.
+
+    An article that isn't the first of its headline class has that as its parent (nothing is more alike); a
+    first one has the best earlier class. Of near-duplicates the smallest first article of any near class counts.
+    """
+    classes = headline_classes(articles)
+    copies = classes.where(F.col("id") != F.col("class")).select("id", F.col("class").alias("parent"))
     best = Window.partitionBy("id").orderBy(F.desc("score"), "parent")
-    title = story_pairs(articles).select(F.col("later").alias("id"), F.col("earlier").alias("parent"), "score")
-    title = title.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("id", "parent")
-    # copies and neighbours: the smallest id of each simhash is enough for a smallest earlier one
-    near = near_duplicates(articles.select("id", "simhash")).groupBy(F.col("later").alias("id")).agg(F.min("earlier").alias("parent"))
-    return title.withColumn("by", F.lit("title")).unionByName(near.join(title, "id", "left_anti").withColumn("by", F.lit("simhash")))
+    firsts = story_pairs(articles).select(F.col("later").alias("id"), F.col("earlier").alias("parent"), "score").withColumn("_n", F.row_number().over(best)).where("_n = 1")
+    title = copies.unionByName(firsts.select("id", "parent"))
+    hashes = articles.select("id", "simhash")
+    near = near_duplicates(hashes)
+    around = near.select(F.col("later").alias("first"), F.col("earlier").alias("_o")).groupBy("first").agg(F.min("_o").alias("_least"))
+    own = simhash_classes(hashes).join(around, "first", "left").select("simhash", F.least("first", "_least").alias("parent"))
+    alike = hashes.join(own, "simhash").where("parent < id").select("id", "parent")
+    return title.withColumn("by", F.lit("title")).unionByName(alike.join(title, "id", "left_anti").withColumn("by", F.lit("simhash")))
 
 
 def assign_stories(articles: DataFrame) -> DataFrame:
@@ -85,7 +97,8 @@ def assign_stories(articles: DataFrame) -> DataFrame:
 
     A parent is always earlier, so chains end; each round doubles how far every article looks ahead.
     """
-    links = checkpointed(story_parents(articles).select("id", F.col("parent").alias("root")))
+    narrow = checkpointed(articles.select("id", "title", "simhash"))
+    links = checkpointed(story_parents(narrow).select("id", F.col("parent").alias("root")))
     while True:
         up = links.select(F.col("id").alias("root"), F.col("root").alias("above"))
         moved = links.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("_moved"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.simhash import article_simhash
 from newsloom.operators import ingest as I
+from newsloom.operators.tables import checkpointed
 from newsloom.plans.core import query
 from newsloom.plans.fixtures import AS_OF
 from newsloom.plans.text_queries import SIMHASH, TOKENS
@@ -39,12 +40,26 @@ stories AS (SELECT a.id, coalesce(r.root, CASE WHEN a.id IN (SELECT root FROM ro
 """
 
 
-@query("story_pairs", "f_articles", sql=f"WITH {PAIRS} SELECT later, earlier, round(score, 6) AS score FROM pairs")
+@query("headline_classes", "f_articles", sql=f"WITH tk AS (SELECT id, list_sort(list_distinct({TOKENS})) AS t FROM f_articles) SELECT id, min(id) OVER (PARTITION BY t) AS class FROM tk WHERE len(t) >= 4")
+def headline_classes(a):
+    return I.headline_classes(a).select("id", "class")
+
+
+_FIRST = "fc AS (SELECT min(id) AS f FROM tk GROUP BY list_sort(t))"
+
+
+@query("story_pairs", "f_articles", sql=f"WITH {PAIRS}, {_FIRST} SELECT later, earlier, round(score, 6) AS score FROM pairs WHERE later IN (SELECT f FROM fc) AND earlier IN (SELECT f FROM fc)")
 def story_pairs(a):
     return I.story_pairs(a).withColumn("score", F.round("score", 6))
 
 
-@query("near_duplicates", "f_articles", sql=f"WITH {NEAR} SELECT later, earlier, distance FROM near")
+@query("simhash_classes", "f_articles", sql=SIMHASH + "SELECT id, min(id) OVER (PARTITION BY h) AS class FROM sim WHERE h <> 0")
+def simhash_classes(a):
+    own = checkpointed(hashed(a).select("id", "simhash"))
+    return own.join(I.simhash_classes(own), "simhash").select("id", F.col("first").alias("class"))
+
+
+@query("near_duplicates", "f_articles", sql=f"WITH {NEAR}, fh AS (SELECT min(id) AS f FROM sim WHERE h <> 0 GROUP BY h) SELECT later, earlier, distance FROM near WHERE later IN (SELECT f FROM fh) AND earlier IN (SELECT f FROM fh)")
 def near_duplicates(a):
     return I.near_duplicates(hashed(a).select("id", "simhash"))
 
