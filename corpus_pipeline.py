@@ -19,15 +19,23 @@ from newsloom.llm.quality_classifier import fit_quality_classifier, score_qualit
 from newsloom.llm.quality_rules import apply_rules
 from newsloom.llm.simhash_dedup import near_duplicates
 
+def _filtered(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], keep: str, *own: str) -> DataFrame:
+    """Rows that ``judge`` marks to keep, as they came: columns of ``docs`` that are named like the judge's ``own`` step aside meanwhile."""
+    aside = {c: f"_in_{c}" for c in docs.columns if c.lower() in own}
+    judged = judge(docs.withColumnsRenamed(aside)).where(keep)
+    return judged.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of label 1, whatever their length."""
     classifier = fit_quality_classifier(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, classifier).where("predicted = 1").select(*docs.columns)
+    return _filtered(docs, lambda df: score_quality(df, classifier), "predicted = 1", "score", "predicted")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the plain rules and their language's perplexity band."""
-    return apply_rules(docs).where("kept").select(*docs.columns)
+    own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "base_failed", "kept")
+    return _filtered(docs, apply_rules, "kept", *own)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +47,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    return find_contamination(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*docs.columns)
+    own = ("n_words", "n_hit", "n_items", "items", "spans", "items_sha256", "contaminated")
+    return _filtered(docs, lambda df: find_contamination(df, table(spark, sf_dir, "benchmark")), "NOT contaminated", *own)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

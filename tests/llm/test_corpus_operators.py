@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -197,6 +198,16 @@ def test_pipeline_stages_filter_what_came_before(spark):
         assert kept.columns == docs.columns and 0.5 * docs.count() < kept.count() < docs.count()
 
 
+def test_stages_leave_columns_named_like_theirs_alone(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = docs.withColumns({c: F.concat(F.lit("own "), "doc_id") for c in ("score", "kept", "items", "component_id")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, extra, SF)
+        assert kept.columns == extra.columns, name
+        assert kept.where("score <> concat('own ', doc_id) OR kept <> score OR items <> score OR component_id <> score").isEmpty(), name
+    assert corpus_pipeline.STAGES[-1][1](spark, extra, SF).count() >= docs.count()
+
+
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and max(Counter(r["sequence_id"] for r in rows).values()) > 1
