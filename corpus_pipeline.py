@@ -39,10 +39,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the row of smallest doc_id, one of them if it is repeated."""
-    named = near_duplicates(docs.select("doc_id", "text"))
-    kept = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each near-duplicate group: that of smallest doc_id, nulls last, then by its text's MD5.
+
+    A row is known by doc_id and text together, so null and repeated ids name no other document. Rows equal in
+    both are copies, of which any one is left, whatever their other columns.
+    """
+    key = "_key"
+    while key in map(str.lower, docs.columns):
+        key = "_" + key
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", digest.alias("digest")))
+    named = near_duplicates(keyed.select(key, "text"), key=key)
+    kept = named.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    return keyed.dropDuplicates([key]).join(kept, key, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
