@@ -1,11 +1,13 @@
 """Quality rules: n-gram perplexity bands by language, beside plain rules on words.
 
-The language model is a character trigram model with modified Kneser-Ney smoothing for each language.
-Characters are folded to ``SYMBOLS`` classes, so a language has at most SYMBOLS ** 3 trigrams: Spark counts
-them over all documents, and what the driver collects and sends out is bounded whatever the input's size.
+The language model is a character trigram model with modified Kneser-Ney smoothing for each language that
+occurs, mixed with one over all languages that counts as ``PRIOR_TRIGRAMS`` trigrams. Characters are folded to
+``SYMBOLS`` classes, so a language has at most SYMBOLS ** 3 trigrams: Spark counts them over all documents, and
+what the driver collects and sends out grows with the number of languages, not with their texts.
 Each language's n-grams are stored as sorted arrays of hashes with their log probabilities (and back-off
 weights), which are looked up by binary search. A document is rejected if its log perplexity is outside
-its language's band, which is set from the quartiles over all documents of that language.
+its language's band, which is set from the quartiles over all documents of that language, drawn towards those
+of all languages as if by ``PRIOR_MIDDLE`` and ``PRIOR_SPREAD`` documents: the fewer a language has, the more.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ from pyspark.sql import types as T
 from newsloom.llm.common import checkpointed, joined, slices, table, text_bytes, with_arrow_columns
 
 SYMBOLS = 64
-#: Languages with a model of their own; any other, and null, share one named "other".
-LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl")
+#: The language that a null one counts as.
 OTHER = "other"
-#: Band: lower quartile minus, upper quartile plus so many interquartile ranges; languages with fewer documents have no band.
-LOWER, UPPER, LEAST_DOCS = 4.0, 5.0, 50
+#: Band: lower quartile minus, upper quartile plus so many interquartile ranges.
+LOWER, UPPER = 4.0, 5.0
+#: What all languages weigh beside a language's own documents (for its band's middle and its spread) and trigrams.
+PRIOR_MIDDLE, PRIOR_SPREAD, PRIOR_TRIGRAMS = 5, 50, 20_000
+#: Languages whose counts a task holds before it hands them on.
+HELD = 16
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -74,18 +79,24 @@ def trigram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def count_trigrams(docs: DataFrame, lang: Column) -> DataFrame:
     """(lang, code, n) over all texts: partition by partition, then summed by Spark."""
 
+    def summed(counts):
+        for name, total in counts.items():
+            codes = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int32)), pa.array(total[codes])], ["lang", "code", "n"])
+        counts.clear()
+
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = text_bytes(batch, "text"), batch.column("lang").to_pylist()
             for name in sorted(set(langs)):
+                if name not in counts and len(counts) == HELD:
+                    yield from summed(counts)
                 total = counts.setdefault(name, np.zeros(SYMBOLS**3, np.int64))
                 for _, some in slices([t for t, x in zip(texts, langs, strict=True) if x == name]):
                     code, starts, _ = trigram_codes(some)
                     total += np.bincount(code[starts[0] :], minlength=SYMBOLS**3)
-        for name, total in counts.items():
-            codes = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int32)), pa.array(total[codes])], ["lang", "code", "n"])
+        yield from summed(counts)
 
     own = docs.where(F.col("text").isNotNull()).select("text", lang.alias("lang"))
     return own.mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -166,10 +177,14 @@ class TrigramModel:
 
 @dataclass
 class QualityModel:
-    """A trigram model for each language and, once set, its band of log perplexity."""
+    """A trigram model for each language with its weight beside the model of all languages."""
+
+    models: dict[str, tuple[TrigramModel, float]]
+    pooled: TrigramModel | None
 
-    models: dict[str, TrigramModel]
-    bands: dict[str, tuple[float, float]]
+    def _log_probability(self, name: str, codes: np.ndarray) -> np.ndarray:
+        model, weight = self.models[name]
+        return np.logaddexp(np.log(weight) + model.log_probability(codes), np.log1p(-weight) + self.pooled.log_probability(codes))
 
     def log_perplexity(self, texts: list[bytes], langs: list[str]) -> np.ndarray:
         """Mean negative log probability a byte; NaN for an empty text."""
@@ -182,14 +197,14 @@ class QualityModel:
                 there = np.zeros(SYMBOLS**3, bool)
                 there[code] = True
                 met = np.flatnonzero(there)
-                table_[met] = self.models[name].log_probability(met)
+                table_[met] = self._log_probability(name, met)
                 total = np.concatenate([[0.0], np.cumsum(table_[code], dtype=np.float64)])
                 out[own[first : first + len(some)]] = (total[starts] - total[ends]) / (ends - starts)
         return out
 
 
 def language_of(lang: Column) -> Column:
-    return F.when(lang.isin(*LANGUAGES), lang).otherwise(OTHER)
+    return F.coalesce(lang, F.lit(OTHER))
 
 
 def word_statistics(text: bytes) -> tuple[int, int, int, int, int]:
@@ -234,7 +249,7 @@ def measure(docs: DataFrame, model: QualityModel) -> DataFrame:
 
         def compute(batch: pa.RecordBatch) -> list:
             texts = text_bytes(batch, "text")
-            langs = [x if x in LANGUAGES else OTHER for x in batch.column("lang").to_pylist()]
+            langs = [OTHER if x is None else x for x in batch.column("lang").to_pylist()]
             values = own.log_perplexity(texts, langs)
             return [pa.array(c, pa.int64()) for c in zip(*map(word_statistics, texts), strict=True)] + [pa.array(values, mask=np.isnan(values))]
 
@@ -244,10 +259,22 @@ def measure(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def fit_language_models(docs: DataFrame) -> QualityModel:
-    """Trigram models of all languages, from the counts of all texts."""
-    rows = count_trigrams(docs, language_of(F.col("lang"))).toArrow()  # at most SYMBOLS ** 3 for each of LANGUAGES and OTHER
-    langs, codes, n = rows["lang"].to_numpy(), rows["code"].to_numpy(), rows["n"].to_numpy()
-    return QualityModel({name: TrigramModel(codes[langs == name], n[langs == name]) for name in sorted(set(langs))}, {})
+    """Trigram models of all languages that occur, from the counts of all texts."""
+    rows = count_trigrams(docs, language_of(F.col("lang"))).toArrow()  # at most SYMBOLS ** 3 a language
+    if not rows.num_rows:
+        return QualityModel({}, None)
+    langs = rows["lang"].combine_chunks().dictionary_encode()
+    names, which = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+    codes, n = rows["code"].to_numpy(), rows["n"].to_numpy()
+    every = np.zeros(SYMBOLS**3, np.int64)
+    np.add.at(every, codes, n)
+    at = np.argsort(which, kind="stable")
+    models = {}
+    for name, own in zip(names, np.split(at, np.cumsum(np.bincount(which))[:-1]), strict=True):
+        total = int(n[own].sum())
+        models[name] = TrigramModel(codes[own], n[own]), total / (total + PRIOR_TRIGRAMS)
+    seen = np.flatnonzero(every)
+    return QualityModel(models, TrigramModel(seen, every[seen]))
 
 
 def base_failed() -> Column:
@@ -255,25 +282,39 @@ def base_failed() -> Column:
 
 
 def fit_bands(measured: DataFrame) -> dict[str, tuple[float, float]]:
-    """Bands by language from the quartiles of log perplexity over all documents that pass the plain rules."""
+    """Bands by language from the quartiles of log perplexity over all documents that pass the plain rules.
+
+    The middle and the spread of a language's quartiles are averaged with the means of all languages, by its
+    number of documents beside ``PRIOR_MIDDLE`` and ``PRIOR_SPREAD``.
+    """
     q = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10000)
-    rows = measured.where(~base_failed()).groupBy(language_of(F.col("lang")).alias("lang")).agg(q.alias("q"), F.count("log_perplexity").alias("n")).collect()
-    return {r["lang"]: (r["q"][0] - LOWER * max(r["q"][1] - r["q"][0], 0.01), r["q"][1] + UPPER * max(r["q"][1] - r["q"][0], 0.01)) for r in rows if r["n"] >= LEAST_DOCS}
+    passed = measured.where(~base_failed() & F.col("log_perplexity").isNotNull())
+    rows = passed.groupBy(language_of(F.col("lang")).alias("lang")).agg(q.alias("q"), F.count("*").alias("n")).collect()
+    if not rows:
+        return {}
+    quartiles, n = np.array([r["q"] for r in rows]), np.array([[r["n"]] for r in rows])
+    own = np.stack([quartiles.mean(1), quartiles[:, 1] - quartiles[:, 0]], 1)
+    prior, pooled = np.array([PRIOR_MIDDLE, PRIOR_SPREAD]), (n * own).sum(0) / n.sum()
+    middle, spread = ((n * own + prior * pooled) / (n + prior)).T
+    spread = np.maximum(spread, 0.01)
+    low, high = middle - (LOWER + 0.5) * spread, middle + (UPPER + 0.5) * spread
+    return {r["lang"]: (float(a), float(b)) for r, a, b in zip(rows, low, high, strict=True)}
 
 
 def verdict(bands: dict[str, tuple[float, float]]) -> Column:
-    """Whether a measured document is kept: not failed by the plain rules, and inside its language's band where there is one."""
-    lang, inside = language_of(F.col("lang")), F.lit(True)
-    for name, (low, high) in bands.items():
-        inside = F.when(lang == name, F.coalesce(F.col("log_perplexity").between(low, high), F.lit(False))).otherwise(inside)
-    return ~base_failed() & inside
+    """Whether a measured document is kept: not failed by the plain rules, and inside its language's band."""
+    if not bands:
+        return F.lit(False)  # no document passes the plain rules
+    band = F.create_map(*[x for name, (low, high) in bands.items() for x in (F.lit(name), F.array(F.lit(low), F.lit(high)))])
+    own = F.try_element_at(band, language_of(F.col("lang")))
+    return ~base_failed() & F.coalesce(F.col("log_perplexity").between(own[0], own[1]), F.lit(False))
 
 
 def apply_rules(docs: DataFrame, narrow: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` with word statistics, ``log_perplexity``, ``base_failed`` and ``kept``; with ``narrow``, only those of its own columns.
 
-    Null and empty texts have no words: they fail the plain rules, and their log perplexity is null. A null or
-    unlisted language shares the model and band of the others. Copies and ties get equal verdicts; columns of
+    Null and empty texts have no words: they fail the plain rules, and their log perplexity is null. Null languages
+    share the model and band of one named ``OTHER``. Copies and ties get equal verdicts; columns of
     the same names are replaced; empty tables give empty results.
     """
     model = fit_language_models(docs)
