@@ -76,15 +76,18 @@ def joined(texts: list[bytes], separator: bytes = b" ") -> tuple[np.ndarray, np.
     return data, np.concatenate([[1], ends[:-1] + 1]), ends
 
 
-def bounded_sample(df: DataFrame, label: str, content: str, per_label: int, labels: int) -> DataFrame:
-    """Distinct rows of the ``labels`` most frequent non-null labels, about ``per_label`` of each.
+def bounded_sample(df: DataFrame, label: str, content: str, per_label: int, labels: int, least: int = 50) -> DataFrame:
+    """Distinct rows of every non-null label, about ``per_label`` of each.
 
-    A row is in by a hash of ``content``, so copies of a text are in or out together and count once. Labels
-    with fewer rows are whole.
+    Of more than ``labels`` labels each has an equal share of ``labels`` times ``per_label`` rows, but not under
+    ``least``. Rates come from the numbers of distinct rows, and a row is in by a hash of ``content``, so copies
+    of a text are in or out together and count once. Labels with fewer distinct rows are whole.
     """
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()
-    rate = F.lit(0.0)
-    for row in counts:
-        rate = F.when(F.col(label) == row[label], min(1.0, per_label / row["count"])).otherwise(rate)
+    known = df.where(F.col(label).isNotNull()).withColumn("_copy", F.xxhash64(content))
+    counts = known.select(label, "_copy").distinct().groupBy(label).count().collect()
+    share = per_label if len(counts) <= labels else min(per_label, max(least, per_label * labels // len(counts)))
+    schema = T.StructType([df.schema[label], T.StructField("_rate", T.DoubleType())])
+    rates = df.sparkSession.createDataFrame([(r[label], min(1.0, share / r["count"])) for r in counts], schema)
     draw = F.pmod(F.xxhash64(content, F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    return df.where(F.col(label).isNotNull() & (draw < rate)).withColumn("_copy", F.xxhash64(content)).dropDuplicates([label, "_copy"]).drop("_copy")
+    drawn = known.join(F.broadcast(rates), label).where(draw < F.col("_rate"))
+    return drawn.dropDuplicates([label, "_copy"]).select(*df.columns)

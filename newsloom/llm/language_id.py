@@ -189,14 +189,15 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageModel:
     return LanguageModel(families, members, pairs, weights, slopes)
 
 
-def fit_language_model(docs: DataFrame, per_language: int = 800, max_languages: int = 64) -> LanguageModel:
+def fit_language_model(docs: DataFrame, per_language: int = 800, full_languages: int = 64) -> LanguageModel:
     """Learns from text and non-null ``lang`` of documents outside the held-out fold.
 
-    Takes about ``per_language`` distinct whole texts of each of the ``max_languages`` most frequent
-    languages: a bounded sample, of which only n-gram counts reach the driver. No labelled text: ValueError.
+    Takes about ``per_language`` distinct whole texts of every language; of more than ``full_languages``
+    languages, equal shares of as many texts as those would give, but at least 50 each. Only their n-gram counts
+    reach the driver. No labelled text: ValueError.
     """
     own = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("lang", "text")
-    sample = bounded_sample(own, "lang", "text", per_language, max_languages)
+    sample = bounded_sample(own, "lang", "text", per_language, full_languages)
 
     def make():
         def compute(batch: pa.RecordBatch) -> list:

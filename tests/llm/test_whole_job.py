@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from newsloom.llm import quality_rules
+from newsloom.llm.common import bounded_sample
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +36,10 @@ def test_small_and_unlisted_languages_have_models_and_bands(spark):
     assert [(k, got[k]["log_perplexity"]) for k in (100, 101, 102) if got[k]["base_failed"] or got[k]["kept"]] == []
     passed = [r["kept"] for k, r in got.items() if 60 <= k < 100 and not r["base_failed"]]
     assert len(passed) > 10 and sum(passed) >= 0.8 * len(passed)
+
+
+def test_samples_count_distinct_texts_of_every_label(spark):
+    rows = [("hot", "copy")] * 20_000 + [("hot", prose(k, 4)) for k in range(50)] + [(f"l{k}", f"text {k}") for k in range(80)] + [(None, "no label")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    got = [(r["lang"], r["text"]) for r in bounded_sample(df, "lang", "text", 800, 64).collect()]
+    assert sorted(got) == sorted({r for r in rows if r[0]})
