@@ -23,27 +23,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import checkpointed, table
-from newsloom.llm.transducer import Transducer, tokenizer
+from newsloom.llm.transducer import Transducer, transducer
 
 CAPACITY, END_ID = 4096, 1
 #: Lengths over CAPACITY // LARGE are large; they form GROUPS groups.
 LARGE, GROUPS = 3, 48
 
 
-def id_transducer(path: str) -> Transducer:
-    """Arcs are annotated with the token ids they emit, four bytes each, least significant first."""
-    return Transducer(tokenizer(path).encode_runs, b"".join)
-
-
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, and its place among pieces of its length in its partition (part, seq)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = id_transducer(path), np.array([END_ID], "<u4").tobytes()
+        own, end = transducer(path), np.array([END_ID], "<u4").tobytes()
         seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             row, piece, crc, length = [], [], [], []
-            for i, ids in enumerate(own.read_all(batch.column("text").to_pylist())):
+            for i, ids in token_ids(own, batch.column("text").to_pylist()):
                 whole = memoryview(ids + end)
                 for k, at in enumerate(range(0, len(whole), 4 * capacity)):
                     some = whole[at : at + 4 * capacity]
@@ -65,6 +60,22 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, piece int, start long, length long, ids_crc32 long, part long, seq long")
 
 
+def token_ids(own: Transducer, texts: list[str | None]) -> Iterator[tuple[int, bytes]]:
+    """(index, ids as unsigned 32-bit numbers, least significant byte first) of each text."""
+    waiting: list[bytes] = []
+    index = 0
+    for first, ends, outputs in own.read(texts):
+        ids = own.tokens(outputs).tobytes()
+        bounds = (4 * np.concatenate([[0], np.cumsum(own.counts(outputs))])[ends]).tolist()
+        for i, (a, b) in enumerate(zip([0, *bounds], bounds), first):
+            if i > index:
+                yield index, b"".join(waiting)
+                waiting, index = [], i
+            waiting.append(ids[a:b])
+    if texts:
+        yield index, b"".join(waiting)
+
+
 @dataclass
 class Plan:
     """Runs of places: ``count`` pieces of ``length`` from rank ``rank`` on; ``per_bin`` of them side by side from ``offset`` in bins from ``bin`` on."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,29 +10,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.llm.common import table, with_arrow_columns
-from newsloom.llm.transducer import Transducer, tokenizer
-
-
-def counting_transducer(path: str) -> Transducer:
-    """Arcs are annotated with the number of tokens they emit."""
-    own = tokenizer(path)
-    return Transducer(lambda runs: [len(ids) // 4 for ids in own.encode_runs(runs)], sum)
+from newsloom.llm.transducer import transducer
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, column: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens`` and ``over_limit`` (more than ``limit``), as the tokenizer of the file at ``path`` counts.
 
     Strings of special tokens inside a text count as one token; none is added. Null and empty texts: 0.
-    Texts of any length are read whole, in chunks whose state maps are composed. Columns of the same names
-    are replaced; each row is read alone.
+    The texts of a batch are one stream, whose chunks are read side by side and composed; a text of any length is
+    part of it. Columns of the same names are replaced; an empty table gives an empty result.
     """
 
     def make():
-        own = counting_transducer(path)
+        own = transducer(path)
 
         def compute(batch: pa.RecordBatch) -> list:
-            counts = list(own.read_all(batch.column(column).to_pylist()))
-            return [pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
+            counts = np.zeros(batch.num_rows, np.int64)
+            for first, ends, outputs in own.read(batch.column(column).to_pylist()):
+                total = np.concatenate([[0], np.cumsum(own.counts(outputs))])
+                counts[first : first + len(ends)] += np.diff(total[ends], prepend=0)
+            return [counts, counts > limit]
 
         return compute
 

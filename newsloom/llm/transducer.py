@@ -1,50 +1,51 @@
-"""Byte-pair-encoding tokenizers compiled to transducers.
-
-The tokenizer of a vocabulary file (tokenizers JSON: NFC, white space to one space, lower case; words split
-by a pattern; BPE with word ends) never lets a token reach across white space. Its transducer therefore reads
-a run of other characters from the start state, stays in the state that stands for the run so far, and at the
-white space after it goes back to the start state by an arc that is annotated with the run's tokens. Arcs are
-compiled from the merge table when a run is first met and kept; paths inside a run are compressed to one arc.
-
-Over a chunk of text the transducer is a map from the state before it to the state after it and the tokens
-emitted: only the run that is open at its start and the run that is open at its end aren't settled. Such maps
-compose associatively, so chunks are mapped apart and composed by a parallel prefix scan.
+"""A byte-pair-encoding tokenizer compiled to a deterministic finite-state transducer over bytes.
+
+The vocabulary file (tokenizers JSON: NFC, white space, lower case; words split by a fixed pattern; BPE with
+word ends) is a function of normalised bytes. A state says all that later bytes can ask of those before:
+
+- which kind of word is open, and bytes of it that are held back (its last byte, whose symbol depends on
+  whether the word ends there; parts of a character or of a contraction);
+- its ``Window``: the last token of the encoding at each place where a token that is still open may start, and
+  the tokens up to there that aren't certain yet. A sequence of tokens is the encoding of its bytes if each
+  pair of neighbours is, so a place's last token is found from the places before it, and places further
+  back than the longest open token matter no more.
+
+Each transition is annotated with the tokens that became certain with its byte. There are finitely many states;
+they and their transitions are compiled from the merge table when first met, into two-level arrays that are
+kept for the life of the worker process.
+
+A stream of texts is cut into chunks of ``CHUNK`` bytes, whatever the texts' lengths. All chunks are
+read in step, from the start state. What a chunk does to an unknown state before it is its state map: behind
+its first white space or end of text it always ends in one state, and the bytes up to there (its head) are
+read from the state before. Such maps compose associatively; a parallel prefix scan over them gives the state
+before every chunk, and the heads are read again from there.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
-import re
 import unicodedata
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse
-from typing import Any
+from itertools import takewhile
+from typing import NamedTuple
 
 import numpy as np
 import regex
 
-CHUNK, ARCS = 1 << 16, 400_000
-#: Words of more bytes are merged one by one; the rank of a pair that isn't in the table.
-LONG, NONE = 40, 1 << 60
-#: Characters that Python splits at and the tokenizer doesn't.
-_NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-_RUN = regex.compile(r"\P{White_Space}+")
-
-
-#: A stop or comma between a letter and white space is a word of its own.
-_STOP = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=\s)")
-
-
-def _is_latin(text: str) -> bool:
-    """Only characters up to U+00FF, which normal forms leave alone and which have plain lower cases."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+#: Bytes of a chunk, chunks that are read in step, and states that are kept before all are given up.
+CHUNK, LANES, STATES = 512, 2048, 200_000
+#: Below so many heads they are read one by one.
+FEW = 64
+#: The pattern that the states implement.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Bytes that UTF-8 never has: end of text, and from SPECIAL on one for each special token.
+END, SPECIAL = 0xFF, 0xF8
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_SPACE_BYTES = b"\t\n\v\f\r "
+_KINDS = [(kind, regex.compile(pattern)) for kind, pattern in ((_SPACE, r"\p{White_Space}"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"))]
 
 
 def byte_alphabet() -> list[str]:
@@ -54,252 +55,411 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
-class Arcs(dict):
-    """Run to its annotation. New runs are compiled many at a time; beyond ``ARCS`` the older half is given up as it falls out of use."""
-
-    def __init__(self, annotate: Callable[[list[str]], list]) -> None:
-        super().__init__()
-        self.annotate, self.older = annotate, {}
-
-    def compile(self, texts: list[list[str]]) -> None:
-        """Makes sure of all runs of some texts."""
-        new = set(filterfalse(self.__contains__, chain.from_iterable(texts)))
-        if len(self) + len(new) > ARCS:
-            self.older, new = dict(self), set(chain.from_iterable(texts))
-            self.clear()
-        old = new.intersection(self.older)
-        self.update((r, self.older[r]) for r in old)
-        missing = list(new.difference(old))
-        self.update(zip(missing, self.annotate(missing), strict=True))
-
-    def __missing__(self, run: str) -> Any:
-        return self.annotate([run])[0]
-
-
-class Tokenizer:
-    """Vocabulary, merges and splitting pattern of a file; ``encode_runs`` gives the ids of runs without white space."""
+class Merges:
+    """Vocabulary and merge table; symbols are ids of single bytes, inside a word or at its end."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        model = spec["model"]
+        model, split = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0]
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
-        if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or model.get("end_of_word_suffix") != "</w>":
+        if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or model.get("end_of_word_suffix") != "</w>" or split["pattern"] != {"Regex": PATTERN}:
             raise ValueError(f"{path}: not a lower-casing BPE with word ends")
-        ids, self.merges = model["vocab"], {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.merges[ids[a] << 20 | ids[b]] = rank << 20 | ids[a + b]
+        ids = model["vocab"]
+        self.merged = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(model["merges"])}
         alphabet = byte_alphabet()
-        self.inner = [ids[c] for c in alphabet]
-        self.final = [ids[c + "</w>"] for c in alphabet]
-        keys = np.array(sorted(self.merges), np.int64)
-        self.pairs, self.found = keys, np.array([self.merges[k] for k in keys.tolist()], np.int64)
-        self.inner_ids, self.final_ids = np.array(self.inner, np.int64), np.array(self.final, np.int64)
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        byte_of = {c: b for b, c in enumerate(alphabet)}
+        self.inner, self.final = [ids[c] for c in alphabet], [ids[c + "</w>"] for c in alphabet]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-
-    def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank and merged token of each pair in one number, or ``NONE``."""
-        key = (left.astype(np.int64) << 20) | right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.found[at], NONE)
-
-    def _encode_equal(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merges words of one length, a row each, all in step: in each round every row's pair of least rank, the leftmost of equals."""
-        rows, n = ids.shape
-        lengths = np.full(rows, n)
-        out = ids.copy()
-        live, found = np.arange(rows), np.stack([self._look_up(ids[:, k], ids[:, k + 1]) for k in range(n - 1)], 1) if n > 1 else np.zeros((rows, 0), np.int64)
-        while found.shape[1]:
-            at = found.argmin(1)
-            best = found[np.arange(len(at)), at]
-            going = best < NONE
-            if not going.all():
-                out[live[~going], : ids.shape[1]] = ids[~going]
-                live, ids, found, at, best = live[going], ids[going], found[going], at[going], best[going]
-            if not len(live):
-                break
-            row, width = np.arange(len(live)), found.shape[1]
-            lengths[live] -= 1
-            columns = np.arange(width)
-            ids[row, at] = best & 0xFFFFF
-            ids = np.take_along_axis(ids, columns + (columns > at[:, None]), 1)
-            found = np.take_along_axis(found, columns[:-1] + (columns[:-1] >= at[:, None]), 1)
-            for side in (at - 1, at):
-                ok = np.flatnonzero((side >= 0) & (side < width - 1))
-                found[ok, side[ok]] = self._look_up(ids[ok, side[ok]], ids[ok, side[ok] + 1])
-        if len(live):
-            out[live, : ids.shape[1]] = ids
-        return out, lengths
-
-    def encode_long(self, word: bytes) -> list[int]:
-        """The same merges of one word, from a heap."""
-        ids = [self.inner[b] for b in word]
-        ids[-1] = self.final[word[-1]]
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(f, i) for i in range(len(ids) - 1) if (f := self.merges.get(ids[i] << 20 | ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            f, i = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] < 0 or j >= len(ids) or self.merges.get(ids[i] << 20 | ids[j]) != f:
-                continue
-            ids[i], ids[j], after[i] = f & 0xFFFFF, -1, after[j]
-            if after[i] < len(ids):
-                before[after[i]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] < len(ids) and (f := self.merges.get(ids[a] << 20 | ids[after[a]])) is not None:
-                    heapq.heappush(heap, (f, a))
-        return [i for i in ids if i >= 0]
-
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """The token ids of each word, four bytes each, least significant first; words of one length are merged together."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        out: list[Any] = [None] * len(words)
-        for n in np.unique(sizes).tolist():
-            own = np.flatnonzero(sizes == n).tolist()
-            if n > LONG:
-                for i in own:
-                    out[i] = np.array(self.encode_long(words[i]), "<u4").tobytes()
-                continue
-            raw = np.frombuffer(b"".join([words[i] for i in own]), np.uint8).reshape(-1, n)
-            ids = self.inner_ids[raw]
-            ids[:, -1] = self.final_ids[raw[:, -1]]
-            ids, lengths = self._encode_equal(ids)
-            flat = ids[np.arange(n) < lengths[:, None]].astype("<u4").tobytes()
-            at = 0
-            for i, k in zip(own, (4 * lengths).tolist(), strict=True):
-                out[i] = flat[at : at + k]
-                at += k
-        return out
-
-    def words_of(self, run: str) -> list[bytes | int]:
-        """A run's words, and the ids of special tokens in it."""
-        out: list[bytes | int] = []
-        for part in self.specials.split(run) if "<|" in run else (run,):
-            if part in self.special:
-                out.append(self.special[part])
+        self.symbols: dict[int, list[int]] = {}
+        self.inside: dict[bytes, int] = {}  # tokens that end inside a word, and at its end
+        self.ending: dict[bytes, int] = {}
+        self.prefixes = {b""}  # proper prefixes of tokens
+        for token, number in ids.items():
+            word = token.removesuffix("</w>")
+            if number in self.special.values() or not all(c in byte_of for c in word):
                 continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # one by one, sigma has one lower case
-            part = part.lower()
-            if part.isalpha():
-                out.append(part.encode())
-            elif part[:-1].isalpha() and part[-1] in ",.":
-                out += (part[:-1].encode(), part[-1].encode())
-            else:
-                out += [w.encode() for w in self.split.findall(part)]
-        return out
-
-    def encode_runs(self, runs: list[str]) -> list[bytes]:
-        """The token ids of each run, four bytes each."""
-        split = [self.words_of(r) for r in runs]
-        words = list({w for ws in split for w in ws if w.__class__ is bytes})
-        ids: dict[bytes | int, bytes] = dict(zip(words, self.encode_words(words), strict=True))
-        ids |= {i: i.to_bytes(4, "little") for i in self.special.values()}
-        return [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in split]
+            raw = bytes(byte_of[c] for c in word)
+            ends = word != token
+            (self.ending if ends else self.inside)[raw] = number
+            self.symbols[number] = [self.inner[b] for b in raw[:-1]] + [(self.final if ends else self.inner)[raw[-1]]]
+            self.prefixes.update(raw[:k] for k in range(1, len(raw)))
+        self.halves = {token: (a, b, rank) for (a, b), (rank, token) in self.merged.items()}
+        if len(self.halves) < len(self.merged) or any(self.halves.get(x, (0, 0, -1))[2] >= rank for a, b, rank in self.halves.values() for x in (a, b)):
+            raise ValueError(f"{path}: a token that two merges make, or one that is made before its parts")
+        self.sides: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.neighbours: dict[tuple[int | None, int], bool] = {}
+
+    def encode(self, symbols: list[int]) -> list[int]:
+        """Merges the pair of least rank, the leftmost of equals, until none is left."""
+        symbols, merged = list(symbols), self.merged
+        while len(symbols) > 1:
+            found = [(*m, i) for i, pair in enumerate(zip(symbols, symbols[1:])) if (m := merged.get(pair))]
+            if not found:
+                break
+            _, token, i = min(found, key=lambda f: (f[0], f[2]))
+            symbols[i : i + 2] = [token]
+        return symbols
+
+    def side(self, token: int, half: int) -> list[tuple[int, int]]:
+        """What stands at the left (0) or right (1) edge of a token while it is merged, each with the rank that takes it into the next."""
+        known = self.sides.get((token, half))
+        if known is None:
+            known, at, after = [], token, 1 << 60
+            while True:
+                known.append((at, after))
+                if at not in self.halves:
+                    break
+                at, after = self.halves[at][half], self.halves[at][2]
+            known.reverse()
+            self.sides[token, half] = known
+        return known
+
+    def fit(self, left: int | None, right: int) -> bool:
+        """Whether two tokens side by side (or one at the start of a word) are the encoding of their bytes.
+
+        Merges go by rank, so the two are merged each for itself unless at some time the pair across their
+        border has a lower rank than what is next on either side; of equal ranks the leftmost goes first.
+        """
+        known = self.neighbours.get((left, right))
+        if known is not None:
+            return known
+        if left is None:
+            known = self.encode(self.symbols[right]) == [right]
+        else:
+            known, a, b = True, self.side(left, 1), self.side(right, 0)
+            i = j = 0
+            while True:
+                (x, x_next), (y, y_next) = a[i], b[j]
+                across = self.merged.get((x, y))
+                if across and across[0] < x_next and across[0] <= y_next:
+                    known = False
+                    break
+                if i == len(a) - 1 and j == len(b) - 1:
+                    break
+                if x_next <= y_next:
+                    i += 1
+                else:
+                    j += 1
+        self.neighbours[left, right] = known
+        return known
+
+
+#: For each place where an open token may start, the last token before it and the tokens not yet emitted.
+Places = tuple[tuple[int | None, tuple[int, ...]], ...]
+
+
+class Window(NamedTuple):
+    """The end of the open word's bytes that an open token may cover, and its places."""
+
+    text: bytes = b""
+    places: Places = ((None, ()),)
+
+
+class State(NamedTuple):
+    """An open word of a kind: its window, and the tokens not yet emitted if it ends here.
+
+    ``pending`` is what may become a contraction, ``cut`` are bytes of a character that isn't complete.
+    """
 
+    kind: int = _SPACE
+    window: Window = Window()
+    close: tuple[int, ...] = ()
+    pending: bytes = b""
+    cut: bytes = b""
 
-@lru_cache(4)
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
 
+START = State()
 
-@dataclass(frozen=True)
-class StateMap:
-    """A chunk: the run open before it goes on with ``head``, ``tail`` is open after it, ``inner`` is emitted between.
 
-    Without white space in the chunk, ``tail`` is None and the open run only grows by ``head``.
-    """
+class Transducer:
+    """States and transitions of a vocabulary file. ``run`` reads a stream; annotations are numbers of ``outputs``."""
 
-    head: str
-    inner: Any
-    tail: str | None
+    def __init__(self, path: str) -> None:
+        self.merges = Merges(path)
+        self.specials = regex.compile("(" + "|".join(map(regex.escape, self.merges.special)) + ")")
+        self.special_byte = {content: bytes([SPECIAL + k]) for k, content in enumerate(self.merges.special)}
+        self.special_ids = list(self.merges.special.values())
+        self.kinds: dict[bytes, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Gives up all states, and the numbers of outputs."""
+        self.outputs: dict[tuple[int, ...], int] = {(): 0}
+        self._flat, self._ends = array("I"), array("q", [0])
+        self.merges.neighbours.clear()
+        self.states, self.numbers = [START], {START: 0}
+        self.same: dict = {}  # of equal windows and places one is kept
+        self.pages = np.zeros(8 * 1024, np.int32)  # page of each state and eighth of the bytes; page 0 is empty
+        self.arcs = np.full(32 * 4096, -1, np.int64)  # next state and output of each page and byte in it
+        self.n_pages = 1
+
+    # compiling
+
+    def _kind(self, char: bytes) -> int:
+        known = self.kinds.get(char)
+        if known is None:
+            text = char.decode("utf-8", "replace")
+            known = next((kind for kind, pattern in _KINDS if pattern.match(text)), _OTHER)
+            self.kinds[char] = known
+        return known
+
+    def _extended(self, window: Window, byte: bytes) -> Window:
+        """The window after a byte that doesn't end the word."""
+        inside, prefixes, fit = self.merges.inside, self.merges.prefixes, self.merges.fit
+        text, places = window.text + byte, window.places
+        for i, (before, tokens) in enumerate(places):
+            token = inside.get(text[i:])
+            if token is not None and fit(before, token):
+                break
+        first = 0
+        while text[first:] not in prefixes:
+            first += 1
+        return Window(text[first:], (*places[first:], (token, (*tokens, token))) if first <= len(places) else ((token, (*tokens, token)),))
+
+    def _ended(self, window: Window, byte: bytes) -> tuple[int, ...]:
+        """The tokens that are left when the word ends with a byte."""
+        for i, (before, tokens) in enumerate(window.places):
+            token = self.merges.ending.get(window.text[i:] + byte)
+            if token is not None and self.merges.fit(before, token):
+                return (*tokens, token)
+        raise AssertionError("no encoding of a word")
+
+    def _word(self, kind: int, window: Window, char: bytes) -> tuple[State, tuple[int, ...]]:
+        """After a character of a word with the window before it; what all its ends have in common is certain."""
+        for k in range(len(char) - 1):
+            window = self._extended(window, char[k : k + 1])
+        close = certain = self._ended(window, char[-1:])
+        window = self._extended(window, char[-1:])
+        for _, tokens in window.places:
+            if tokens[: len(certain)] != certain:
+                certain = tuple(a for a, b in takewhile(lambda p: p[0] == p[1], zip(certain, tokens)))
+            if not certain:
+                break
+        n, same = len(certain), self.same.setdefault
+        places = tuple([same(p, p) for p in ((t, rest[n:]) for t, rest in window.places)])
+        window = Window(window.text, places)
+        return State(kind, same(window, window), close[n:]), certain
+
+    def _step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        if byte >= SPECIAL:
+            return START, state.close if byte == END else (*state.close, self.special_ids[byte - SPECIAL])
+        if byte < 0x80 and not state.cut:
+            return self._read(state, bytes([byte]))
+        cut = state.cut + bytes([byte])
+        need = 4 if cut[0] >= 0xF0 else 3 if cut[0] >= 0xE0 else 2
+        if cut[0] < 0xC0 or not all(0x80 <= x < 0xC0 for x in cut[1:]):
+            return START, state.close  # not UTF-8: where a chunk starts inside a character
+        state = state._replace(cut=cut)
+        return self._read(state._replace(cut=b""), cut) if len(cut) == need else (state, ())
+
+    def _read(self, state: State, char: bytes) -> tuple[State, tuple[int, ...]]:
+        """After a whole character."""
+        kind = self._kind(char)
+        if state.pending:
+            tail = state.pending[1:].decode() + char.decode()
+            if tail in CONTRACTIONS:
+                return START, self._read_word(state.pending + char)
+            if any(c.startswith(tail) for c in CONTRACTIONS):
+                word, out = self._word(_LETTER, Window(), char)
+                return State(_LETTER, word.window, (*state.close, *out, *word.close), state.pending + char), ()
+            if len(state.pending) == 1:
+                state = state._replace(pending=b"")
+            else:  # a stroke, and the first letter of a word
+                stroke = self._read_word(state.pending[:1])
+                after, out = self._read(self._word(_LETTER, Window(), state.pending[1:])[0], char)
+                return after, stroke + self._word(_LETTER, Window(), state.pending[1:])[1] + out
+        if kind == state.kind and kind in (_LETTER, _OTHER):
+            return self._word(kind, state.window, char)
+        if kind == _SPACE:
+            return START, state.close
+        after, out = self._word(kind, Window(), char)
+        if kind == _NUMBER:
+            return START, state.close + out + after.close
+        if char == b"'":
+            return after._replace(close=out + after.close, pending=char, window=self._extended(Window(), char)), state.close
+        return after, state.close + out
+
+    def _read_word(self, word: bytes) -> tuple[int, ...]:
+        """The tokens of a whole word."""
+        window = Window()
+        for k in range(len(word) - 1):
+            window = self._extended(window, word[k : k + 1])
+        return self._ended(window, word[-1:])
+
+    def _compile(self, state: int, byte: int) -> int:
+        """Adds the transition and returns its arc."""
+        after, tokens = self._step(self.states[state], byte)
+        number = self.numbers.get(after)
+        if number is None:
+            number = self.numbers[after] = len(self.states)
+            self.states.append(after)
+            if 8 * len(self.states) > len(self.pages):
+                self.pages = np.concatenate([self.pages, np.zeros_like(self.pages)])
+        page = int(self.pages[8 * state + (byte >> 5)])
+        if not page:
+            page = self.pages[8 * state + (byte >> 5)] = self.n_pages
+            self.n_pages += 1
+            if 32 * self.n_pages > len(self.arcs):
+                self.arcs = np.concatenate([self.arcs, np.full(32 * 16384, -1, np.int64)])
+        output = self.outputs.get(tokens)
+        if output is None:
+            output = self.outputs[tokens] = len(self.outputs)
+            self._flat.extend(tokens)
+            self._ends.append(len(self._flat))
+        arc = number << 32 | output
+        self.arcs[32 * page + (byte & 31)] = arc
+        return arc
+
+    # reading
+
+    def _follow(self, state: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The arcs of some states and bytes (their upper three and lower five bits)."""
+        arc = self.arcs.take((self.pages.take(8 * state + high) << 5) + low)
+        if arc.min() < 0:
+            for i in np.flatnonzero(arc < 0).tolist():
+                arc[i] = self._arc(int(state[i]), int(high[i]) << 5 | int(low[i]))
+        return arc
+
+    def _arc(self, state: int, byte: int) -> int:
+        arc = int(self.arcs[32 * int(self.pages[8 * state + (byte >> 5)]) + (byte & 31)])
+        return arc if arc >= 0 else self._compile(state, byte)
+
+    def _read_chunks(self, data: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+        """Outputs at each byte of equal chunks that are read in step from the start state, and the states after them."""
+        steps = np.ascontiguousarray(data.reshape(lanes, -1).T)
+        high, low = (steps >> 5).astype(np.int64), (steps & 31).astype(np.int64)
+        out, state = np.empty(steps.shape, np.int64), np.zeros(lanes, np.int64)
+        for k in range(len(steps)):
+            out[k] = arc = self._follow(state, high[k], low[k])
+            state = arc >> 32
+        return (out & 0xFFFFFFFF).astype(np.int32).T.reshape(-1), state
+
+    def _read_spans(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, state: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Reads spans of the stream from given states into ``out``; the states after them."""
+        state, at = state.copy(), first.copy()
+        live = np.flatnonzero(at < last)
+        while len(live) > FEW:
+            byte = data[at[live]].astype(np.int64)
+            arc = self._follow(state[live], byte >> 5, byte & 31)
+            out[at[live]] = arc & 0xFFFFFFFF
+            state[live] = arc >> 32
+            at[live] += 1
+            live = live[at[live] < last[live]]
+        for i in live.tolist():
+            s = int(state[i])
+            a, b = int(at[i]), int(last[i])
+            codes = []
+            for byte in data[a:b].tolist():
+                arc = self._arc(s, byte)
+                codes.append(arc & 0xFFFFFFFF)
+                s = arc >> 32
+            out[a:b] = codes
+            state[i] = s
+        return state
+
+    def run(self, data: np.ndarray, entry: int) -> tuple[np.ndarray, int]:
+        """Outputs at each byte of a part of the stream that starts in state ``entry``, and the state after it."""
+        n = len(data)
+        lanes = -(-n // CHUNK)
+        padded = np.full(lanes * CHUNK, END, np.uint8)
+        padded[:n] = data
+        out, after = self._read_chunks(padded, lanes)
+        resets = _RESETS[padded].reshape(lanes, CHUNK)
+        reset = resets.any(1)
+        head = np.where(reset, resets.argmax(1) + 1, CHUNK)  # bytes up to the first that ends every word
+        starts = np.arange(lanes, dtype=np.int64) * CHUNK
+        # maps: the state that a prefix of the chunks ends in and the byte from which it is still to be read
+        before, origin = prefix_scan(np.concatenate([[entry], np.where(reset, after, -1)]), np.concatenate([[0], np.where(reset, starts + CHUNK, starts)]))
+        owners = np.flatnonzero(reset)
+        self._read_spans(padded, origin[owners], starts[owners] + head[owners], before[owners], out)
+        if n == lanes * CHUNK and reset[-1]:
+            return out, int(after[-1])
+        # the last state: behind the last reset of the bytes themselves
+        resets_at = np.flatnonzero(_RESETS[data])
+        from_, state = (int(resets_at[-1]) + 1, 0) if len(resets_at) else (0, entry)
+        state = self._read_spans(padded, np.array([from_]), np.array([n]), np.array([state]), out)
+        return out[:n], int(state[0])
+
+    def bytes_of(self, text: str | None) -> bytes:
+        """A text's normalised bytes, special tokens as bytes of their own."""
+        if not text:
+            return b""
+        if "<|" in text:
+            return b"".join([self.special_byte.get(p) or _normalised(p) for p in self.specials.split(text)])
+        return _normalised(text)
+
+    def read(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The stream of some texts in parts: the index of the first text in a part, where each text in it ends, and the outputs.
+
+        A text that is longer than a part goes on in the next. Outputs of a part hold until the next is asked for.
+        """
+        block, waiting, first, size = CHUNK * LANES, [], 0, 0
+        for i, text in enumerate(texts):
+            waiting.append(self.bytes_of(text) + b"\xff")
+            size += len(waiting[-1])
+            if size >= block or i == len(texts) - 1:
+                data, ends = np.frombuffer(b"".join(waiting), np.uint8), np.cumsum([len(w) for w in waiting])
+                state, k = 0, 0
+                for at in range(0, size, block):
+                    if len(self.states) > STATES and not state:
+                        self.forget()
+                    out, state = self.run(data[at : at + block], state)
+                    last = int(np.searchsorted(ends, at + len(out), "left"))  # of the text that the part ends in
+                    yield first + k, np.minimum(ends[k : last + 1] - at, len(out)), out
+                    k = last + (last < len(ends) and ends[last] == at + len(out))
+                waiting, first, size = [], i + 1, 0
+
+    def counts(self, outputs: np.ndarray) -> np.ndarray:
+        """How many tokens each output has."""
+        return np.diff(np.array(self._ends), prepend=0)[outputs]
+
+    def tokens(self, outputs: np.ndarray) -> np.ndarray:
+        """The token ids of outputs, one after the other."""
+        outputs = outputs[outputs > 0]
+        ends = np.array(self._ends)
+        size = np.diff(ends, prepend=0)[outputs]
+        total = np.cumsum(size)
+        if not len(total):
+            return np.zeros(0, "<u4")
+        place = np.arange(total[-1]) + np.repeat(ends[outputs] - total, size)
+        return np.array(self._flat, "<u4")[place]
+
+
+def _resets() -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(_SPACE_BYTES)] = True
+    out[SPECIAL:] = True
+    return out
 
 
-class Transducer:
-    """Sums annotations of the runs of a text; ``empty`` is the sum of none."""
-
-    def __init__(self, annotate: Callable[[list[str]], list], total: Callable[[Any], Any]) -> None:
-        self.arcs, self.total = Arcs(annotate), total
-        self.empty = total(())
-
-    def runs(self, text: str) -> list[str]:
-        """The runs of a whole text, with fewer spellings of a word where that is plain: in lower case and apart from a stop or comma."""
-        if "<|" not in text and (text.isascii() or _is_latin(text)):
-            text = _STOP.sub(r" \1", text.lower())
-        return self.raw_runs(text)
-
-    def raw_runs(self, text: str) -> list[str]:
-        return _RUN.findall(text) if any(c in text for c in _NOT_SPACE) else text.split()
-
-    def emit(self, runs: list[str]) -> Any:
-        self.arcs.compile([runs])
-        return self.total(map(self.arcs.__getitem__, runs))
-
-    def map_of(self, chunk: str) -> StateMap:
-        runs = self.raw_runs(chunk)
-        space = lambda c: c.isspace() and c not in _NOT_SPACE
-        if not runs:
-            return StateMap("", self.empty, "") if chunk else StateMap("", self.empty, None)
-        starts, ends = not space(chunk[0]), not space(chunk[-1])
-        if len(runs) == 1 and starts and ends:
-            return StateMap(runs[0], self.empty, None)
-        head = runs.pop(0) if starts else ""
-        tail = runs.pop() if ends else ""
-        return StateMap(head, self.emit(runs), tail)
-
-    def compose(self, a: StateMap, b: StateMap) -> StateMap:
-        if a.tail is None and b.tail is None:
-            return StateMap(a.head + b.head, self.empty, None)
-        if a.tail is None:
-            return StateMap(a.head + b.head, b.inner, b.tail)
-        if b.tail is None:
-            return StateMap(a.head, a.inner, a.tail + b.head)
-        return StateMap(a.head, self.total((a.inner, self._closed(a.tail + b.head), b.inner)), b.tail)
-
-    def _closed(self, run: str) -> Any:
-        return self.arcs[run] if run else self.empty
-
-    def read_all(self, texts: list[str | None]) -> Iterator[Any]:
-        """What the transducer emits over each whole text; the arcs of some texts together are compiled at once."""
-        waiting: list[list[str]] = []
-        size = 0
-        for text in texts:
-            if text and len(text) > CHUNK:
-                yield from self._emitted(waiting)
-                waiting, size = [], 0
-                yield self.read(text)
-                continue
-            waiting.append(self.runs(text or ""))
-            size += len(text or "")
-            if size > 16 * CHUNK:
-                yield from self._emitted(waiting)
-                waiting, size = [], 0
-        yield from self._emitted(waiting)
-
-    def _emitted(self, runs: list[list[str]]) -> Iterator[Any]:
-        self.arcs.compile(runs)
-        get = self.arcs.__getitem__
-        return (self.total(map(get, r)) for r in runs)
-
-    def read(self, text: str) -> Any:
-        """What it emits over a text from the start state, by the state maps of chunks."""
-        maps = [self.map_of(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-        whole = prefix_scan(maps, self.compose)[-1]
-        if whole.tail is None:
-            return self._closed(whole.head)
-        return self.total((self._closed(whole.head), whole.inner, self._closed(whole.tail)))
-
-
-def prefix_scan(items: list, compose: Callable[[Any, Any], Any]) -> list:
-    """Inclusive scan in about log2(n) rounds: pairs are composed, the halved list is scanned, and odd places are filled in."""
-    if len(items) < 2:
-        return list(items)
-    pairs = [compose(a, b) for a, b in zip(items[::2], items[1::2])]
-    scanned = prefix_scan(pairs, compose)
-    out = [items[0]]
-    for i in range(1, len(items)):
-        out.append(scanned[i // 2] if i % 2 else compose(scanned[i // 2 - 1], items[i]))
-    return out
+_RESETS = _resets()
+
+
+def _normalised(text: str) -> bytes:
+    if text.isascii():
+        return text.lower().encode()
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().encode("utf-8", "replace")  # one by one, sigma has one lower case
+
+
+def prefix_scan(state: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Composes the maps of all prefixes in log2(n) rounds, each over all places at once.
+
+    A map is a state that is certain at byte ``origin``, or -1 if all bytes from ``origin`` on are still to be
+    read from whatever comes before. Two maps in a row compose to the second if its state is certain, else to
+    the first: the bytes of the second follow those that the first leaves to be read.
+    """
+    state, origin, width = state.copy(), origin.copy(), 1
+    while width < len(state):
+        open_ = state[width:] < 0
+        first_state, first_origin = state[:-width].copy(), origin[:-width].copy()
+        state[width:] = np.where(open_, first_state, state[width:])
+        origin[width:] = np.where(open_, first_origin, origin[width:])
+        width *= 2
+    return state, origin
+
+
+@lru_cache(4)
+def transducer(path: str) -> Transducer:
+    """The transducer of a file, one for each worker process."""
+    return Transducer(path)

@@ -15,8 +15,9 @@ from tokenizers import Tokenizer
 from newsloom.llm import language_id, quality_classifier, quality_rules, transducer, url_filter
 from newsloom.llm.decontaminate import find_contamination, original_spans, windows_of
 from newsloom.llm.html_extract import extract_main_text, main_text
+from newsloom.llm.packing import token_ids
 from newsloom.llm.registry import QUERIES
-from newsloom.llm.token_counts import count_tokens, counting_transducer
+from newsloom.llm.token_counts import count_tokens
 
 SF = "/root/testdata/sf0.01"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -97,25 +98,50 @@ def test_unwanted_hosts_are_blocked(spark):
     assert (by_model[bad].verdict == "block").all() and (by_model[~bad].verdict == "allow").mean() > 0.98
 
 
-def test_tokens_equal_the_library(spark):
+def token_texts():
     rng = random.Random(1)
     texts = [t for (t,) in sample(f"SELECT text FROM '{SF}/documents.parquet' WHERE doc_id % 5 = 0")] + [t or "" for t in ODD_TEXTS]
     texts += ["".join(rng.choice("aAbs'tdrevml1 2\n\t!<|>é́ßΣİ\x1c endoftext.,") for _ in range(rng.randint(0, 80))) for _ in range(1500)]
-    texts += ["".join(rng.choice("aehrt") for _ in range(rng.randint(1, 150))) for _ in range(200)]
-    own = Tokenizer.from_file(VOCABULARY)
-    want = [len(x.ids) for x in own.encode_batch(texts, add_special_tokens=False)]
-    assert list(counting_transducer(VOCABULARY).read_all(texts)) == want
+    return texts + ["".join(rng.choice("aehrt日本ñ'") for _ in range(rng.randint(1, 150))) for _ in range(200)] + ["日本語" * 700, "=-" * 900, "'re" * 400]
+
+
+def test_tokens_equal_the_library(spark):
+    texts = token_texts()
+    want = [x.ids for x in Tokenizer.from_file(VOCABULARY).encode_batch(texts, add_special_tokens=False)]
+    got = list(token_ids(transducer.transducer(VOCABULARY), texts))
+    assert [i for i, _ in got] == list(range(len(texts)))
+    assert [np.frombuffer(ids, "<u4").tolist() for _, ids in got] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in count_tokens(df, VOCABULARY).collect()} == {i: len(ids) for i, ids in enumerate(want)}
     out = {r["doc_id"]: r["n_tokens"] for r in count_tokens(odd_documents(spark), VOCABULARY).collect()}
     assert out[1] == 0 and out[None] == 0 and out[8] == 30_000
+    assert count_tokens(odd_documents(spark).limit(0), VOCABULARY).count() == 0
 
 
 def test_chunks_compose_to_the_whole(monkeypatch):
-    monkeypatch.setattr(transducer, "CHUNK", 5)
-    own = counting_transducer(VOCABULARY)
-    texts = ["Ab<|endoftext|>c d", "   ", "one two  three", "x" * 23, " lead", "trail "]
-    whole = [sum(map(own.arcs.__getitem__, own.raw_runs(t))) for t in texts]
-    assert [own.read(t) for t in texts] == whole
-    assert transducer.prefix_scan(list("abcdefg"), str.__add__) == ["a", "ab", "abc", "abcd", "abcde", "abcdef", "abcdefg"]
+    own = transducer.Transducer(VOCABULARY)
+    texts = ["Ab<|endoftext|>c d", "   ", "one two  three", "x" * 23, " lead", "trail ", "日本語日本語", None, "it's we'll 're", "été " * 9]
+    whole = [own.read([t]) for t in texts]
+    want = [ids.tolist() for parts in whole for ids in [own.tokens(np.concatenate([out for _, _, out in parts]))]]
+    scans = []
+    scan = transducer.prefix_scan
+    monkeypatch.setattr(transducer, "prefix_scan", lambda *maps: scans.append(len(maps[0])) or scan(*maps))
+    for chunk, lanes in ((5, 3), (4, 100), (7, 1)):
+        monkeypatch.setattr(transducer, "CHUNK", chunk)
+        monkeypatch.setattr(transducer, "LANES", lanes)
+        assert [np.frombuffer(ids, "<u4").tolist() for _, ids in token_ids(own, texts)] == want
+    assert max(scans) > 30  # ordinary texts go through the scan too
+    state, origin = transducer.prefix_scan(np.array([7, -1, 3, -1, -1, 9]), np.array([0, 0, 20, 20, 30, 50]))
+    assert (state.tolist(), origin.tolist()) == ([7, 7, 3, 3, 3, 9], [0, 0, 20, 20, 20, 50])
+
+
+def test_states_can_be_given_up(monkeypatch):
+    monkeypatch.setattr(transducer, "STATES", 50)
+    monkeypatch.setattr(transducer, "CHUNK", 16)
+    monkeypatch.setattr(transducer, "LANES", 4)
+    own, texts = transducer.Transducer(VOCABULARY), token_texts()[:40]
+    want = [x.ids for x in Tokenizer.from_file(VOCABULARY).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(ids, "<u4").tolist() for _, ids in token_ids(own, texts)] == want
 
 
 def statistics(text):
