@@ -1,212 +1,40 @@
 """Quality rules: n-gram perplexity bands by language, beside plain rules on words.
 
-The language model is a character trigram model with modified Kneser-Ney smoothing for each language that
-occurs, mixed with one over all languages that counts as ``PRIOR_TRIGRAMS`` trigrams. Characters are folded to
-``SYMBOLS`` classes, so a language has at most SYMBOLS ** 3 trigrams: Spark counts them over all documents, and
-what the driver collects and sends out grows with the number of languages, not with their texts.
-Each language's n-grams are stored as sorted arrays of hashes with their log probabilities (and back-off
-weights), which are looked up by binary search. A document is rejected if its log perplexity is outside
-its language's band, which is set from the quartiles over all documents of that language, drawn towards those
-of all languages as if by ``PRIOR_MIDDLE`` and ``PRIOR_SPREAD`` documents: the fewer a language has, the more.
+A document's log perplexity is the mean negative log probability of its words, each with the space behind it, under
+its language's character n-gram model (``ngram_model``). A document is rejected if it is outside its language's
+band: above it the words are made of what the language doesn't have (symbols stuck to them, noise), below it
+they are shorter and more alike than a text's (tables, separators, lists). Bands are set from the quartiles over
+all documents of the language, drawn towards those of all languages as if by ``PRIOR_MIDDLE`` and ``PRIOR_SPREAD``
+documents: the fewer a language has, the more.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import checkpointed, joined, slices, table, text_bytes, with_arrow_columns
-
-SYMBOLS = 64
-#: The language that a null one counts as.
-OTHER = "other"
-#: Band: lower quartile minus, upper quartile plus so many interquartile ranges.
-LOWER, UPPER = 4.0, 5.0
-#: What all languages weigh beside a language's own documents (for its band's middle and its spread) and trigrams.
-PRIOR_MIDDLE, PRIOR_SPREAD, PRIOR_TRIGRAMS = 5, 50, 20_000
-#: Languages whose counts a task holds before it hands them on.
-HELD = 16
+from newsloom.llm.common import checkpointed, table, text_bytes
+from newsloom.llm.ngram_model import OTHER, BlockModel, block_log_probabilities, numbered_blocks
+
+#: Band: lower quartile minus, upper quartile plus so many interquartile ranges, of at least ``LEAST_SPREAD``.
+LOWER, UPPER, LEAST_SPREAD = 1.75, 3.0, 0.1
+#: How many documents all languages count for beside a language's own, for its band's middle and its spread.
+PRIOR_MIDDLE, PRIOR_SPREAD = 5, 50
+#: Quartiles are taken of log perplexities in steps of one of so many parts.
+STEPS = 1000
+#: Bands of so many languages are sent to every task; of more they are joined.
+SENT_LANGUAGES = 10_000
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOL_CHARACTERS = b"#*$%&|<>"
 
 
-def _classes() -> np.ndarray:
-    """The class of each byte: text boundary 0 (never a byte), letters, space, line end, digit, marks, other, lead and continuation bytes."""
-    out = np.full(256, 49, np.uint8)
-    for b in range(256):
-        c = chr(b)
-        if b >= 0xC0:
-            out[b] = 50
-        elif b >= 0x80:
-            out[b] = 51 + (b & 0x1F) % 13
-        elif c.isalpha():
-            out[b] = 1 + ord(c.lower()) - ord("a")
-        elif c.isdigit():
-            out[b] = 29
-    for i, c in enumerate(" \n"):
-        out[ord(c)] = 27 + i
-    for i, c in enumerate(".,!?'\"-:;()"):
-        out[ord(c)] = 30 + i
-    for i, b in enumerate(_SYMBOL_CHARACTERS):
-        out[b] = 41 + i
-    return out
-
-
-_CLASS = _classes()
-
-
-def trigram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The code of the trigram that ends at each byte of the texts or at the boundary after them, and where each text's start and end."""
-    data, starts, ends = joined(texts, b"\n")
-    kind = _CLASS[data].astype(np.int32)
-    kind[0] = 0
-    kind[ends] = 0
-    code = kind.copy()
-    code[1:] += kind[:-1] * SYMBOLS
-    code[2:] += kind[:-2] * SYMBOLS**2
-    first = starts[1:]
-    code[first] %= SYMBOLS**2  # nothing of the text before
-    return code, starts, ends + 1
-
-
-def count_trigrams(docs: DataFrame, lang: Column) -> DataFrame:
-    """(lang, code, n) over all texts: partition by partition, then summed by Spark."""
-
-    def summed(counts):
-        for name, total in counts.items():
-            codes = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int32)), pa.array(total[codes])], ["lang", "code", "n"])
-        counts.clear()
-
-    def run(batches):
-        counts: dict[str, np.ndarray] = {}
-        for batch in batches:
-            texts, langs = text_bytes(batch, "text"), batch.column("lang").to_pylist()
-            for name in sorted(set(langs)):
-                if name not in counts and len(counts) == HELD:
-                    yield from summed(counts)
-                total = counts.setdefault(name, np.zeros(SYMBOLS**3, np.int64))
-                for _, some in slices([t for t, x in zip(texts, langs, strict=True) if x == name]):
-                    code, starts, _ = trigram_codes(some)
-                    total += np.bincount(code[starts[0] :], minlength=SYMBOLS**3)
-        yield from summed(counts)
-
-    own = docs.where(F.col("text").isNotNull()).select("text", lang.alias("lang"))
-    return own.mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def _hash(codes: np.ndarray, order: int) -> np.ndarray:
-    h = (codes.astype(np.uint64) + np.uint64(order << 40)) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
-@dataclass
-class _Table:
-    """Sorted hashes of n-grams of one order, and their values."""
-
-    keys: np.ndarray
-    values: np.ndarray
-
-    @staticmethod
-    def of(codes: np.ndarray, values: np.ndarray, order: int) -> _Table:
-        keys = _hash(codes, order)
-        at = np.argsort(keys)
-        return _Table(keys[at], values[at].astype(np.float32))
-
-    def get(self, codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        keys = _hash(codes, order)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[at] == keys, self.values[at]
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = (max(int((counts == k).sum()), 1) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.05, 0.1, 0.15], [0, 0.95, 1.9, 2.85])
-
-
-class TrigramModel:
-    """Interpolated modified Kneser-Ney from trigram counts (codes and how often)."""
-
-    def __init__(self, codes: np.ndarray, n: np.ndarray) -> None:
-        s = SYMBOLS
-        counts = np.zeros(s**3, np.int64)
-        counts[codes] = n
-        tri = counts.reshape(s, s, s)
-        bi = (tri > 0).sum(0)  # in how many contexts a bigram follows
-        uni = (bi > 0).sum(0)
-        p1 = (uni + 0.5) / (uni + 0.5).sum()
-        p2, back2 = self._level(bi, p1)
-        p3, back3 = self._level(tri, p2)
-        seen3, seen2 = np.flatnonzero(counts), np.flatnonzero(bi.ravel())
-        contexts3, contexts2 = np.flatnonzero(tri.sum(2).ravel()), np.flatnonzero(bi.sum(1))
-        log = lambda x: np.log(np.maximum(x, 1e-12))
-        self.tri, self.bi, self.uni = (_Table.of(np.asarray(c), log(v), k) for c, v, k in ((seen3, p3.ravel()[seen3], 3), (seen2, p2.ravel()[seen2], 2), (np.arange(s), p1, 1)))
-        self.back3, self.back2 = _Table.of(contexts3, log(back3.ravel()[contexts3]), 5), _Table.of(contexts2, log(back2.ravel()[contexts2]), 4)
-
-    @staticmethod
-    def _level(counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = _discounts(counts)[np.minimum(counts, 3)]
-        total = counts.sum(-1, keepdims=True)
-        back = np.where(total > 0, d.sum(-1, keepdims=True) / np.maximum(total, 1), 1.0)
-        return np.maximum(counts - d, 0) / np.maximum(total, 1) + back * lower, back[..., 0]
-
-    def log_probability(self, codes: np.ndarray) -> np.ndarray:
-        s = SYMBOLS
-        found, value = self.tri.get(codes, 3)
-        if found.all():
-            return value
-        rest = codes[~found]
-        has, back = self.back3.get(rest // s, 5)
-        out = np.where(has, back, 0)
-        found2, value2 = self.bi.get(rest % s**2, 2)
-        has2, back2 = self.back2.get(rest % s**2 // s, 4)
-        lower = np.where(found2, value2, np.where(has2, back2, 0) + self.uni.get(rest % s, 1)[1])
-        value = value.copy()
-        value[~found] = out + lower
-        return value
-
-
-@dataclass
-class QualityModel:
-    """A trigram model for each language with its weight beside the model of all languages."""
-
-    models: dict[str, tuple[TrigramModel, float]]
-    pooled: TrigramModel | None
-
-    def _log_probability(self, name: str, codes: np.ndarray) -> np.ndarray:
-        model, weight = self.models[name]
-        return np.logaddexp(np.log(weight) + model.log_probability(codes), np.log1p(-weight) + self.pooled.log_probability(codes))
-
-    def log_perplexity(self, texts: list[bytes], langs: list[str]) -> np.ndarray:
-        """Mean negative log probability a byte; NaN for an empty text."""
-        out = np.full(len(texts), np.nan)
-        for name in set(langs) & set(self.models):
-            own = [i for i, x in enumerate(langs) if x == name and texts[i]]
-            table_ = np.zeros(SYMBOLS**3, np.float32)
-            for first, some in slices([texts[i] for i in own]):
-                code, starts, ends = trigram_codes(some)
-                there = np.zeros(SYMBOLS**3, bool)
-                there[code] = True
-                met = np.flatnonzero(there)
-                table_[met] = self._log_probability(name, met)
-                total = np.concatenate([[0.0], np.cumsum(table_[code], dtype=np.float64)])
-                out[own[first : first + len(some)]] = (total[starts] - total[ends]) / (ends - starts)
-        return out
-
-
-def language_of(lang: Column) -> Column:
-    return F.coalesce(lang, F.lit(OTHER))
-
-
 def word_statistics(text: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text; words end at ASCII white space."""
     words = text.split()
@@ -240,90 +68,91 @@ def repeated_words(words: list[bytes], size: int = 3) -> int:
 _FIELDS = [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField("log_perplexity", T.DoubleType())]
 
 
-def measure(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` (text, lang and any other columns) with word statistics and ``log_perplexity``; columns of these names are replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def make():
-        own = sent.value
-
-        def compute(batch: pa.RecordBatch) -> list:
-            texts = text_bytes(batch, "text")
-            langs = [OTHER if x is None else x for x in batch.column("lang").to_pylist()]
-            values = own.log_perplexity(texts, langs)
-            return [pa.array(c, pa.int64()) for c in zip(*map(word_statistics, texts), strict=True)] + [pa.array(values, mask=np.isnan(values))]
+def measure(docs: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (text, lang and any other columns) with word statistics and ``log_perplexity``; columns of these names are replaced.
 
-        return compute
-
-    return with_arrow_columns(docs, _FIELDS, make)
-
-
-def fit_language_models(docs: DataFrame) -> QualityModel:
-    """Trigram models of all languages that occur, from the counts of all texts."""
-    rows = count_trigrams(docs, language_of(F.col("lang"))).toArrow()  # at most SYMBOLS ** 3 a language
-    if not rows.num_rows:
-        return QualityModel({}, None)
-    langs = rows["lang"].combine_chunks().dictionary_encode()
-    names, which = langs.dictionary.to_pylist(), langs.indices.to_numpy()
-    codes, n = rows["code"].to_numpy(), rows["n"].to_numpy()
-    every = np.zeros(SYMBOLS**3, np.int64)
-    np.add.at(every, codes, n)
-    at = np.argsort(which, kind="stable")
-    models = {}
-    for name, own in zip(names, np.split(at, np.cumsum(np.bincount(which))[:-1]), strict=True):
-        total = int(n[own].sum())
-        models[name] = TrigramModel(codes[own], n[own]), total / (total + PRIOR_TRIGRAMS)
-    seen = np.flatnonzero(every)
-    return QualityModel(models, TrigramModel(seen, every[seen]))
+    Rows travel in compressed parts of their block to where the block's n-grams and their log probabilities are.
+    """
+    new = {f.name.lower() for f in _FIELDS}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in new and f.name not in drop]
+    names = [f.name for f in kept]
+    rows = docs.select("text", "lang", *[c for c in names if c not in ("text", "lang")])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, batch in numbered_blocks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "part"])
+
+    def score(parts: pa.Table, values: pa.Table) -> pa.Table:
+        model, out = BlockModel(values), []
+        for part in parts["part"]:
+            for batch in pa.ipc.open_stream(part.as_buffer()):
+                texts = text_bytes(batch, "text")
+                found = [word_statistics(t) for t in texts]
+                n_words = np.array([s[0] for s in found])
+                total = model.log_probabilities(texts, batch.column("lang").to_pylist())
+                perplexity = pa.array(-total / np.maximum(n_words, 1), mask=n_words == 0)
+                columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
+                out.append(pa.RecordBatch.from_arrays([batch.column(c) for c in names] + columns + [perplexity], names + [f.name for f in _FIELDS]))
+        return pa.Table.from_batches(out)
+
+    packed = rows.mapInArrow(pack, "block long, part binary")
+    return packed.groupBy("block").cogroup(block_log_probabilities(docs).groupBy("block")).applyInArrow(score, T.StructType(kept + _FIELDS))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
 
 
-def fit_bands(measured: DataFrame) -> dict[str, tuple[float, float]]:
-    """Bands by language from the quartiles of log perplexity over all documents that pass the plain rules.
+def language_of(lang: Column) -> Column:
+    return F.coalesce(lang, F.lit(OTHER))
+
+
+def fit_bands(measured: DataFrame) -> DataFrame:
+    """(lang, low, high): bands from the quartiles of log perplexity over all documents that pass the plain rules.
 
-    The middle and the spread of a language's quartiles are averaged with the means of all languages, by its
-    number of documents beside ``PRIOR_MIDDLE`` and ``PRIOR_SPREAD``.
+    Quartiles come from counts by language and step. The middle and the spread of a language's quartiles are averaged
+    with the means of all languages, by its number of documents beside ``PRIOR_MIDDLE`` and ``PRIOR_SPREAD``.
     """
-    q = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10000)
     passed = measured.where(~base_failed() & F.col("log_perplexity").isNotNull())
-    rows = passed.groupBy(language_of(F.col("lang")).alias("lang")).agg(q.alias("q"), F.count("*").alias("n")).collect()
-    if not rows:
-        return {}
-    quartiles, n = np.array([r["q"] for r in rows]), np.array([[r["n"]] for r in rows])
-    own = np.stack([quartiles.mean(1), quartiles[:, 1] - quartiles[:, 0]], 1)
-    prior, pooled = np.array([PRIOR_MIDDLE, PRIOR_SPREAD]), (n * own).sum(0) / n.sum()
-    middle, spread = ((n * own + prior * pooled) / (n + prior)).T
-    spread = np.maximum(spread, 0.01)
-    low, high = middle - (LOWER + 0.5) * spread, middle + (UPPER + 0.5) * spread
-    return {r["lang"]: (float(a), float(b)) for r, a, b in zip(rows, low, high, strict=True)}
-
-
-def verdict(bands: dict[str, tuple[float, float]]) -> Column:
-    """Whether a measured document is kept: not failed by the plain rules, and inside its language's band."""
-    if not bands:
-        return F.lit(False)  # no document passes the plain rules
-    band = F.create_map(*[x for name, (low, high) in bands.items() for x in (F.lit(name), F.array(F.lit(low), F.lit(high)))])
-    own = F.try_element_at(band, language_of(F.col("lang")))
-    return ~base_failed() & F.coalesce(F.col("log_perplexity").between(own[0], own[1]), F.lit(False))
+    steps = passed.groupBy(language_of(F.col("lang")).alias("lang"), F.round(F.col("log_perplexity") * STEPS).cast("long").alias("step")).agg(F.count("*").alias("n"))
+    own, upto = Window.partitionBy("lang"), Window.partitionBy("lang").orderBy("step")
+    counted = steps.select("lang", "step", F.sum("n").over(upto).alias("upto"), F.sum("n").over(own).alias("n"))
+    quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n"), F.col("step"))) / STEPS
+    found = checkpointed(counted.groupBy("lang").agg(F.max("n").alias("n"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3")).select("lang", "n", ((F.col("q1") + F.col("q3")) / 2).alias("middle"), (F.col("q3") - F.col("q1")).alias("spread")))
+    share = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    every = found.agg(share("middle").alias("middle"), share("spread").alias("spread")).first()
+    drawn = lambda c, weight: (F.col("n") * F.col(c) + weight * F.lit(every[c])) / (F.col("n") + weight)
+    spread = F.greatest(drawn("spread", PRIOR_SPREAD), F.lit(LEAST_SPREAD))
+    middle = drawn("middle", PRIOR_MIDDLE)
+    return found.select("lang", (middle - (LOWER + 0.5) * spread).alias("low"), (middle + (UPPER + 0.5) * spread).alias("high"))
+
+
+def with_verdict(measured: DataFrame, bands: DataFrame) -> DataFrame:
+    """``measured`` with ``base_failed`` and ``kept``: not failed by the plain rules, and inside its language's band."""
+    bands = checkpointed(bands.select(F.col("lang").alias("_band_lang"), "low", "high").select("_band_lang", F.struct("low", "high").alias("_band")))
+    clash = {c: f"_in_{c}" for c in measured.columns if c.lower() in ("_band_lang", "_band")}
+    own = measured.withColumnsRenamed(clash)
+    side = F.broadcast(bands) if bands.count() <= SENT_LANGUAGES else bands
+    joined = own.join(side, language_of(F.col("lang")) == F.col("_band_lang"), "left")
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("_band.low"), F.col("_band.high")), F.lit(False))
+    kept = [F.col(clash.get(c, c)).alias(c) for c in measured.columns if c.lower() not in ("base_failed", "kept")]
+    return joined.select(*kept, base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"))
 
 
 def apply_rules(docs: DataFrame, narrow: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` with word statistics, ``log_perplexity``, ``base_failed`` and ``kept``; with ``narrow``, only those of its own columns.
 
     Null and empty texts have no words: they fail the plain rules, and their log perplexity is null. Null languages
-    share the model and band of one named ``OTHER``. Copies and ties get equal verdicts; columns of
-    the same names are replaced; empty tables give empty results.
+    share the model and band of one named ``OTHER``. Copies and ties get equal verdicts; texts of any length are
+    read whole; columns of the same names are replaced; empty tables give empty results. ``docs`` is read twice
+    and must have its rows in the same partitions both times, as files and checkpoints have.
     """
-    model = fit_language_models(docs)
-    own = docs.select(*narrow, "text", "lang") if narrow else docs
-    measured = measure(own, model)
-    if narrow:
-        measured = checkpointed(measured.drop("text"))
-    bands = fit_bands(measured if narrow else measure(docs.select("text", "lang"), model).drop("text"))
-    return measured.withColumns({"base_failed": base_failed(), "kept": verdict(bands)})
+    drop = () if narrow is None or "text" in narrow else ("text",)
+    measured = checkpointed(measure(docs.select("text", "lang", *[c for c in narrow if c not in ("text", "lang")]) if narrow else docs, drop))
+    return with_verdict(measured, fit_bands(measured))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
