@@ -1,10 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines: one for each block of text, and blank ones where boilerplate elements stood
-or a container opens or closes. The lengths of every ``WINDOW`` lines in a row are summed; text that starts
-at a surge of that curve and ends where it dives to zero is a segment, and the largest segment marks the
-article. If an ``article`` or ``main`` element encloses it, all segments of that element belong to the text;
-else those of at least ``SHARE`` of its length do.
+Markup is stripped into lines: one for each block of text, and ``WINDOW`` blank ones where a section opens or closes
+outside the page's content containers. A line has a weight: 0 if its element, class or id is one of boilerplate
+or most of it is links, else 1. The weighted lengths of every ``WINDOW`` lines in a row are summed. Text begins where
+that curve leaves zero and surges to the threshold (``SHARE`` of its peak, at most ``SURGE``), and ends where it dives
+back to zero; what is between, but for boilerplate lines, is the article. A stretch that never surges is
+not, wherever it stands; elements only give weights and gaps.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import types as T
 
 from newsloom.llm.common import table, with_arrow_columns
 
-WINDOW, SHARE = 3, 0.2
-#: Lines shorter than this don't start a surge by themselves when their text is mostly links.
+WINDOW, SHARE, SURGE = 3, 0.2, 300
+#: Lines with a larger share of links weigh nothing, and are kept between others.
 LINK_SHARE = 0.6
 
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math".split())
@@ -48,16 +49,19 @@ _SIBLINGS = {"li": ("li",), "p": ("p",), "tr": ("tr", "td", "th"), "td": ("td",
 
 @dataclass
 class Line:
+    """A block's text, its characters in links, whether it is boilerplate, and whether it is in a content container."""
+
     text: str
     links: int
-    container: int
+    boilerplate: bool
+    inside: bool
 
 
 @dataclass
 class _Element:
     name: str
-    dropped: bool
-    container: int
+    boilerplate: bool
+    inside: bool
     link: bool
 
 
@@ -66,14 +70,13 @@ class _Reader:
     """Turns tags and text into lines; line None is a blank one."""
 
     lines: list[Line | None] = field(default_factory=list)
-    open: list[_Element] = field(default_factory=lambda: [_Element("", False, 0, False)])
+    open: list[_Element] = field(default_factory=lambda: [_Element("", False, False, False)])
     parts: list[str] = field(default_factory=list)
     links: int = 0
-    containers: int = 0
 
     def text(self, raw: str) -> None:
         top = self.open[-1]
-        if not top.dropped and raw:
+        if raw:
             piece = html.unescape(raw) if "&" in raw else raw
             self.parts.append(piece)
             if top.link:
@@ -81,9 +84,12 @@ class _Reader:
 
     def flush(self) -> None:
         if self.parts:
-            text = " ".join("".join(self.parts).split())
+            text, top = " ".join("".join(self.parts).split()), self.open[-1]
             if text:
-                self.lines.append(Line(text, self.links, self.open[-1].container))
+                last = self.lines[-1] if self.lines else None
+                # boilerplate inside of content is one line, however many it has
+                if not (top.boilerplate and top.inside and last is not None and last.boilerplate and last.inside):
+                    self.lines.append(Line(text, self.links, top.boilerplate, top.inside))
             self.parts, self.links = [], 0
 
     def blank(self) -> None:
@@ -107,18 +113,13 @@ class _Reader:
                 self.flush()
             return
         top = self.open[-1]
-        dropped = top.dropped or self._unwanted(name, attributes, top.container > 0)
-        if name not in INLINE:
+        boilerplate = top.boilerplate or self._is_boilerplate(name, attributes, top.inside)
+        if name not in INLINE or boilerplate != top.boilerplate:
             self.flush()
-            if dropped != top.dropped or name in SECTIONS and not dropped:
-                self.blank()
-        elif dropped and not top.dropped:
-            self.parts.append(" ")
-        container = top.container
-        if name in ("article", "main") and not container and not dropped:
-            self.containers += 1
-            container = self.containers
-        self.open.append(_Element(name, dropped, container, top.link or name == "a"))
+        inside = top.inside or not boilerplate and (name in ("article", "main") or name in SECTIONS and self._is_content(attributes))
+        if not top.inside and (name in SECTIONS or boilerplate != top.boilerplate):
+            self.blank()
+        self.open.append(_Element(name, boilerplate, inside, top.link or name == "a"))
 
     def end(self, name: str) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -130,15 +131,19 @@ class _Reader:
             if name not in INLINE:
                 self.flush()
             return
-        if name not in INLINE:
-            self.flush()
         gone = self.open[k:]
+        if name not in INLINE or gone[0].boilerplate != self.open[k - 1].boilerplate:
+            self.flush()
         del self.open[k:]
-        if any(x.name in SECTIONS for x in gone) or gone[0].dropped and not self.open[-1].dropped and name not in INLINE:
+        if not self.open[-1].inside and (any(x.name in SECTIONS for x in gone) or gone[0].boilerplate and not self.open[-1].boilerplate):
             self.blank()
 
     @staticmethod
-    def _unwanted(name: str, attributes: str, inside: bool) -> bool:
+    def _is_content(attributes: str) -> bool:
+        return bool(attributes) and any(key.lower() in ("class", "id") and _CONTENT_HINT.search("".join(values)) for key, *values in _ATTRIBUTE.findall(attributes))
+
+    @staticmethod
+    def _is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
         if name in BOILERPLATE or name == "header" and not inside:
             return True
         if not attributes or name in ("html", "body", "main"):
@@ -180,37 +185,28 @@ def page_lines(page: str) -> list[Line | None]:
     return reader.lines
 
 
-def segments(lines: list[Line | None]) -> list[tuple[int, int, int]]:
-    """(first, after last, length) of each stretch from a surge to a dive of the window sums."""
-    own = np.array([0 if x is None or x.links > LINK_SHARE * len(x.text) else len(x.text) for x in lines] + [0] * (WINDOW - 1))
-    if not own.any():
-        own = np.array([0 if x is None else len(x.text) for x in lines] + [0] * (WINDOW - 1))
-    sums = np.convolve(own, np.ones(WINDOW, int))[WINDOW - 1 : WINDOW - 1 + len(lines)]
+def curve(lines: list[Line | None]) -> np.ndarray:
+    """The sum of weighted lengths over ``WINDOW`` lines from each line on."""
+    own = np.array([0 if x is None or x.boilerplate or x.links > LINK_SHARE * len(x.text) else len(x.text) for x in lines] + [0] * (WINDOW - 1))
+    if not own.any():  # links only
+        own = np.array([0 if x is None or x.boilerplate else len(x.text) for x in lines] + [0] * (WINDOW - 1))
+    return np.convolve(own, np.ones(WINDOW, int))[WINDOW - 1 : WINDOW - 1 + len(lines)]
+
+
+def segments(sums: np.ndarray) -> list[tuple[int, int]]:
+    """(first, after last) of each stretch that surges to the threshold before it dives to zero."""
+    if not len(sums):
+        return []
     up = np.concatenate([[False], sums > 0, [False]])
-    surges, dives = np.flatnonzero(up[1:] & ~up[:-1]), np.flatnonzero(~up[1:] & up[:-1])
-    return [(int(a), int(b), int(own[a:b].sum())) for a, b in zip(surges, dives, strict=True)]
+    starts, dives = np.flatnonzero(up[1:] & ~up[:-1]), np.flatnonzero(~up[1:] & up[:-1])
+    surge = min(SURGE, SHARE * sums.max())
+    return [(int(a), int(b)) for a, b in zip(starts, dives, strict=True) if sums[a:b].max() >= surge]
 
 
 def main_text(page: str | None) -> str:
     """The article of a page; null, blank or without text: empty."""
     lines = page_lines(page or "")
-    found = segments(lines)
-    if not found:
-        return ""
-    kept: list[str] = []
-    whole = {}
-    for line in lines:
-        if line is not None and line.container:
-            whole[line.container] = whole.get(line.container, 0) + len(line.text)
-    first, last, most = max(found, key=lambda s: (s[2], -s[0]))
-    inside = {x.container for x in lines[first:last] if x is not None} - {0}
-    if inside or whole and max(whole.values()) >= SHARE * most:
-        home = max(inside or whole, key=lambda c: (whole[c], -c))
-        kept = [x.text for x in lines if x is not None and x.container and (x.container == home or whole[x.container] >= SHARE * whole[home])]
-    else:
-        for a, b, n in found:
-            if n >= SHARE * most:
-                kept += [x.text for x in lines[a:b] if x is not None]
+    kept = [x.text for a, b in segments(curve(lines)) for x in lines[a:b] if x is not None and not x.boilerplate]
     return " ".join(kept)
 
 
