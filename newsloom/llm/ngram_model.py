@@ -6,9 +6,9 @@ is stored: their rests give the shorter n-grams and the contexts, so that counti
 groups by code, and grow with what the corpus holds.
 
 Texts are read in blocks of rows. A block gives, for each language and hash bucket, a sorted array of its
-n-grams and one of their counts. Per bucket these are summed over all blocks; modified Kneser-Ney makes
-probabilities of the sums, order by order; and per bucket again each block's n-grams are looked up in the sorted
-array of the model by binary search. So a block gets back the values of its own n-grams alone, as sorted
+n-grams and one of their counts (compressed). Per bucket these are summed over all blocks; modified Kneser-Ney
+makes probabilities of the sums, order by order; and per bucket again each block's n-grams are looked up in the
+sorted array of the model by binary search. So a block gets back the values of its own n-grams alone, as sorted
 arrays, and no task or driver holds the model.
 """
 
@@ -32,7 +32,7 @@ BLOCK_BYTES, PASS_CHARS = 16 << 20, 1 << 20
 PRIOR_GRAMS = 20_000
 #: The language that a null one counts as, and the model of all languages.
 OTHER, EVERY = "other", "every"
-_EXACT = 1 << CLASS_BITS - 1
+_EXACT, _PRIME = 1 << CLASS_BITS - 1, 1_000_003
 
 
 def normal_form(text: bytes) -> str:
@@ -77,9 +77,9 @@ def gram_codes(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         at = after
 
 
-def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
-    h = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+def bucket_of(codes: np.ndarray | Column, buckets: int) -> np.ndarray | Column:
+    """The bucket of codes, in numpy and in Spark."""
+    return codes % _PRIME % buckets
 
 
 def numbered_blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -103,8 +103,21 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return codes, np.bincount(at, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
 
+def _packed(codes: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted codes and their counts, compressed: differences of codes first."""
+    return pa.compress(np.concatenate([np.diff(codes, prepend=0), n]).astype("<i8").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(grams: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(pa.decompress(grams, 16 * size, codec="zstd"), "<i8")
+    return np.cumsum(both[:size]), both[size:]
+
+
 def block_grams(docs: DataFrame, buckets: int) -> DataFrame:
-    """(block, lang, bucket, codes, n): the n-grams of each block by language, sorted arrays by bucket, from (text, lang)."""
+    """(block, lang, bucket, size, grams): the n-grams of each block by language and bucket, from (text, lang).
+
+    ``grams`` holds a sorted array of ``size`` codes and one of their counts.
+    """
 
     def rows(block: int, found: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
         for lang, parts in found.items():
@@ -112,10 +125,9 @@ def block_grams(docs: DataFrame, buckets: int) -> DataFrame:
             bucket = bucket_of(codes, buckets)
             order = np.argsort(bucket, kind="stable")
             own, first = np.unique(bucket[order], return_index=True)
-            offsets = pa.array(np.append(first, len(codes)), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (codes, n)]
-            fixed = [pa.array(np.full(len(own), block)), pa.array([lang] * len(own), pa.string()), pa.array(own)]
-            yield pa.RecordBatch.from_arrays(fixed + lists, ["block", "lang", "bucket", "codes", "n"])
+            some = np.split(order, first[1:])
+            columns = [np.full(len(own), block), pa.array([lang] * len(own), pa.string()), own, np.array([len(x) for x in some]), pa.array([_packed(codes[x], n[x]) for x in some], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "lang", "bucket", "size", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -138,7 +150,25 @@ def block_grams(docs: DataFrame, buckets: int) -> DataFrame:
         if found:
             yield from rows(current, found)
 
-    return docs.mapInArrow(run, "block long, lang string, bucket long, codes array<long>, n array<long>")
+    return docs.mapInArrow(run, "block long, lang string, bucket long, size long, grams binary")
+
+
+def total_grams(grams: DataFrame) -> DataFrame:
+    """(lang, code, n): the n-grams of all blocks, added up bucket by bucket."""
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for lang, size, packed in zip(rows["lang"].to_pylist(), rows["size"].to_pylist(), rows["grams"].to_pylist(), strict=True):
+            parts = found.setdefault(lang, [])
+            parts.append(_unpacked(packed, size))
+            if len(parts) > 64:
+                parts[:] = [_merged(parts)]
+        out = [(lang, *_merged(parts)) for lang, parts in found.items()]
+        langs = pa.array([lang for lang, codes, _ in out for _ in range(len(codes))], pa.string())
+        codes, n = (np.concatenate([x[k] for x in out]) for k in (1, 2))
+        return pa.table({"lang": langs, "code": codes, "n": n})
+
+    return grams.groupBy("bucket").applyInArrow(add_up, "lang string, code long, n long")
 
 
 def _rest(order: int) -> Column:
@@ -160,7 +190,7 @@ def smoothed(counts: DataFrame) -> DataFrame:
     Orders below count the n-grams of the order above that they end; the lowest adds a half to each. A context
     has at most as many n-grams as there are characters' codes, which bounds the groups.
     """
-    levels = [checkpointed(counts)]
+    levels = [counts]
     for order in range(ORDER - 1, 0, -1):
         levels.append(checkpointed(levels[-1].groupBy("model", _rest(order).alias("code")).agg(F.count("*").alias("n"))))
     lowest = levels.pop()
@@ -178,44 +208,37 @@ def smoothed(counts: DataFrame) -> DataFrame:
 
 
 def block_log_probabilities(docs: DataFrame) -> DataFrame:
-    """(block, lang, codes, values): for each block of ``docs`` (text, lang) its n-grams and their log probabilities, sorted by code.
+    """(block, lang, size, grams, values): for each block of ``docs`` (text, lang) its n-grams and their log probabilities.
 
     A language's model counts as many n-grams as it has beside ``PRIOR_GRAMS`` for the model of all languages.
     There are as many buckets as shuffle partitions, so that a bucket's rows stay as small as a partition's.
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grams = checkpointed(block_grams(docs.select("text", "lang"), buckets).repartition(buckets, "bucket"))
-    each = grams.select("bucket", "lang", F.explode(F.arrays_zip("codes", "n")).alias("g")).select("bucket", "lang", F.col("g.codes").alias("code"), F.col("g.n").alias("n"))
-    own = checkpointed(each.groupBy("bucket", "lang", "code").agg(F.sum("n").alias("n")).select(F.concat(F.lit("="), "lang").alias("model"), "bucket", "code", "n"))
+    own = checkpointed(total_grams(grams).select(F.concat(F.lit("="), "lang").alias("model"), "code", "n"))
     every = own.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(EVERY).alias("model"), "code", "n")
-    p = checkpointed(smoothed(own.select("model", "code", "n").unionByName(every)))
+    p = smoothed(own.unionByName(every))
+    pooled = F.max(F.when(F.col("model") == EVERY, F.col("p"))).over(Window.partitionBy("code"))
     size = own.groupBy("model").agg(F.sum("n").cast("double").alias("size"))
     weight = F.col("size") / (F.col("size") + PRIOR_GRAMS)
-    pooled = p.where(F.col("model") == EVERY).select("code", F.col("p").alias("q"))
-    mixed = own.drop("n").join(p, ["model", "code"]).join(size, "model").join(pooled, "code")
-    model = mixed.select("bucket", F.substring("model", 2, 1 << 30).alias("lang"), "code", F.log(weight * F.col("p") + (1 - weight) * F.col("q")).alias("value"))
+    mixed = p.withColumn("q", pooled).join(size, "model").select("model", "code", F.log(weight * F.col("p") + (1 - weight) * F.col("q")).alias("value"))
+    model = mixed.select(bucket_of(F.col("code"), buckets).alias("bucket"), F.substring("model", 2, 1 << 30).alias("lang"), "code", "value")
 
     def look_up(rows: pa.Table, known: pa.Table) -> pa.Table:
-        tables = {}
         langs = known["lang"].combine_chunks().dictionary_encode()
-        codes, values = known["code"].to_numpy(), known["value"].to_numpy()
+        codes, values, tables = known["code"].to_numpy(), known["value"].to_numpy(), {}
         for k, lang in enumerate(langs.dictionary.to_pylist()):
-            own_rows = np.flatnonzero(langs.indices.to_numpy() == k)
-            own_rows = own_rows[np.argsort(codes[own_rows])]
-            tables[lang] = codes[own_rows], values[own_rows]
-        rows = rows.combine_chunks()
-        lists = rows["codes"].combine_chunks()
-        flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-        offsets = offsets - offsets[0]
-        out = np.empty(len(flat))
-        for lang, a, b in zip(rows["lang"].to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            mine = np.flatnonzero(langs.indices.to_numpy() == k)
+            mine = mine[np.argsort(codes[mine])]
+            tables[lang] = codes[mine], values[mine]
+        found = []
+        for lang, size, packed in zip(rows["lang"].to_pylist(), rows["size"].to_pylist(), rows["grams"].to_pylist(), strict=True):
             keys, own_values = tables[lang]
-            out[a:b] = own_values[np.searchsorted(keys, flat[a:b])]
-        found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))
-        return pa.table({"block": rows["block"], "lang": rows["lang"], "codes": lists, "values": found})
+            found.append(own_values[np.searchsorted(keys, _unpacked(packed, size)[0])].astype("<f4").tobytes())
+        return pa.table([rows[c] for c in ("block", "lang", "size", "grams")] + [pa.array(found, pa.binary())], ["block", "lang", "size", "grams", "values"])
 
-    rows = grams.select(F.col("bucket").alias("at"), F.col("block").alias("block"), F.col("lang").alias("lang"), F.col("codes").alias("codes"))
-    return rows.groupBy("at").cogroup(model.groupBy("bucket")).applyInArrow(look_up, "block long, lang string, codes array<long>, values array<double>")
+    rows = grams.select(F.col("bucket").alias("at"), *[F.col(c).alias(c) for c in ("block", "lang", "size", "grams")])
+    return rows.groupBy("at").cogroup(model.groupBy("bucket")).applyInArrow(look_up, "block long, lang string, size long, grams binary, values binary")
 
 
 class BlockModel:
@@ -223,8 +246,9 @@ class BlockModel:
 
     def __init__(self, rows: pa.Table) -> None:
         found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for lang, codes, values in zip(rows["lang"].to_pylist(), rows["codes"], rows["values"], strict=True):
-            found.setdefault(lang, []).append((codes.values.to_numpy(), values.values.to_numpy()))
+        for row in rows.to_pylist():
+            codes, _ = _unpacked(row["grams"], row["size"])
+            found.setdefault(row["lang"], []).append((codes, np.frombuffer(row["values"], "<f4").astype(float)))
         self.tables = {}
         for lang, parts in found.items():
             codes, values = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
