@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -20,13 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage in the folder that ``spark.checkpoint.dir`` names; unset (tests), in a new one."""
+    """``df`` cut from its lineage in the folder that ``spark.checkpoint.dir`` names; in local mode, unset, in a new one."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="newsloom-"))
     return df.checkpoint()
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes to be none of ``columns``, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that no model learns from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -57,16 +72,33 @@ def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of whole texts of about ``limit`` bytes, with the index of their first."""
-    first, size = 0, 0
+def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """All texts in runs of about ``limit`` bytes, with the index of the text that each belongs to.
+
+    A longer text comes in pieces, cut before white space, or before a character where there is none.
+    """
+    owners: list[int] = []
+    some: list[bytes] = []
+    size = 0
     for i, text in enumerate(texts):
-        size += len(text) + 1
-        if size >= limit:
-            yield first, texts[first : i + 1]
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, texts[first:]
+        at = 0
+        while at < len(text) or not at:
+            end = len(text)
+            if end - at > limit:
+                end = max(text.rfind(b" ", at + 1, at + limit), text.rfind(b"\n", at + 1, at + limit))
+                if end < 0:
+                    end = at + limit
+                    while text[end] & 0xC0 == 0x80 and end > at + 1:
+                        end -= 1
+            owners.append(i)
+            some.append(text[at:end])
+            size += end - at + 1
+            at = max(end, 1)
+            if size >= limit:
+                yield np.array(owners), some
+                owners, some, size = [], [], 0
+    if owners:
+        yield np.array(owners), some
 
 
 def joined(texts: list[bytes], separator: bytes = b" ") -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -12,9 +12,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that occurs in ``links`` (a, b: long), where root is the smallest node reachable.
 
     Alternates large-star and small-star steps: each node's larger neighbours, then its smaller ones, are
-    linked to its smallest neighbour. A step joins the links with one row a node, so no node's neighbours
-    meet in one group, and the number of links never grows. The rounds grow with the logarithm of the
-    longest path; each is cut from its lineage by a checkpoint. Self links and repeated links are allowed;
+    linked to its smallest neighbour. A step joins the links with one row a node: a hub's links are sorted in one
+    task, but streamed as rows of two longs and never collected, and the number of links never grows. The rounds
+    grow with the logarithm of the longest path; each is cut from its lineage by a checkpoint. Self links and repeated links are allowed;
     nodes that only link to themselves, and an empty table, give no row.
     """
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

@@ -9,18 +9,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import table, text_bytes, with_arrow_columns
+from newsloom.llm.common import table, text_bytes, unused, with_arrow_columns
 
 WINDOW = 10
-#: Bytes of item text in one automaton; a larger benchmark is dealt to several, each scanned in a stage of its own.
+#: Bytes of item text that one task's automaton holds; a larger benchmark is dealt to several by hash, of which each text is scanned by all.
 AUTOMATON_BYTES = 4 << 20
 
 #: A-Z to a-z, everything that is not a digit, a letter or beyond ASCII to a space.
@@ -88,46 +89,43 @@ def original_spans(text: bytes, spans: list[tuple[int, int]]) -> list[dict[str,
     """Runs of words as code-point offsets (start, end) in the original text."""
     places = [m.span() for m in _WORD.finditer(text)]
     # an upper-case letter is a word character too: the pattern runs over the text as it is
-    return [{"start": len(text[: places[a][0]].decode("utf-8", "replace")), "end": len(text[: places[b - 1][1]].decode("utf-8", "replace"))} for a, b in spans]
+    points = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
+    return [{"start": int(points[places[a][0]]) - 1, "end": int(points[places[b - 1][1] - 1])} for a, b in spans]
 
 
-def _blocks(benchmark: DataFrame, text: Column, limit: int) -> list[list[tuple[str | None, bytes]]]:
-    """The items (id as text, text) in blocks of at most ``limit`` bytes, or of one item."""
-    items = benchmark.where(text.isNotNull()).select(F.col("item_id").cast("string").alias("k"), text.cast("binary").alias("t")).distinct()
-    blocks: list[list[tuple[str | None, bytes]]] = [[]]
-    size = 0
-    for row in items.orderBy("k", "t").toLocalIterator():
-        if blocks[-1] and size + len(row["t"]) > limit:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["k"], bytes(row["t"])))
-        size += len(row["t"])
-    return blocks
+def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The items (id as text, text), dealt by hash to blocks of about ``limit`` bytes; one block at a time is on the driver."""
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("k"), F.col("text").cast("binary").alias("t")).distinct()
+    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    blocks = 1 + total // limit
+    block = F.pmod(F.xxhash64("k", "t"), F.lit(blocks))
+    for number in range(blocks):
+        yield sorted(((r["k"], bytes(r["t"])) for r in items.where(block == number).collect()), key=lambda item: (item[0] or "", item[1]))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items (sorted ids as text), spans (in the original text), items_sha256 and contaminated.
 
-    The benchmark is a list of questions and answers, which is held in memory; an automaton, of which each
-    task builds one, is bounded by ``block_bytes``. Null and empty texts have no words and are clean; null
+    The size of the benchmark is looked up first: up to ``block_bytes`` it is one automaton, which each task builds;
+    above, as many as it takes, with the same results. Null and empty texts have no words and are clean; null
     items and items without words match nothing; an item without an id counts for hits and is in no list.
     Repeated items and rows change nothing. Columns of the same names are replaced.
     """
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    own = [T.StructField("n_words", T.LongType()), T.StructField("_runs", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
+    (runs_column,) = unused(docs.columns, "_runs")
+    own = [T.StructField("n_words", T.LongType()), T.StructField(runs_column, T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
     final = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", span), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
     out = docs
-    blocks = _blocks(benchmark, F.col("text"), block_bytes)
-    for number, block in enumerate(blocks):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        first, last = number == 0, number == len(blocks) - 1
+    sent_blocks = [docs.sparkSession.sparkContext.broadcast(block) for block in _blocks(benchmark, block_bytes)]
+    for number, sent in enumerate(sent_blocks):
+        first, last = number == 0, number == len(sent_blocks) - 1
 
         def make(sent=sent, first=first, last=last):
             automaton = Automaton(sent.value, size)
 
             def compute(batch: pa.RecordBatch) -> list:
                 rows = []
-                before = [(None, None)] * batch.num_rows if first else list(zip(batch.column("_runs").to_pylist(), batch.column("items").to_pylist(), strict=True))
+                before = [(None, None)] * batch.num_rows if first else list(zip(batch.column(runs_column).to_pylist(), batch.column("items").to_pylist(), strict=True))
                 for text, (runs, items) in zip(text_bytes(batch, "text"), before, strict=True):
                     words = words_of(text)
                     spans, keys = automaton.scan(words)
@@ -145,7 +143,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
 
             return compute
 
-        out = with_arrow_columns(out, final if last else own, make, drop=("_runs",) if not first else ())
+        out = with_arrow_columns(out, final if last else own, make, drop=(runs_column,) if not first else ())
     return out
 
 

@@ -72,12 +72,15 @@ def _sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray
 
 def _features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Slots and counts of each text."""
-    out = []
-    for _, some in slices(texts):
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
+    for owners, some in slices(texts):
         orders, first, last = ngram_slots(some)
-        for a, b in zip(first, last, strict=True):
-            found = np.concatenate([slot[a : max(a, b - n + 2)] for n, slot in orders])
-            out.append(np.unique(found, return_counts=True))
+        for i, a, b in zip(owners.tolist(), first, last, strict=True):
+            found[i].append(np.unique(np.concatenate([slot[a : max(a, b - n + 2)] for n, slot in orders]), return_counts=True))
+    out = []
+    for parts in found:
+        slots, at = np.unique(np.concatenate([s for s, _ in parts]), return_inverse=True)
+        out.append((slots, np.bincount(at, np.concatenate([n for _, n in parts]), len(slots))))
     return out
 
 
@@ -92,23 +95,16 @@ class LanguageModel:
     slopes: np.ndarray
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
-        langs: list[str] = []
-        scores = np.zeros(len(texts))
-        for start, some in slices(texts):
+        sums, n_grams = np.zeros((len(texts), self.weights.shape[1])), np.zeros(len(texts))
+        for owners, some in slices(texts):
             orders, first, last = ngram_slots(some)
-            sums, n_grams = np.zeros((len(some), self.weights.shape[1])), np.zeros(len(some))
             for n, slot in orders:
                 end = np.maximum(last - n + 2, first)
-                sums += _sums(self.weights[slot], first, end)
-                n_grams += end - first
-            means = sums / np.maximum(n_grams, 1)[:, None]
-            for i, text in enumerate(some):
-                if not has_letter(text):
-                    langs.append(UNDETERMINED)
-                    continue
-                lang, scores[start + i] = self._decide(means[i], n_grams[i])
-                langs.append(lang)
-        return langs, scores
+                np.add.at(sums, owners, _sums(self.weights[slot], first, end))
+                np.add.at(n_grams, owners, end - first)
+        means = sums / np.maximum(n_grams, 1)[:, None]
+        found = [self._decide(means[i], n_grams[i]) if self.families and has_letter(text) else (UNDETERMINED, 0.0) for i, text in enumerate(texts)]
+        return [lang for lang, _ in found], np.array([score for _, score in found])
 
     def _decide(self, mean: np.ndarray, n_grams: float) -> tuple[str, float]:
         k = len(self.families)
@@ -194,7 +190,7 @@ def fit_language_model(docs: DataFrame, per_language: int = 800, full_languages:
 
     Takes about ``per_language`` distinct whole texts of every language; of more than ``full_languages``
     languages, equal shares of as many texts as those would give, but at least 50 each. Only their n-gram counts
-    reach the driver. No labelled text: ValueError.
+    reach the driver. Without a labelled text no language is learned.
     """
     own = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("lang", "text")
     sample = bounded_sample(own, "lang", "text", per_language, full_languages)
@@ -209,15 +205,14 @@ def fit_language_model(docs: DataFrame, per_language: int = 800, full_languages:
     fields = [T.StructField("slots", T.BinaryType()), T.StructField("counts", T.BinaryType())]
     rows = with_arrow_columns(sample, fields, make, drop=("text",)).collect()
     rows = sorted((r["lang"], bytes(r["slots"]), bytes(r["counts"])) for r in rows)
-    if not any(r[1] for r in rows):
-        raise ValueError("no labelled text to learn a language from")
     return train([(lang, np.frombuffer(i, np.int32), np.frombuffer(n, np.float32).astype(float)) for lang, i, n in rows])
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (the probability of the family times the mean probability of its pairs).
 
-    Null text, or text without a letter (so empty text too): ``und`` with score 0. Equal texts get equal
+    Null text, or text without a letter (so empty text too), and all text if no language was learned: ``und``
+    with score 0. N-grams of texts over ``SLICE_BYTES`` are counted piece by piece. Equal texts get equal
     results; each row is judged alone. The model has 2^15 rows of a float for each family and pair, so what is
     sent out is bounded by the number of languages. Input columns named like a new one are replaced.
     """

@@ -118,18 +118,20 @@ def word_vectors(contexts: np.ndarray) -> np.ndarray:
 
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """Mean and standard deviation of the token vectors of each text, and the share of neighbours that are equal; zeros without tokens."""
-    out = np.zeros((len(texts), 2 * DIMENSIONS + 1))
-    for first, some in slices(texts):
+    d = DIMENSIONS
+    sums, tokens = np.zeros((len(texts), 2 * d + 1)), np.zeros(len(texts))
+    for owners, some in slices(texts):
         slots, counts = token_slots(some)
         ends = np.cumsum(counts)
-        for i, (a, b) in enumerate(zip(ends - counts, ends, strict=True)):
+        for i, a, b in zip(owners.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
             if b > a:
                 met, n = np.unique(slots[a:b], return_counts=True)
-                v, w = vectors[met].astype(float), n / (b - a)
-                mean = w @ v
-                equal = np.count_nonzero(slots[a + 1 : b] == slots[a : b - 1]) / (b - a)
-                out[first + i] = np.concatenate([mean, np.sqrt(np.maximum(w @ v**2 - mean**2, 0)), [equal]])
-    return out
+                v = vectors[met].astype(float)
+                sums[i] += np.concatenate([n @ v, n @ v**2, [np.count_nonzero(slots[a + 1 : b] == slots[a : b - 1])]])
+                tokens[i] += b - a
+    means = sums / np.maximum(tokens, 1)[:, None]
+    means[:, d : 2 * d] = np.sqrt(np.maximum(means[:, d : 2 * d] - means[:, :d] ** 2, 0))
+    return means
 
 
 @dataclass
@@ -186,10 +188,10 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 30
 @dataclass
 class QualityClassifier:
     vectors: np.ndarray
-    network: Network
+    network: Network | None
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        return self.network.probability(pooled(texts, self.vectors))
+        return np.round(self.network.probability(pooled(texts, self.vectors)), 12) if self.network else np.full(len(texts), 0.5)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
@@ -213,7 +215,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> DataF
 def fit_quality_classifier(docs: DataFrame, labels: DataFrame, per_label: int = 4000) -> QualityClassifier:
     """Context vectors over all ``docs``; the network from a bounded sample of ``labels``, of which pooled vectors reach the driver.
 
-    Without a labelled document: ValueError.
+    Without a labelled document nothing is learned, and every score is a half.
     """
     vectors = word_vectors(context_sums(docs))
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -224,7 +226,7 @@ def fit_quality_classifier(docs: DataFrame, labels: DataFrame, per_label: int =
 
     rows = with_arrow_columns(labelled_sample(docs, labels, per_label), [T.StructField("x", T.BinaryType())], make, drop=("text",)).collect()
     if not rows:
-        raise ValueError("no labelled document to learn quality from")
+        return QualityClassifier(vectors, None)
     rows = sorted((r["doc_id"], r["y"], bytes(r["x"])) for r in rows)
     x, y = np.stack([np.frombuffer(r[2]) for r in rows]), np.array([r[1] for r in rows], float)
     return QualityClassifier(vectors, fit_network(x, y))
@@ -233,7 +235,7 @@ def fit_quality_classifier(docs: DataFrame, labels: DataFrame, per_label: int =
 def score_quality(docs: DataFrame, classifier: QualityClassifier) -> DataFrame:
     """``docs`` with ``score`` (probability of label 1) and ``predicted`` (1 from ``THRESHOLD`` on).
 
-    Only the text is read. Null and empty texts get the score of a document without tokens; copies get equal
+    Only the text is read, texts over ``SLICE_BYTES`` piece by piece. Null and empty texts get the score of a document without tokens; copies get equal
     scores; columns of the same names are replaced. The classifier's size doesn't depend on the input.
     """
     sent = docs.sparkSession.sparkContext.broadcast(classifier)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import checkpointed, table
+from newsloom.llm.common import checkpointed, table, unused
 
 BITS, STEP, LIMIT = 60, 15, 16 << 20
 
@@ -30,7 +30,13 @@ def assign_shards(rows: DataFrame, limit: int = LIMIT, key: str = "doc_id", size
     its own. ``page`` is 0 but in buckets whose rows all share the whole address. A null size counts as 0, a
     null key as an empty one; repeated rows are all kept; an empty table gives an empty result.
     """
-    kept = [c for c in rows.columns if c.lower() not in ("shard", "page", "shard_bytes")]
+    asked = [c for c in rows.columns if c.lower() not in ("shard", "page", "shard_bytes")]
+    # columns that are named like one of this function's step aside meanwhile
+    inner = {"_a", "_n", "_c", "_cell", "_bytes", "_part", "_b", "_k", "_b0", "_k0", "prefix", "d", "cell", "bytes", "p", "next"}
+    aside = dict(zip((c for c in asked if c.lower() in inner), unused(list(rows.columns), *(f"_in_{c}" for c in asked if c.lower() in inner)), strict=True))
+    rows, key, size = rows.select(*[F.col(c).alias(aside.get(c, c)) for c in rows.columns]), aside.get(key, key), aside.get(size, size)
+    kept = [aside.get(c, c) for c in asked]
+    back = [F.col(aside.get(c, c)).alias(c) for c in asked]
     own = checkpointed(rows.select(*kept, address(F.col(key)).alias("_a"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_n")))
     spark, done = rows.sparkSession, None
     large = spark.sql("SELECT '' AS prefix")  # buckets that are to split, all of one length
@@ -65,9 +71,9 @@ def assign_shards(rows: DataFrame, limit: int = LIMIT, key: str = "doc_id", size
     result = placed.where((F.length("shard") < BITS) | (F.col("_bytes") <= limit))
     out = result.select(*kept, "shard", F.lit(0).alias("page"), F.col("_bytes").alias("shard_bytes"))
     if depth < BITS or large.isEmpty():
-        return out
+        return out.select(*back, "shard", "page", "shard_bytes")
     overflow = checkpointed(placed.where((F.length("shard") == BITS) & (F.col("_bytes") > limit)).withColumn("_part", F.spark_partition_id()))
-    return out.unionByName(_pages(overflow, kept, limit))
+    return out.unionByName(_pages(overflow, kept, limit)).select(*back, "shard", "page", "shard_bytes")
 
 
 def _pages(rows: DataFrame, kept: list[str], limit: int) -> DataFrame:

@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import checkpointed, table, text_bytes, with_arrow_columns
+from newsloom.llm.common import checkpointed, table, text_bytes, unused, with_arrow_columns
 from newsloom.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE, BLOCK = 3, 42, 3, 256
+#: Components of so many roots are named by sending out their least keys; more are joined.
+SENT_ROOTS = 200_000
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -42,8 +44,8 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist()))
 
 
-def with_fingerprint(docs: DataFrame, column: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``fp``: the fingerprint as a signed long. Null and blank texts: 0."""
+def with_fingerprint(docs: DataFrame, column: str = "text", name: str = "fp") -> DataFrame:
+    """``docs`` without its text, with the fingerprint as a signed long. Null and blank texts: 0."""
 
     def make():
         def compute(batch: pa.RecordBatch) -> list:
@@ -51,7 +53,7 @@ def with_fingerprint(docs: DataFrame, column: str = "text") -> DataFrame:
 
         return compute
 
-    return with_arrow_columns(docs, [T.StructField("fp", T.LongType())], make, drop=(column,))
+    return with_arrow_columns(docs, [T.StructField(name, T.LongType())], make, drop=(column,))
 
 
 def _segments() -> Column:
@@ -121,16 +123,20 @@ def near_duplicates(docs: DataFrame, column: str = "text", key: str = "doc_id")
     as a whole; repeated rows share a component. A null key takes part and is never the smallest, unless
     all keys of the component are null: then component_id is null. An empty table gives an empty result.
     """
-    prints = checkpointed(with_fingerprint(docs, column))
-    distinct = prints.groupBy("fp").agg(F.min(key).alias("_least"))
-    roots = connected_components(fingerprint_links(distinct.select("fp")))
-    member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
-    member = checkpointed(member)
-    least = member.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = member.join(least, "_root").select(F.col("fp").alias("_fp"), "component_id")
-    kept = [c for c in prints.columns if c.lower() not in ("fp", "fingerprint", "component_id")]
-    out = prints.join(named, prints.fp == named["_fp"])
-    return out.select(*[prints[c] for c in kept], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), named["component_id"])
+    kept = [c for c in docs.columns if c != column and c.lower() not in ("fingerprint", "component_id")]
+    fp, known, root_, least_ = unused(docs.columns, "_fp", "_known", "_root", "_least")
+    prints = checkpointed(with_fingerprint(docs.select(*kept, *([] if column in kept else [column])), column, fp))
+    distinct = prints.groupBy(F.col(fp).alias("fp")).agg(F.min(key).alias(least_))
+    roots = connected_components(fingerprint_links(distinct.select("fp"))).select("node", F.col("root").alias(root_))
+    member = checkpointed(distinct.join(roots, F.col("fp") == F.col("node"), "left").drop("node"))
+    # a fingerprint without a link is its own component; those of large components meet their least key where it is sent
+    linked = member.where(F.col(root_).isNotNull())
+    least = checkpointed(linked.groupBy(root_).agg(F.min(least_).alias("component_id")))
+    side = F.broadcast(least) if least.count() <= SENT_ROOTS else least
+    alone = member.where(F.col(root_).isNull()).select(F.col("fp").alias(known), F.col(least_).alias("component_id"))
+    named = alone.unionByName(linked.join(side, root_).select(F.col("fp").alias(known), "component_id"))
+    out = prints.join(named, F.col(fp) == F.col(known))
+    return out.select(*kept, F.lpad(F.lower(F.hex(fp)), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.ml.feature import CountVectorizer, Normalizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import table
+from newsloom.llm.common import table, unused
 
 SLOTS, GRAMS, THRESHOLD, PENALTY = 1 << 15, (3, 4, 5), 0.5, 3e-6
 #: Of a row labelled as allowed: most urls are, and a url of unknown n-grams is taken for one.
@@ -124,19 +124,20 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], weights: list[float],
     """
     h, p = host(F.col(column)), path(F.col(column))
     ordered = sorted(rules, key=lambda r: -len(r.name))
-    fits = lambda r: (F.col("_h").eqNullSafe(r.host) | F.endswith("_h", F.lit(f".{r.host}"))) & F.startswith("_p", F.lit(r.path))
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "score", "verdict")]
+    host_, path_, slots_, action_ = unused([*kept, "rule", "score"], "_host", "_path", "_slots", "_action")
+    fits = lambda r: (F.col(host_).eqNullSafe(r.host) | F.endswith(host_, F.lit(f".{r.host}"))) & F.startswith(path_, F.lit(r.path))
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in reversed(ordered):
         rule, action = F.when(fits(r), r.name).otherwise(rule), F.when(fits(r), r.action).otherwise(action)
     array = F.from_json(F.lit(str(weights)), "array<double>")
-    total = F.aggregate("_s", F.lit(0.0), lambda sum_, i: sum_ + F.get(array, i))
-    margin = F.when(F.size("_s") > 0, total / F.size("_s")).otherwise(0.0)
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "score", "verdict")]
-    parts = pages.select(*kept, h.alias("_h"), p.alias("_p"))
-    slots = parts.select("*", _features(F.col("_h"), F.col("_p")).alias("_s"))
-    scored = slots.select(*kept, "_h", "_p", rule.alias("rule"), action.alias("_action"), (1 / (1 + F.exp(-margin))).alias("score"))
-    verdict = F.coalesce("_action", F.when(F.col("score") > THRESHOLD, "block").otherwise("allow"))
-    return scored.select(*kept, F.col("_h").alias("host"), F.col("_p").alias("path"), "rule", "score", verdict.alias("verdict"))
+    total = F.aggregate(slots_, F.lit(0.0), lambda sum_, i: sum_ + F.get(array, i))
+    margin = F.when(F.size(slots_) > 0, total / F.size(slots_)).otherwise(0.0)
+    parts = pages.select(*kept, h.alias(host_), p.alias(path_))
+    slots = parts.select("*", _features(F.col(host_), F.col(path_)).alias(slots_))
+    scored = slots.select(*kept, host_, path_, rule.alias("rule"), action.alias(action_), (1 / (1 + F.exp(-margin))).alias("score"))
+    verdict = F.coalesce(action_, F.when(F.col("score") > THRESHOLD, "block").otherwise("allow"))
+    return scored.select(*kept, F.col(host_).alias("host"), F.col(path_).alias("path"), "rule", "score", verdict.alias("verdict"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

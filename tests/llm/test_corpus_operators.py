@@ -16,9 +16,11 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from newsloom.llm import simhash_dedup
 from newsloom.llm.components import connected_components
+from newsloom.llm.decontaminate import find_contamination
 from newsloom.llm.packing import CAPACITY, pack, plan_bins
 from newsloom.llm.registry import QUERIES
 from newsloom.llm.sharding import assign_shards, write_shards
+from newsloom.llm.url_filter import RULES, judge_urls
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -215,3 +217,29 @@ def test_pipeline_runs(spark):
     for r in rows:
         total[r["sequence_id"]] += r["length"]
     assert max(total.values()) <= CAPACITY
+
+
+def test_columns_named_like_inner_ones_stay(spark):
+    names = "_a _n _c _cell _bytes _part prefix bytes fp _fp _root _least _host _path _slots _action _runs items score shard fingerprint".split()
+    df = spark.createDataFrame([(i, f"some text {i}", f"http://x{i}.org/a", 10 + i, *[f"{n}{i}" for n in names]) for i in range(6)], "doc_id long, text string, url string, n_bytes long, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([(1, "some text 3"), (2, "other words")], "item_id long, text string")
+    results = {
+        "shard": assign_shards(df, limit=20),
+        "overflow": assign_shards(df.withColumn("doc_id", F.lit(1)), limit=20),
+        "simhash": simhash_dedup.near_duplicates(df),
+        "url": judge_urls(df, RULES, [0.0] * (1 << 15)),
+        "bench": find_contamination(df, bench, block_bytes=10),
+    }
+    for name, out in results.items():
+        rows = out.collect()
+        assert len(rows) == 6, name
+        for n in names:
+            if not (n, name) in {("shard", "shard"), ("shard", "overflow"), ("fingerprint", "simhash"), ("score", "url"), ("items", "bench")}:
+                assert sorted(r[n] for r in rows) == [f"{n}{i}" for i in range(6)], (name, n)
+
+
+def test_many_components_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"w{k // 2} x y z " * 9) for k in range(40)], "doc_id long, text string")
+    want = sorted(map(tuple, simhash_dedup.near_duplicates(docs).collect()))
+    monkeypatch.setattr(simhash_dedup, "SENT_ROOTS", 0)
+    assert sorted(map(tuple, simhash_dedup.near_duplicates(docs).collect())) == want

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from newsloom.llm import language_id, quality_classifier, quality_rules, transducer, url_filter
+from newsloom.llm.common import slices
 from newsloom.llm.decontaminate import find_contamination, original_spans, windows_of
 from newsloom.llm.html_extract import extract_main_text, main_text
 from newsloom.llm.packing import token_ids
@@ -46,8 +47,8 @@ def test_language_accuracy_and_odd_texts(spark):
     assert len(rows) == len(ODD_TEXTS) + 2
     assert {r["lang_pred"] for r in rows if not (r["text"] or "").strip()} == {"und"} and all(isinstance(r["score"], float) for r in rows)
     assert language_id.identify_languages(odd_documents(spark).limit(0), model).count() == 0
-    with pytest.raises(ValueError):
-        language_id.fit_language_model(docs.withColumn("lang", F.lit(None).cast("string")))
+    nothing = language_id.fit_language_model(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {(r["lang_pred"], r["score"]) for r in language_id.identify_languages(odd_documents(spark), nothing).collect()} == {("und", 0.0)}
 
 
 def test_pages_give_their_article(spark):
@@ -216,5 +217,22 @@ def test_classifier_accuracy_and_odd_texts(spark):
     rows = quality_classifier.score_quality(odd_documents(spark), model).collect()
     assert len(rows) == len(ODD_TEXTS) + 2 and all(0 <= r["score"] <= 1 for r in rows)
     assert len({r["score"] for r in rows if not (r["text"] or "").strip()}) == 1
-    with pytest.raises(ValueError):
-        quality_classifier.fit_quality_classifier(docs, table.limit(0))
+    nothing = quality_classifier.fit_quality_classifier(docs, table.limit(0))
+    assert {(r["score"], r["predicted"]) for r in quality_classifier.score_quality(odd_documents(spark), nothing).collect()} == {(0.5, 0)}
+    assert quality_classifier.fit_quality_classifier(docs.limit(0), table).network is None
+    assert quality_classifier.score_quality(odd_documents(spark).limit(0), model).count() == 0
+
+
+def test_long_texts_come_in_pieces(monkeypatch):
+    rng = random.Random(5)
+    texts = [b"", b"a", " ".join("".join(rng.choices("aébc", k=rng.randint(1, 9))) for _ in range(400)).encode(), "é".encode() * 300, b"x y"]
+    vectors = np.random.default_rng(0).normal(size=(quality_classifier.WORDS, quality_classifier.DIMENSIONS))
+    whole = language_id._features(texts), quality_classifier.pooled(texts, vectors)
+    pieces = [(i, p) for owners, some in slices(texts, 64) for i, p in zip(owners.tolist(), some, strict=True)]
+    assert [b"".join(p for i, p in pieces if i == k) for k in range(len(texts))] == texts
+    assert max(len(p) for _, p in pieces) <= 64 and all(p.decode("utf-8") is not None for _, p in pieces)
+    for module in (language_id, quality_classifier):
+        monkeypatch.setattr(module, "slices", lambda some: slices(some, 64))
+    parts = language_id._features(texts), quality_classifier.pooled(texts, vectors)
+    assert np.allclose(parts[1][[0, 1, 4]], whole[1][[0, 1, 4]]) and np.abs(parts[1] - whole[1])[2].max() < 0.05
+    assert [a[1].sum() for a in parts[0]][:2] == [a[1].sum() for a in whole[0]][:2]
