@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import checkpointed, table
+from newsloom.llm.common import checkpointed, table, unused
 from newsloom.llm.decontaminate import find_contamination
 from newsloom.llm.packing import pack
 from newsloom.llm.quality_classifier import fit_quality_classifier, score_quality
@@ -41,17 +41,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of smallest doc_id, nulls last, then by its text's MD5.
 
-    A row is known by doc_id and text together, so null and repeated ids name no other document. Rows equal in
-    both are copies, of which any one is left, whatever their other columns.
+    Rows are known by their place in ``docs``, so null and repeated ids name no other document; of rows equal in
+    doc_id and text, the first is left. ``docs`` must have its rows in the same places each time it is read, as
+    files and checkpoints have.
     """
-    key = "_key"
-    while key in map(str.lower, docs.columns):
-        key = "_" + key
+    row, key = unused(docs.columns, "_row", "_key")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", digest.alias("digest")))
-    named = near_duplicates(keyed.select(key, "text"), key=key)
-    kept = named.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return keyed.dropDuplicates([key]).join(kept, key, "left_semi").select(*docs.columns)
+    own = numbered.select(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", digest.alias("digest"), F.col(row).alias("row")).alias(key), "text")
+    named = near_duplicates(own, key=key)
+    kept = named.where(F.col(key) == F.col("component_id")).select(F.col(f"{key}.row").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
