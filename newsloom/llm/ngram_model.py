@@ -30,6 +30,8 @@ ORDER, CLASS_BITS = 5, 12
 BLOCK_BYTES, PASS_CHARS = 16 << 20, 1 << 20
 #: N-grams that the model of all languages counts for beside a language's own.
 PRIOR_GRAMS = 20_000
+#: Discounts and sizes of so many models are sent to every task; of more they are joined.
+SENT_MODELS = 10_000
 #: The language that a null one counts as, and the model of all languages.
 OTHER, EVERY = "other", "every"
 _EXACT, _PRIME = 1 << CLASS_BITS - 1, 1_000_003
@@ -78,8 +80,9 @@ def gram_codes(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 
 
 def bucket_of(codes: np.ndarray | Column, buckets: int) -> np.ndarray | Column:
-    """The bucket of codes, in numpy and in Spark."""
-    return codes % _PRIME % buckets
+    """The bucket of codes, in numpy and in Spark: that of all their characters but the last two."""
+    context = F.shiftright(codes, 2 * CLASS_BITS) if isinstance(codes, Column) else codes >> 2 * CLASS_BITS
+    return context % _PRIME % buckets
 
 
 def numbered_blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -104,13 +107,15 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _packed(codes: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted codes and their counts, compressed: differences of codes first."""
-    return pa.compress(np.concatenate([np.diff(codes, prepend=0), n]).astype("<i8").tobytes(), codec="zstd", asbytes=True)
+    """Sorted codes and their counts, compressed: all first bytes, then all second ones, and so on."""
+    both = np.concatenate([codes, n]).astype("<i8")
+    return pa.compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
 
 
 def _unpacked(grams: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(pa.decompress(grams, 16 * size, codec="zstd"), "<i8")
-    return np.cumsum(both[:size]), both[size:]
+    by_place = np.frombuffer(pa.decompress(grams, 16 * size, codec="zstd"), np.uint8).reshape(8, -1)
+    both = np.ascontiguousarray(by_place.T).view("<i8").reshape(-1)
+    return both[:size], both[size:]
 
 
 def block_grams(docs: DataFrame, buckets: int) -> DataFrame:
@@ -171,6 +176,12 @@ def total_grams(grams: DataFrame) -> DataFrame:
     return grams.groupBy("bucket").applyInArrow(add_up, "lang string, code long, n long")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A table of a row for each model, sent to every task unless languages are so many that it is joined."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= SENT_MODELS else df
+
+
 def _rest(order: int) -> Column:
     """The code of a code's last ``order`` characters."""
     return F.col("code").bitwiseAND(F.lit((1 << CLASS_BITS * order) - 1))
@@ -194,13 +205,13 @@ def smoothed(counts: DataFrame) -> DataFrame:
     for order in range(ORDER - 1, 0, -1):
         levels.append(checkpointed(levels[-1].groupBy("model", _rest(order).alias("code")).agg(F.count("*").alias("n"))))
     lowest = levels.pop()
-    total = F.sum(F.col("n") + 0.5).over(Window.partitionBy("model"))
-    p = lowest.select("model", "code", ((F.col("n") + 0.5) / total).alias("p"))
+    total = _small(lowest.groupBy("model").agg(F.sum(F.col("n") + 0.5).alias("total")))
+    p = lowest.join(total, "model").select("model", "code", ((F.col("n") + 0.5) / F.col("total")).alias("p"))
     for order in range(2, ORDER + 1):
         own = levels.pop()
         context = Window.partitionBy("model", F.shiftright("code", CLASS_BITS))
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        level = own.join(_discounts(own), "model").select("model", "code", "n", d.alias("d"), _rest(order - 1).alias("low"))
+        level = own.join(_small(_discounts(own)), "model").select("model", "code", "n", d.alias("d"), _rest(order - 1).alias("low"))
         level = level.select("model", "code", "low", (F.col("n") - F.col("d")).alias("rest"), F.sum("n").over(context).alias("total"), F.sum("d").over(context).alias("taken"))
         lower = p.select("model", F.col("code").alias("low"), F.col("p").alias("lower"))
         p = level.join(lower, ["model", "low"]).select("model", "code", ((F.col("rest") + F.col("taken") * F.col("lower")) / F.col("total")).alias("p"))
@@ -219,7 +230,7 @@ def block_log_probabilities(docs: DataFrame) -> DataFrame:
     every = own.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(EVERY).alias("model"), "code", "n")
     p = smoothed(own.unionByName(every))
     pooled = F.max(F.when(F.col("model") == EVERY, F.col("p"))).over(Window.partitionBy("code"))
-    size = own.groupBy("model").agg(F.sum("n").cast("double").alias("size"))
+    size = _small(own.groupBy("model").agg(F.sum("n").cast("double").alias("size")))
     weight = F.col("size") / (F.col("size") + PRIOR_GRAMS)
     mixed = p.withColumn("q", pooled).join(size, "model").select("model", "code", F.log(weight * F.col("p") + (1 - weight) * F.col("q")).alias("value"))
     model = mixed.select(bucket_of(F.col("code"), buckets).alias("bucket"), F.substring("model", 2, 1 << 30).alias("lang"), "code", "value")
