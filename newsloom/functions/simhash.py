@@ -1,39 +1,49 @@
-"""64-bit SimHash over FNV-1a, in expressions that never overflow a long."""
+"""64-bit SimHash over FNV-1a, in Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions.text import simhash_tokens, trimmed
 
-_LOW = 0xFFFFFFFF
+_START, _PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 
 
-def fnv1a64(token: Column) -> Column:
-    """FNV-1a of an ASCII token as a struct of two 32-bit halves."""
-    start = F.struct(F.lit(3421674724).alias("hi"), F.lit(2216829733).alias("lo"))
+def fnv1a64(tokens: list[bytes]) -> np.ndarray:
+    """FNV-1a of some tokens, all of them byte by byte in step."""
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    data = np.frombuffer(b"".join(tokens), np.uint8)
+    starts, out = np.cumsum(sizes) - sizes, np.full(len(tokens), _START)
+    for k in range(int(sizes.max(initial=0))):
+        live = np.flatnonzero(sizes > k)
+        out[live] = (out[live] ^ data[starts[live] + k]) * _PRIME
+    return out
 
-    def step(s: Column, c: Column) -> Column:
-        x = s["lo"].bitwiseXOR(F.ascii(c).cast("long"))
-        hi = s["hi"] * 435 + F.shiftrightunsigned(x * 435, 32) + F.shiftleft(x, 8)
-        return F.struct(hi.bitwiseAND(F.lit(_LOW)).alias("hi"), (x * 435).bitwiseAND(F.lit(_LOW)).alias("lo"))
 
-    return F.aggregate(F.split(token, ""), start, step)
+@F.pandas_udf(T.LongType())
+def _simhash(tokens: pd.Series) -> pd.Series:
+    lists = [[] if x is None else list(x) for x in tokens]
+    known = {t: i for i, t in enumerate(dict.fromkeys(t for x in lists for t in x))}
+    bits = np.unpackbits(fnv1a64([t.encode() for t in known]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
+    out = np.zeros(len(lists), np.int64)
+    for i, own in enumerate(lists):
+        if own:
+            votes = bits[[known[t] for t in own]].sum(0, dtype=np.int64)
+            out[i] = np.packbits(votes > 0, bitorder="little").view(np.int64)[0]
+    return pd.Series(out)
 
 
-def simhash64(text: Column) -> Column:
-    """Bit i is set if more token hashes have it than not; no token: 0. The bit pattern of an unsigned number, as a long."""
-    hashes = F.transform(simhash_tokens(text), fnv1a64)
-    zero = F.array_repeat(F.lit(0), 32)
-
-    def votes(half: str) -> Column:
-        return F.aggregate(hashes, zero, lambda sums, h: F.transform(sums, lambda s, i: s + F.when(F.call_function("getbit", h[half], i) == 1, 1).otherwise(-1)))
+#: Taken as not deterministic, so that a filter on a hash doesn't make Spark compute it twice.
+_simhash = _simhash.asNondeterministic()
 
-    def bits(sums: Column) -> Column:
-        return F.aggregate(F.transform(sums, lambda s, i: F.when(s > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
-    return F.shiftleft(bits(votes("hi")), 32).bitwiseOR(bits(votes("lo")))
+def simhash64(text: Column) -> Column:
+    """Bit i is set if more token hashes have it than not; no token: 0. The bit pattern of an unsigned number, as a long."""
+    return _simhash(simhash_tokens(text))
 
 
 def article_simhash(title: Column, body: Column) -> Column:

@@ -10,7 +10,7 @@ from newsloom.functions.text import title_tokens, versions_agree
 from newsloom.functions.url import normalize_url
 from newsloom.operators.tables import checkpointed
 
-HAMMING, BANDS = 3, 4
+HAMMING = 3
 
 
 def drop_unusable(items: DataFrame) -> DataFrame:
@@ -65,12 +65,23 @@ def simhash_classes(hashes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(hashes: DataFrame, max_distance: int = HAMMING) -> DataFrame:
-    """(later, earlier, distance) of classes of equal simhash, by first article, at most three bits apart: they agree in one of four bands."""
+    """(later, earlier, distance) of classes of equal simhash, by first article, at most three bits apart.
+
+    Such hashes differ in at most one bit of one of their 32-bit halves. So each is filed under its halves, and
+    looked up under them and their neighbours with one more bit set; the number of keys doesn't shrink with
+    the number of hashes as that of narrow bands would.
+    """
+    if max_distance > HAMMING:
+        raise ValueError(f"halves find at most {HAMMING} bits")
     classes = checkpointed(simhash_classes(hashes))
-    bands = classes.select("simhash", "first", F.explode(F.array(*[F.struct(F.lit(k).alias("n"), F.shiftrightunsigned("simhash", 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("v")) for k in range(BANDS)])).alias("band"))
-    pairs = bands.alias("x").join(bands.alias("y"), F.col("x.band") == F.col("y.band")).where("x.first > y.first")
-    near = pairs.select(F.col("x.first").alias("later"), F.col("y.first").alias("earlier"), hamming(F.col("x.simhash"), F.col("y.simhash")).alias("distance"))
-    return near.where(F.col("distance") <= max_distance).distinct()
+    half = F.array(F.col("simhash").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("simhash", 32))
+    filed = classes.select("simhash", "first", F.posexplode(half).alias("half", "v"))
+    clear = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: F.call_function("getbit", F.col("v"), i) == 0)
+    near = F.concat(F.array("v"), F.transform(clear, lambda i: F.col("v") + F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    asked = filed.select(F.col("simhash").alias("other"), F.col("first").alias("other_first"), "half", F.explode(near).alias("v"))
+    met = filed.join(asked, ["half", "v"]).where(F.col("first") != F.col("other_first"))
+    distance = hamming(F.col("simhash"), F.col("other")).alias("distance")
+    return met.select(F.greatest("first", "other_first").alias("later"), F.least("first", "other_first").alias("earlier"), distance).where(F.col("distance") <= max_distance).distinct()
 
 
 def story_parents(articles: DataFrame) -> DataFrame:
@@ -131,13 +142,30 @@ def ingest_outcomes(items: DataFrame, stored: DataFrame, stories: DataFrame, as_
     return items.select("id").join(kept, "id", "left").join(anchor, "id", "left").select("id", outcome.alias("outcome"))
 
 
-def health_streaks(log: DataFrame) -> DataFrame:
-    """The fetch log with its running failure and empty streaks by source."""
-    order = Window.partitionBy("source_id").orderBy("cycle_ts", "id")
-    changed = F.coalesce((F.col("outcome") != F.lag("outcome").over(order)).cast("int"), F.lit(1))
-    runs = log.withColumn("_c", changed).withColumn("_run", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    streak = F.row_number().over(Window.partitionBy("source_id", "_run").orderBy("cycle_ts", "id"))
-    return runs.withColumn("streak", streak).drop("_c", "_run")
+def health_streaks(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The fetch log with its running failure and empty streaks by source; they go on from those of ``before`` (source_id, outcome, streak).
+
+    Streaks run within a source's day; what a day's first run carries over comes from a summary of the days, so a
+    source's whole history is never sorted in one task.
+    """
+    own = log.withColumn("_day", F.to_date("cycle_ts"))
+    order = Window.partitionBy("source_id", "_day").orderBy("cycle_ts", "id")
+    changed = F.coalesce((F.col("outcome") != F.lag("outcome").over(order)).cast("int"), F.lit(0))
+    runs = own.withColumn("_c", changed).withColumn("_run", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    within = runs.withColumn("_streak", F.row_number().over(Window.partitionBy("source_id", "_day", "_run").orderBy("cycle_ts", "id")))
+    at = F.struct("cycle_ts", "id")
+    days = within.groupBy("source_id", "_day").agg(F.min_by("outcome", at).alias("_first"), F.max_by(F.struct("outcome", F.col("_streak").alias("n")), at).alias("_last"), F.max("_run").alias("_runs"))
+    if before is not None:
+        old = F.struct("outcome", F.col("streak").cast("int").alias("n"))
+        days = days.unionByName(before.select("source_id", F.lit("0001-01-01").cast("date").alias("_day"), F.col("outcome").alias("_first"), old.alias("_last"), F.lit(0).cast("long").alias("_runs")))
+    by_day = Window.partitionBy("source_id").orderBy("_day")
+    # a day whose one run goes on from the day before belongs to the same stretch of days
+    goes_on = F.coalesce(F.col("_first") == F.lag("_last.outcome").over(by_day), F.lit(False))
+    stretches = days.withColumn("_goes_on", goes_on).withColumn("_stretch", F.sum((~(F.col("_goes_on") & (F.col("_runs") == 0))).cast("int")).over(by_day))
+    ends = stretches.withColumn("_end", F.sum("_last.n").over(Window.partitionBy("source_id", "_stretch").orderBy("_day")))
+    carried = ends.select("source_id", "_day", F.when(F.col("_goes_on"), F.lag("_end").over(by_day)).otherwise(0).alias("_carried"))
+    streak = F.col("_streak") + F.when(F.col("_run") == 0, F.col("_carried")).otherwise(0)
+    return within.join(carried, ["source_id", "_day"]).withColumn("streak", streak.cast("int")).select(*log.columns, "streak")
 
 
 def source_health(log: DataFrame, warn_after: int = 3) -> DataFrame:

@@ -38,7 +38,7 @@ def stream_triage(spark, sf_dir):
 
 
 def stream_health(spark, sf_dir):
-    return Z.run_available(Z.stream_health(_landed(spark, sf_dir, "f_fetch_log"))).where("outcome <> 'ok' AND streak = 3").select("source_id", "cycle_ts", "outcome")
+    return Z.stream_health(_landed(spark, sf_dir, "f_fetch_log")).where("outcome <> 'ok' AND streak = 3").select("source_id", "cycle_ts", "outcome")
 
 
 QUERIES |= {f.__name__: f for f in (stream_items, stream_dedup, stream_classify, stream_triage, stream_health)}

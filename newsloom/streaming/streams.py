@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newsloom.functions.simhash import article_simhash
 from newsloom.operators.articles import replay_events
-from newsloom.operators.ingest import assign_stories, drop_stale, drop_unusable
+from newsloom.operators.ingest import assign_stories, drop_stale, drop_unusable, health_streaks
 from newsloom.operators.rules import decide
+from newsloom.operators.tables import shared_folder
 
 
 def landing(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -25,8 +23,7 @@ def landing(spark: SparkSession, path: str, files_per_batch: int | None = None)
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder for a stream's output and state, in the shared checkpoint folder."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -59,23 +56,33 @@ def stream_triage(events: DataFrame) -> DataFrame:
     return replay_events(events)
 
 
+def health_batch(folder: str) -> Callable[[DataFrame, int], None]:
+    """A function for foreachBatch that writes a batch of the fetch log with streaks, which go on from the batch before.
+
+    A batch's rows are in ``folder``/out/batch=…, each source's last outcome and streak after it in
+    ``folder``/after/…: a batch that runs again replaces what it wrote. Batches land in the order of cycles.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{folder}/after/{batch_id - 1}") if batch_id else None
+        batch.select("id", "source_id", "cycle_ts", "outcome").write.mode("overwrite").parquet(f"{folder}/rows/{batch_id}")
+        streaks = health_streaks(spark.read.parquet(f"{folder}/rows/{batch_id}"), before)
+        streaks.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        at = F.struct("cycle_ts", "id")
+        last = spark.read.parquet(f"{folder}/out/batch={batch_id}").groupBy("source_id").agg(F.max_by("outcome", at).alias("outcome"), F.max_by("streak", at).alias("streak"))
+        if before is not None:
+            last = last.unionByName(before.join(last, "source_id", "left_anti"))
+        last.write.mode("overwrite").parquet(f"{folder}/after/{batch_id}")
+
+    return run
+
+
 def stream_health(log: DataFrame) -> DataFrame:
-    """(source_id, cycle_ts, outcome, streak) of every fetch, the streak carried in state by source. Cycles of a source land in order."""
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, streak = state.get if state.exists else ("", 0)
-        for frame in [pd.concat(list(frames)).sort_values(["cycle_ts", "id"])]:
-            streaks = []
-            for outcome in frame["outcome"]:
-                streak = streak + 1 if outcome == last else 1
-                last = outcome
-                streaks.append(streak)
-            yield pd.DataFrame({"source_id": key[0], "cycle_ts": frame["cycle_ts"], "outcome": frame["outcome"], "streak": streaks})
-        state.update((last, streak))
-
-    kind = log.schema["cycle_ts"].dataType.simpleString()
-    own = log.select("id", "source_id", "cycle_ts", "outcome")
-    return own.groupBy("source_id").applyInPandasWithState(advance, f"source_id int, cycle_ts {kind}, outcome string, streak int", "last string, streak int", "append", GroupStateTimeout.NoTimeout)
+    """(id, source_id, cycle_ts, outcome, streak) of every fetch that has landed in a stream."""
+    folder = work_folder(log.sparkSession)
+    log.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(health_batch(folder)).start().awaitTermination()
+    return log.sparkSession.read.parquet(f"{folder}/out").drop("batch")
 
 
 def story_batch(known: Callable[[], DataFrame], save: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
