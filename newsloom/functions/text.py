@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,24 +25,68 @@ ACRONYMS = (
 _BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 
+#: What RE2 doesn't have: looking around, atomic groups, references back and possessive repeats.
+_REFUSED = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k[<{]|(?:[*+?]|\{\d+(?:,\d*)?\})\+")
+#: Names of classes in brackets, as RE2 has them, in Spark's dialect.
+_POSIX = {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "punct": "Punct", "space": "Space", "blank": "Blank", "xdigit": "XDigit", "cntrl": "Cntrl", "graph": "Graph", "print": "Print"}
+
+
 def portable_regex(pattern: str, ignore_case: bool = True) -> str:
-    """A pattern of the RE2 dialect for Spark's: ASCII word boundaries, ``$`` at the very end only, Unicode case folding."""
+    """A pattern of the RE2 dialect for Spark's.
+
+    ASCII word boundaries, ``$`` at the very end only, Unicode case folding, names of groups left out, scripts
+    and bracketed classes under their names there. Quoted parts stay as they are.
+    """
     out, i, in_class = [], 0, False
     while i < len(pattern):
         c = pattern[i]
+        if pattern.startswith("\\Q", i):
+            end = pattern.find("\\E", i + 2)
+            end = len(pattern) if end < 0 else end
+            out.append(re.sub(r"([^0-9A-Za-z])", r"\\\1", pattern[i + 2 : end]))
+            i = end + 2
+            continue
         if c == "\\" and i + 1 < len(pattern):
+            script = re.match(r"\\([pP])\{(\^?)([A-Z][a-z]{2,}\w*)\}", pattern[i:])
+            if script:
+                out.append(f"\\{script[1]}{{{script[2]}Is{script[3]}}}")
+                i += len(script[0])
+                continue
             out.append(_BOUNDARY if pattern[i + 1] == "b" and not in_class else pattern[i : i + 2])
             i += 2
             continue
+        named = re.match(r"\(\?P?<\w+>", pattern[i:])
+        if named and not in_class:
+            out.append("(?:")
+            i += len(named[0])
+            continue
         if in_class:
+            posix = re.match(r"\[:(\^?)(\w+):\]", pattern[i:])
+            if posix and (posix[2] in _POSIX or posix[2] == "word"):
+                name = r"\w" if posix[2] == "word" else rf"\p{{{_POSIX[posix[2]]}}}"
+                out.append(name[0] + name[1].upper() + name[2:] if posix[1] else name)
+                i += len(posix[0])
+                continue
             in_class = c != "]"
+            if c == "[" or pattern.startswith("&&", i):
+                out.append("\\")  # plain characters in RE2's classes
         elif c == "[":
             in_class = True
+            first = re.match(r"\[\^?\]?", pattern[i:])[0]
+            out.append(first.replace("]", r"\]"))
+            i += len(first)
+            continue
         out.append(r"\z" if c == "$" and not in_class else c)
         i += 1
     return ("(?iu)" if ignore_case else "") + "".join(out)
 
 
+def re2_has(pattern: str) -> bool:
+    """Whether a pattern holds nothing that RE2 refuses; quoted parts and classes may hold anything."""
+    bare = re.sub(r"\\Q.*?(?:\\E|\Z)", "", pattern, flags=re.S)
+    return not _REFUSED.search(re.sub(r"\\\\|\[\^?\]?(?:\\.|[^\]\\])*\]", "x", bare))
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(text, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")

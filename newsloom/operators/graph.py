@@ -118,20 +118,38 @@ def co_mentioned(links: DataFrame, notes: DataFrame) -> DataFrame:
     return own.alias("x").join(links.alias("y"), F.col("x.to_slug") == F.col("y.to_slug")).where("x.from_note <> y.from_note").select(F.col("x.from_note").alias("note"), F.col("y.from_note").alias("other")).distinct()
 
 
-def shared_tag_notes(notes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(note, other) of notes that have one of the specific tags of ``wanted`` notes."""
-    tags = notes.select("id", F.explode("tags").alias("tag")).where(~F.col("tag").isin(*GENERIC_TAGS))
-    own = wanted.select(F.col("id").alias("note"), F.explode("tags").alias("tag"))
-    return own.join(tags, "tag").where("note <> id").select("note", F.col("id").alias("other")).distinct()
+def shared_tag_notes(notes: DataFrame) -> DataFrame:
+    """(tag, id, others): the notes of each specific tag, and how many others have it: notes that share it are one class."""
+    tags = notes.select("id", F.explode(F.array_distinct("tags")).alias("tag")).where(~F.col("tag").isin(*GENERIC_TAGS))
+    return _with_class_size(tags, "tag", F.col("_n") - 1).select("tag", "id", F.col("_size").alias("others"))
+
+
+def _with_class_size(rows: DataFrame, key: str, size: Column) -> DataFrame:
+    """``rows`` with ``_size`` of their class, which is counted before it is joined."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).withColumn("_size", size).drop("_n")
+    return rows.join(sizes, key)
+
+
+def _first_of_class(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The ``most`` smallest ids of each class of ``rows`` (key, other): partial lists are cut before they are merged."""
+    at = Window.partitionBy(key).orderBy("other")
+    return rows.withColumn("_n", F.row_number().over(at)).where(F.col("_n") <= most).drop("_n")
 
 
 def graph_neighbors(notes: DataFrame, links: DataFrame, wanted: DataFrame, limit: int = 50) -> DataFrame:
-    """(note, other, tier): outgoing, incoming, co-mentioned, then notes of a shared tag; each other note once, the first tier counts."""
+    """(note, other, tier): outgoing, incoming, co-mentioned, then notes of a shared tag; each other note once, the first tier counts.
+
+    Of a slug or tag only the first ``limit`` + 1 notes are looked at: whatever of them an earlier tier has already
+    is among the ``limit`` that are kept.
+    """
     slug = notes.select(F.col("id").alias("other"), F.col("slug").alias("to_slug"))
     me = wanted.select(F.col("id").alias("note"), F.col("slug").alias("_slug"))
     out = links.withColumnRenamed("from_note", "note").join(me.select("note"), "note", "left_semi").join(slug, "to_slug").select("note", "other", F.lit(1).alias("tier"))
     into = links.join(me, F.col("to_slug") == F.col("_slug")).select("note", F.col("from_note").alias("other"), F.lit(2).alias("tier"))
-    every = out.unionByName(into).unionByName(co_mentioned(links, wanted).withColumn("tier", F.lit(3))).unionByName(shared_tag_notes(notes, wanted).withColumn("tier", F.lit(4)))
+    together = links.withColumnRenamed("from_note", "note").join(me.select("note"), "note", "left_semi").select("note", "to_slug").join(_first_of_class(links.select("to_slug", F.col("from_note").alias("other")).distinct(), "to_slug", limit + 1), "to_slug")
+    tags = notes.select(F.col("id").alias("other"), F.explode("tags").alias("tag")).where(~F.col("tag").isin(*GENERIC_TAGS)).distinct()
+    tagged = wanted.select(F.col("id").alias("note"), F.explode("tags").alias("tag")).distinct().join(_first_of_class(tags, "tag", limit + 1), "tag")
+    every = out.unionByName(into).unionByName(together.select("note", "other", F.lit(3).alias("tier"))).unionByName(tagged.select("note", "other", F.lit(4).alias("tier")))
     first = every.where("note <> other").groupBy("note", "other").agg(F.min("tier").alias("tier"))
     at = Window.partitionBy("note").orderBy("tier", "other")
     return first.withColumn("n", F.row_number().over(at)).where(F.col("n") <= limit).drop("n")
@@ -182,9 +200,12 @@ def tag_taxonomy(notes: DataFrame) -> DataFrame:
 
 
 def related_atoms(notes: DataFrame, articles: DataFrame) -> DataFrame:
-    """(id, note): atoms that share a tag with an article of ``articles`` (id, tags)."""
-    own = notes.where("note_type = 'atom'").select(F.col("id").alias("note"), F.explode("tags").alias("tag"))
-    return articles.select("id", F.explode("tags").alias("tag")).join(own, "tag").where("id <> note").select("id", "note").distinct()
+    """(id, tag, atoms): the tags of articles (id, tags) that atoms have, and how many other atoms have each; the atoms of a tag are in ``shared_tag_notes``."""
+    own = notes.where("note_type = 'atom'").select(F.col("id").alias("note"), F.explode(F.array_distinct("tags")).alias("tag"))
+    counted = own.groupBy("tag").agg(F.count("*").alias("_n"))
+    mine = own.select(F.col("note").alias("id"), "tag", F.lit(1).alias("_own"))
+    asked = articles.select("id", F.explode(F.array_distinct("tags")).alias("tag")).join(counted, "tag").join(mine, ["id", "tag"], "left")
+    return asked.select("id", "tag", (F.col("_n") - F.coalesce("_own", F.lit(0))).alias("atoms")).where("atoms > 0")
 
 
 def category_concepts(notes: DataFrame, aliases: DataFrame, concepts: DataFrame, top: int = 6) -> DataFrame:
@@ -204,10 +225,14 @@ def newest_by_category(notes: DataFrame, most: int = 10) -> DataFrame:
 
 
 def coverage_links(articles: DataFrame) -> DataFrame:
-    """(id, links): names of the sources of the other copies of an article's story, by id; stories of one have no row."""
+    """(story_id, name, articles, first): the sources that cover each story of two or more, with their articles and the first of those.
+
+    The other copies of an article's story are those rows but itself: a story has its list once, whatever its size.
+    """
     own = articles.where("story_id <> 0").select("id", "story_id", F.coalesce(F.nullif("source_name", F.lit("")), "url").alias("name"))
-    members = own.groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("m")).where(F.size("m") >= 2)
-    return own.join(members, "story_id").select("id", F.array_join(F.transform(F.filter("m", lambda x: x["id"] != F.col("id")), lambda x: x["name"]), ",").alias("links"))
+    names = own.groupBy("story_id", "name").agg(F.count("*").alias("articles"), F.min("id").alias("first"))
+    several = names.groupBy("story_id").agg(F.sum("articles").alias("_n")).where("_n >= 2")
+    return names.join(several.select("story_id"), "story_id", "left_semi")
 
 
 def build_preview(concepts: DataFrame, incoming: DataFrame, least: int = 2) -> DataFrame:

@@ -6,14 +6,15 @@ article: an array with the place of every rule that matches. ``MAX_RULES`` bound
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PythonException, SparkRuntimeException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import clamp_importance, portable_regex
+from newsloom.functions.text import clamp_importance, portable_regex, re2_has
 
 MAX_RULES = 500
 # Fixed values.
@@ -37,6 +38,17 @@ def parse_actions(actions: Column) -> Column:
     )
 
 
+def compiles(spark: SparkSession, pattern: str) -> bool:
+    """Whether RE2 would take a pattern and Spark takes its translation."""
+    if not re2_has(pattern):
+        return False
+    try:
+        spark.range(1).where(F.lit("").rlike(portable_regex(pattern))).collect()
+    except (PythonException, SparkRuntimeException, AnalysisException, Py4JJavaError):
+        return False
+    return True
+
+
 def valid_rules(rules: DataFrame) -> tuple[list, list]:
     """Enabled rules of a name and a pattern that compiles, by id; and those whose pattern doesn't. Collected: at most ``MAX_RULES``."""
     rows = rules.where("enabled AND trim(name) <> '' AND trim(query) <> ''").orderBy("id").limit(MAX_RULES + 1).collect()
@@ -44,11 +56,7 @@ def valid_rules(rules: DataFrame) -> tuple[list, list]:
         raise ValueError(f"more than {MAX_RULES} rules")
     good, bad = [], []
     for r in rows:
-        try:
-            re.compile(r["query"])
-            good.append(r)
-        except re.error:
-            bad.append(r)
+        (good if compiles(rules.sparkSession, r["query"]) else bad).append(r)
     return good, bad
 
 

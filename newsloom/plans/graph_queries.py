@@ -101,17 +101,17 @@ def incoming_links(links, n):
 
 _CO = "co AS (SELECT DISTINCT x.from_note AS note, y.from_note AS other FROM f_links x JOIN f_links y ON x.to_slug = y.to_slug AND x.from_note <> y.from_note)"
 _TAGGED = "tg AS (SELECT id, unnest(tags) AS tag FROM f_notes), st AS (SELECT DISTINCT x.id AS note, y.id AS other FROM tg x JOIN tg y ON x.tag = y.tag AND x.id <> y.id WHERE x.tag NOT IN ('ai', 'atom', 'concept', 'synthesis'))"
-_ELECTRON = "(SELECT id FROM f_notes WHERE note_type = 'electron')"
 
 
-@query("co_mentioned", "f_links", "f_notes", sql=f"WITH {_CO} SELECT note, other FROM co WHERE note IN {_ELECTRON}")
+@query("co_mentioned", "f_links", "f_notes", sql=f"WITH {_CO} SELECT note, other FROM co WHERE note % 100 = 0")
 def co_mentioned(links, n):
-    return G.co_mentioned(links, n.where("note_type = 'electron'"))
+    """For the notes whose id 100 divides, against all links."""
+    return G.co_mentioned(links, n.where("id % 100 = 0"))
 
 
-@query("shared_tag_notes", "f_notes", sql=f"WITH {_TAGGED} SELECT note, other FROM st")
+@query("shared_tag_notes", "f_notes", sql="WITH tg AS (SELECT DISTINCT id, unnest(tags) AS tag FROM f_notes) SELECT tag, id, count(*) OVER (PARTITION BY tag) - 1 AS others FROM tg WHERE tag NOT IN ('ai', 'atom', 'concept', 'synthesis')")
 def shared_tag_notes(n):
-    return G.shared_tag_notes(n, n)
+    return G.shared_tag_notes(n)
 
 
 @query("graph_neighbors", "f_notes", "f_links", sql=f"""WITH {_CO}, {_TAGGED}, ev AS (SELECT l.from_note AS note, n.id AS other, 1 AS tier FROM f_links l JOIN f_notes n ON n.slug = l.to_slug UNION ALL SELECT n.id, l.from_note, 2 FROM f_links l JOIN f_notes n ON n.slug = l.to_slug
@@ -182,7 +182,7 @@ def tag_taxonomy(n):
     return G.tag_taxonomy(n)
 
 
-@query("related_atoms", "f_notes", "f_articles", sql="WITH t AS (SELECT id, unnest(tags) AS tag FROM f_notes WHERE note_type = 'atom'), a AS (SELECT id, unnest(tags) AS tag FROM f_articles) SELECT DISTINCT a.id, t.id AS note FROM a JOIN t USING (tag) WHERE a.id <> t.id")
+@query("related_atoms", "f_notes", "f_articles", sql="WITH t AS (SELECT DISTINCT id, unnest(tags) AS tag FROM f_notes WHERE note_type = 'atom'), a AS (SELECT DISTINCT id, unnest(tags) AS tag FROM f_articles) SELECT a.id, tag, count(*) AS atoms FROM a JOIN t USING (tag) WHERE a.id <> t.id GROUP BY ALL")
 def related_atoms(n, a):
     return G.related_atoms(n, a)
 
@@ -198,7 +198,7 @@ def index_by_category(n):
     return G.newest_by_category(n)
 
 
-@query("coverage_links", "f_articles", "f_sources", sql=ART + "SELECT a.id, array_to_string(list(s.name ORDER BY b.id), ',') AS links FROM art a JOIN art b ON a.story_id = b.story_id AND a.id <> b.id JOIN f_sources s ON s.id = b.source_id WHERE a.story_id <> 0 GROUP BY a.id")
+@query("coverage_links", "f_articles", "f_sources", sql=ART + "SELECT a.story_id, s.name, count(*) AS articles, min(a.id) AS first FROM art a JOIN f_sources s ON s.id = a.source_id WHERE a.story_id <> 0 GROUP BY ALL")
 def coverage_links(a, s):
     return G.coverage_links(storied(a).join(s.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_id"))
 

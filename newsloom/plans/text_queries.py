@@ -145,9 +145,9 @@ def parse_wikilinks(n):
     return n.select("id", F.array_join(F.array_sort(X.parse_wikilinks(text)), ",").alias("links"))
 
 
-@query("note_body", "documents", sql="SELECT doc_id, text AS body FROM documents WHERE text IS NOT NULL")
+@query("note_body", "documents", sql="SELECT doc_id, text AS body FROM documents")
 def note_body(d):
-    return d.where("text IS NOT NULL").select("doc_id", X.note_body(F.concat(F.lit("---\ntitle: x\n---\n"), F.col("text"))).alias("body"))
+    return d.select("doc_id", X.note_body(F.concat(F.lit("---\ntitle: x\n---\n"), F.col("text"))).alias("body"))
 
 
 @query("extract_links", "pages", sql="SELECT page_id, url, concat('[', page_id, '](', url, ') ') AS text FROM pages")
@@ -184,6 +184,9 @@ def extract_pages_query(p):
     return extract_pages(p)
 
 
-@query("clean_markdown", "documents", sql="SELECT doc_id, trim(regexp_replace(text, '\n{4,}', '\n\n\n', 'g'), chr(10) || ' ') AS text FROM documents WHERE text IS NOT NULL AND NOT contains(text, '```')")
+@query("clean_markdown", "documents")
 def clean_markdown_query(d):
-    return d.where("text IS NOT NULL AND NOT contains(text, '```')").select("doc_id", clean_markdown(F.col("text")).alias("text"))
+    """Of every text, in turn as it is, in a fence of html, in an open fence and in one of another language."""
+    text = F.coalesce("text", F.lit(""))
+    fenced = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("```html\n"), text, F.lit("\n```"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("```\n"), text)).when(F.col("doc_id") % 4 == 3, F.concat(F.lit("```py\n"), text, F.lit("\n```\n\n\n\n\nend"))).otherwise(text)
+    return d.select("doc_id", clean_markdown(fenced).alias("text"))

@@ -5,6 +5,9 @@ Every reader gives ``ITEM``'s columns. Payloads that don't parse give no row; no
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,42 +73,50 @@ def read_hn_items(spark: SparkSession, path: str, page: str = "https://news.ycom
     return html_to_markdown(own.withColumn("html", F.col("content_html"))).withColumnRenamed("markdown", "content_md").select("guid", "url", "title", "author", "content_html", "content_md", "published")
 
 
-def _part(depth: int) -> str:
-    inner = f",parts:array<{_part(depth - 1)}>" if depth else ""
-    return f"struct<mimeType:string,body:struct<data:string>,headers:array<struct<name:string,value:string>>{inner}>"
-
+def read_mail_items(spark: SparkSession, path: str, as_of: Column | None = None, newer_than: int = 7, thread: str = "") -> DataFrame:
+    """Items of mail-message JSON: the first plain and the first html part in depth-first order, however deep.
 
-def read_mail_items(spark: SparkSession, path: str, as_of: Column, newer_than: int = 7, depth: int = 6, thread: str = "") -> DataFrame:
-    """Items of mail-message JSON: the first plain and the first html part in depth-first order, down to ``depth`` levels.
-
-    An unreadable date is ``as_of``; messages older than ``newer_than`` days are left out. ``thread`` is the url
-    before a thread's id.
+    An unreadable date is ``as_of`` (not given: now); messages older than ``newer_than`` days are left out.
+    ``thread`` is the url before a thread's id. Parts are nested without end, so they are read as a tree by batches.
     """
-    raw = spark.read.schema(f"id string, threadId string, payload {_part(depth)}").json(path, multiLine=True)
-
-    def parts(node: Column, level: int) -> Column:
-        own = F.array(F.struct(node["mimeType"].alias("kind"), node["body"]["data"].alias("data")))
-        if not level:
-            return own
-        below = F.flatten(F.transform(F.coalesce(node["parts"], F.array().cast(f"array<{_part(level - 1)}>")), lambda n: parts(n, level - 1)))
-        return F.concat(own, below)
-
-    def first(kind: str) -> Column:
-        found = F.filter("_parts", lambda p: F.startswith(p["kind"], F.lit(kind)) & (F.coalesce(p["data"], F.lit("")) != ""))
-        data = F.translate(F.get(found, F.lit(0))["data"], "-_", "+/")
+    as_of = F.current_timestamp() if as_of is None else as_of
+    raw = spark.read.schema("id string, threadId string, payload string").json(path, multiLine=True)
+    found = raw.withColumn("_parts", _mail_parts("payload"))
+    head = F.from_json("payload", "headers array<struct<name:string,value:string>>")["headers"]
+
+    def body(kind: str) -> Column:
+        data = F.translate(F.col(f"_parts.{kind}"), "-_", "+/")
         padded = F.rpad(data, (F.ceil(F.length(data) / 4) * 4).cast("int"), "=")
         return F.coalesce(F.decode(F.unbase64(padded), "UTF-8"), F.lit(""))
 
-    header = lambda name: F.coalesce(F.get(F.filter("payload.headers", lambda h: F.lower(h["name"]) == name), F.lit(0))["value"], F.lit(""))
+    header = lambda name: F.coalesce(F.get(F.filter(head, lambda h: F.lower(h["name"]) == name), F.lit(0))["value"], F.lit(""))
     sent = F.coalesce(feed_time(F.regexp_replace(header("date"), r"\s*\([^)]*\)$", "")), as_of)
-    own = raw.withColumn("_parts", parts(F.col("payload"), depth)).select(
+    own = found.select(
         F.col("id").alias("guid"), (F.concat(F.lit(thread), F.col("threadId")) if thread else F.lit("")).alias("url"), trimmed(header("subject")).alias("title"), header("from").alias("author"),
-        first("text/html").alias("content_html"), first("text/plain").alias("content_md"), sent.alias("published"),
+        body("html").alias("content_html"), body("plain").alias("content_md"), sent.alias("published"),
     )
     return own.where(F.col("published") >= as_of - F.make_dt_interval(F.lit(newer_than)))
 
 
-READERS = {"rss": read_feed_items, "arxiv": read_arxiv_items, "hackernews": read_hn_items}
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("plain", "html")]))
+def _mail_parts(payloads: pd.Series) -> pd.DataFrame:
+    """The encoded data of the first text/plain and text/html part with data, depth first."""
+    rows = []
+    for payload in payloads:
+        found: dict[str, str] = {}
+        todo = [json.loads(payload)] if payload else []
+        while todo and len(found) < 2:
+            part = todo.pop() or {}
+            kind, data = str(part.get("mimeType") or ""), (part.get("body") or {}).get("data")
+            for name in ("plain", "html"):
+                if data and kind.startswith(f"text/{name}"):
+                    found.setdefault(name, data)
+            todo.extend(reversed(part.get("parts") or []))
+        rows.append((found.get("plain"), found.get("html")))
+    return pd.DataFrame(rows, columns=["plain", "html"], dtype=object)
+
+
+READERS = {"rss": read_feed_items, "arxiv": read_arxiv_items, "hackernews": read_hn_items, "gmail": read_mail_items}
 
 
 def read_items(spark: SparkSession, sources: list[tuple[int, str, str]]) -> tuple[DataFrame, DataFrame]:
