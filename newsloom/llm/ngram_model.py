@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import checkpointed
 
 ORDER, CLASS_BITS = 5, 12
-#: Text bytes of a block, and characters that one numpy pass takes.
-BLOCK_BYTES, PASS_CHARS = 16 << 20, 1 << 20
+#: Text bytes of a block and of the parts in which its rows are read, and characters that one numpy pass takes.
+BLOCK_BYTES, PART_BYTES, PASS_CHARS = 16 << 20, 2 << 20, 1 << 18
 #: N-grams that the model of all languages counts for beside a language's own.
 PRIOR_GRAMS = 20_000
 #: Discounts and sizes of so many models are sent to every task; of more they are joined.
@@ -86,7 +86,7 @@ def bucket_of(codes: np.ndarray | Column, buckets: int) -> np.ndarray | Column:
 
 
 def numbered_blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[int, pa.RecordBatch]]:
-    """The rows of a partition with the number of their block: the same for any size of batches."""
+    """The rows of a partition, in parts of about ``PART_BYTES``, with the number of their block: the same for any size of batches."""
     part, size = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
         if not batch.num_rows:
@@ -96,7 +96,8 @@ def numbered_blocks(batches: Iterator[pa.RecordBatch], column: str = "text") ->
         before = size + np.cumsum(sizes) - sizes
         size += int(sizes.sum())
         number = before // BLOCK_BYTES
-        bounds = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+        new = (np.diff(number) != 0) | (np.diff(before // PART_BYTES) != 0)
+        bounds = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
         for a, b in zip(bounds, bounds[1:]):
             yield part + int(number[a]), batch.slice(a, b - a)
 
@@ -106,14 +107,14 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return codes, np.bincount(at, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
 
-def _packed(codes: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted codes and their counts, compressed: all first bytes, then all second ones, and so on."""
-    both = np.concatenate([codes, n]).astype("<i8")
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Sorted codes, and their counts if wanted, compressed: all first bytes, then all second ones, and so on."""
+    both = np.concatenate(arrays).astype("<i8")
     return pa.compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
 
 
-def _unpacked(grams: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
-    by_place = np.frombuffer(pa.decompress(grams, 16 * size, codec="zstd"), np.uint8).reshape(8, -1)
+def _unpacked(packed: bytes, size: int, arrays: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    by_place = np.frombuffer(pa.decompress(packed, 8 * size * arrays, codec="zstd"), np.uint8).reshape(8, -1)
     both = np.ascontiguousarray(by_place.T).view("<i8").reshape(-1)
     return both[:size], both[size:]
 
@@ -219,7 +220,7 @@ def smoothed(counts: DataFrame) -> DataFrame:
 
 
 def block_log_probabilities(docs: DataFrame) -> DataFrame:
-    """(block, lang, size, grams, values): for each block of ``docs`` (text, lang) its n-grams and their log probabilities.
+    """(block, lang, size, codes, values): for each block of ``docs`` (text, lang) its n-grams and their log probabilities.
 
     A language's model counts as many n-grams as it has beside ``PRIOR_GRAMS`` for the model of all languages.
     There are as many buckets as shuffle partitions, so that a bucket's rows stay as small as a partition's.
@@ -242,14 +243,16 @@ def block_log_probabilities(docs: DataFrame) -> DataFrame:
             mine = np.flatnonzero(langs.indices.to_numpy() == k)
             mine = mine[np.argsort(codes[mine])]
             tables[lang] = codes[mine], values[mine]
-        found = []
+        found, own_codes = [], []
         for lang, size, packed in zip(rows["lang"].to_pylist(), rows["size"].to_pylist(), rows["grams"].to_pylist(), strict=True):
             keys, own_values = tables[lang]
-            found.append(own_values[np.searchsorted(keys, _unpacked(packed, size)[0])].astype("<f4").tobytes())
-        return pa.table([rows[c] for c in ("block", "lang", "size", "grams")] + [pa.array(found, pa.binary())], ["block", "lang", "size", "grams", "values"])
+            mine, _ = _unpacked(packed, size)
+            own_codes.append(_packed(mine))
+            found.append(own_values[np.searchsorted(keys, mine)].astype("<f4").tobytes())
+        return pa.table([rows[c] for c in ("block", "lang", "size")] + [pa.array(own_codes, pa.binary()), pa.array(found, pa.binary())], ["block", "lang", "size", "codes", "values"])
 
     rows = grams.select(F.col("bucket").alias("at"), *[F.col(c).alias(c) for c in ("block", "lang", "size", "grams")])
-    return rows.groupBy("at").cogroup(model.groupBy("bucket")).applyInArrow(look_up, "block long, lang string, size long, grams binary, values binary")
+    return rows.groupBy("at").cogroup(model.groupBy("bucket")).applyInArrow(look_up, "block long, lang string, size long, codes binary, values binary")
 
 
 class BlockModel:
@@ -258,7 +261,7 @@ class BlockModel:
     def __init__(self, rows: pa.Table) -> None:
         found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for row in rows.to_pylist():
-            codes, _ = _unpacked(row["grams"], row["size"])
+            codes, _ = _unpacked(row["codes"], row["size"], 1)
             found.setdefault(row["lang"], []).append((codes, np.frombuffer(row["values"], "<f4").astype(float)))
         self.tables = {}
         for lang, parts in found.items():
