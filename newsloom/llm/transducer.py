@@ -24,6 +24,7 @@ before every chunk, and the heads are read again from there.
 from __future__ import annotations
 
 import json
+import marshal
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -35,7 +36,9 @@ import numpy as np
 import regex
 
 #: Bytes of a chunk, chunks that are read in step, and states that are kept before all are given up.
-CHUNK, LANES, STATES = 512, 2048, 200_000
+CHUNK, LANES, STATES = 512, 2048, 150_000
+#: Pairs of tokens of which it is remembered whether they may be neighbours.
+NEIGHBOURS = 100_000
 #: Below so many heads they are read one by one.
 FEW = 64
 #: The pattern that the states implement.
@@ -87,7 +90,6 @@ class Merges:
         self.halves = {token: (a, b, rank) for (a, b), (rank, token) in self.merged.items()}
         if len(self.halves) < len(self.merged) or any(self.halves.get(x, (0, 0, -1))[2] >= rank for a, b, rank in self.halves.values() for x in (a, b)):
             raise ValueError(f"{path}: a token that two merges make, or one that is made before its parts")
-        self.sides: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.neighbours: dict[tuple[int | None, int], bool] = {}
 
     def encode(self, symbols: list[int]) -> list[int]:
@@ -103,17 +105,12 @@ class Merges:
 
     def side(self, token: int, half: int) -> list[tuple[int, int]]:
         """What stands at the left (0) or right (1) edge of a token while it is merged, each with the rank that takes it into the next."""
-        known = self.sides.get((token, half))
-        if known is None:
-            known, at, after = [], token, 1 << 60
-            while True:
-                known.append((at, after))
-                if at not in self.halves:
-                    break
-                at, after = self.halves[at][half], self.halves[at][2]
-            known.reverse()
-            self.sides[token, half] = known
-        return known
+        found, at, after = [], token, 1 << 60
+        while True:
+            found.append((at, after))
+            if at not in self.halves:
+                return found[::-1]
+            at, after = self.halves[at][half], self.halves[at][2]
 
     def fit(self, left: int | None, right: int) -> bool:
         """Whether two tokens side by side (or one at the start of a word) are the encoding of their bytes.
@@ -141,6 +138,8 @@ class Merges:
                     i += 1
                 else:
                     j += 1
+        if len(self.neighbours) >= NEIGHBOURS:
+            self.neighbours.clear()
         self.neighbours[left, right] = known
         return known
 
@@ -169,6 +168,16 @@ class State(NamedTuple):
     cut: bytes = b""
 
 
+    def packed(self) -> bytes:
+        """The state in few bytes, equal for equal states."""
+        return marshal.dumps((self.kind, *self.window, self.close, self.pending, self.cut), 2)
+
+    @staticmethod
+    def of(packed: bytes) -> State:
+        kind, text, places, close, pending, cut = marshal.loads(packed)
+        return State(kind, Window(text, places), close, pending, cut)
+
+
 START = State()
 
 
@@ -188,8 +197,7 @@ class Transducer:
         self.outputs: dict[tuple[int, ...], int] = {(): 0}
         self._flat, self._ends = array("I"), array("q", [0])
         self.merges.neighbours.clear()
-        self.states, self.numbers = [START], {START: 0}
-        self.same: dict = {}  # of equal windows and places one is kept
+        self.states, self.numbers = [START.packed()], {START.packed(): 0}
         self.pages = np.zeros(8 * 1024, np.int32)  # page of each state and eighth of the bytes; page 0 is empty
         self.arcs = np.full(32 * 4096, -1, np.int64)  # next state and output of each page and byte in it
         self.n_pages = 1
@@ -236,10 +244,9 @@ class Transducer:
                 certain = tuple(a for a, b in takewhile(lambda p: p[0] == p[1], zip(certain, tokens)))
             if not certain:
                 break
-        n, same = len(certain), self.same.setdefault
-        places = tuple([same(p, p) for p in ((t, rest[n:]) for t, rest in window.places)])
-        window = Window(window.text, places)
-        return State(kind, same(window, window), close[n:]), certain
+        n = len(certain)
+        window = Window(window.text, tuple([(t, rest[n:]) for t, rest in window.places]))
+        return State(kind, window, close[n:]), certain
 
     def _step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         if byte >= SPECIAL:
@@ -289,7 +296,8 @@ class Transducer:
 
     def _compile(self, state: int, byte: int) -> int:
         """Adds the transition and returns its arc."""
-        after, tokens = self._step(self.states[state], byte)
+        next_state, tokens = self._step(State.of(self.states[state]), byte)
+        after = next_state.packed()
         number = self.numbers.get(after)
         if number is None:
             number = self.numbers[after] = len(self.states)
