@@ -241,11 +241,3 @@ def build_preview(concepts: DataFrame, incoming: DataFrame, least: int = 2) -> D
     both = concepts.select("slug", "note_id", "mentions").join(new, "slug", "full_outer")
     total = F.coalesce("mentions", F.lit(0)) + F.coalesce("n", F.lit(0))
     return both.select("slug", total.alias("mentions"), (F.col("note_id").isNull() & (total >= least)).alias("promoting"))
-
-
-def render_atoms(notes: DataFrame) -> DataFrame:
-    """(id, document): frontmatter, title, summary and links; empty sections are left out."""
-    quoted = lambda v: F.when(v.rlike(r"""^$|^[\s\-?:,\[\]{}#&*!|>'"%@`]|: |\s#|^(?i:true|false|null|yes|no|~|[0-9.]+)$|\s$"""), F.concat(F.lit('"'), F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(v)
-    head = F.concat(F.lit("---\ntitle: "), quoted(F.col("title")), F.lit("\ntype: "), F.col("note_type"), F.when(F.size("tags") > 0, F.concat(F.lit("\ntags:\n  - "), F.array_join(F.transform("tags", quoted), "\n  - "))).otherwise(""), F.lit("\n---\n"))
-    links = F.when(F.size("wikilinks") > 0, F.concat(F.lit("\n## Connections\n\n- [["), F.array_join("wikilinks", "]]\n- [["), F.lit("]]\n"))).otherwise("")
-    return notes.select("id", F.concat(head, F.lit("\n# "), F.col("title"), F.lit("\n"), links).alias("document"))

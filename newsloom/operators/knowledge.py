@@ -52,13 +52,6 @@ def save_themes(stored: DataFrame, new: DataFrame) -> DataFrame:
     return both.join(stored.select("slug", F.col("note_id").alias("_old")), "slug", "left").withColumn("note_id", F.coalesce("note_id", "_old")).drop("_old")
 
 
-def render_molecules(summaries: DataFrame) -> DataFrame:
-    """(seed, document) of theme summaries (seed, title, notes, first_day, last_day)."""
-    span = F.when(F.col("first_day") == F.col("last_day"), F.date_format("first_day", "yyyy-MM-dd")).otherwise(F.concat(F.date_format("first_day", "yyyy-MM-dd"), F.lit(" to "), F.date_format("last_day", "yyyy-MM-dd")))
-    text = F.concat(F.lit("---\ntype: molecule\n---\n\n# "), F.col("title"), F.lit("\n\n"), F.col("notes"), F.lit(" notes, "), span, F.lit("\n"))
-    return summaries.select("seed", text.alias("document"))
-
-
 def kb_build(candidates: DataFrame, notes: DataFrame, mentions: DataFrame, concepts: DataFrame, aliases: DataFrame, promote_at: int = 2) -> dict[str, DataFrame]:
     """The build in order: atoms, mentions and counts, promotions. Nothing is read again from storage between the steps."""
     atoms = build_atoms(candidates, aliases, concepts, notes.select("slug"))

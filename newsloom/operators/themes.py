@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import display_name
+
 from newsloom.operators.graph import concept_pairs
 from newsloom.operators.tables import checkpointed
 
@@ -50,3 +52,20 @@ def theme_summary(themes: DataFrame, mentions: DataFrame, notes: DataFrame) -> D
     hits = members.join(mentions.select("concept_slug", "note_id").distinct(), "concept_slug").groupBy("seed", "note_id").count().where("count >= 2")
     dated = hits.join(notes.select(F.col("id").alias("note_id"), F.to_date("created_at").alias("day")), "note_id").groupBy("seed").agg(F.count("*").alias("notes"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
     return themes.select("seed", F.array_join(F.slice("concepts", 1, 3), " · ").alias("title")).join(dated, "seed")
+
+
+def theme_views(themes: DataFrame, mentions: DataFrame, notes: DataFrame, most: int = 20) -> DataFrame:
+    """(slug, title, created, summary, concepts, notes) of themes, for their documents: the ``most`` newest notes in order of days, and each concept's notes here and in all."""
+    members = themes.select("seed", F.posexplode("concepts").alias("pos", "concept_slug"))
+    facts = mentions.select("concept_slug", "note_id").distinct()
+    named = members.join(facts, "concept_slug")
+    hits = named.groupBy("seed", "note_id").agg(F.count("*").alias("_c")).where("_c >= 2").drop("_c")
+    newest = Window.partitionBy("seed").orderBy(F.desc("created_at"), F.desc("note_id"))
+    listed = hits.join(notes.select(F.col("id").alias("note_id"), F.col("slug").alias("note_slug"), "title", "created_at"), "note_id").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= most)
+    day = F.date_format("created_at", "yyyy-MM-dd")
+    told = listed.groupBy("seed").agg(F.min("created_at").alias("created"), F.array_sort(F.collect_list(F.struct(day.alias("day"), F.col("note_id").alias("id"), F.col("note_slug").alias("slug"), "title"))).alias("notes"))
+    here = named.join(hits, ["seed", "note_id"], "left_semi").groupBy("seed", "pos", "concept_slug").agg(F.count("*").alias("here"))
+    total = facts.groupBy("concept_slug").agg(F.count("*").alias("total"))
+    held = here.join(total, "concept_slug").groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("concept_slug").alias("slug"), display_name(F.col("concept_slug")).alias("name"), F.col("here").alias("notes"), "total"))).alias("concepts"))
+    title = themes.select("seed", F.array_join(F.slice("concepts", 1, 3), " · ").alias("title"))
+    return title.join(told, "seed").join(held, "seed").select(F.col("seed").alias("slug"), "title", "created", F.lit(None).cast("string").alias("summary"), "concepts", "notes")

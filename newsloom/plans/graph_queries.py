@@ -208,11 +208,6 @@ def build_preview(c, m):
     return G.build_preview(c, m)
 
 
-@query("render_atoms", "f_notes")
-def render_atoms(n):
-    return G.render_atoms(n)
-
-
 def _themes(m):
     return cluster_themes(m, m.where("concept_slug LIKE 'area-%'").select(F.col("concept_slug").alias("slug"), F.regexp_extract("concept_slug", "([0-9]+)$", 1).cast("int").alias("pos")).distinct())
 

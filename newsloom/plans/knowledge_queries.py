@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import knowledge as K
 from newsloom.operators.digest import daily_digest, enrich_digest
-from newsloom.operators.graph import render_atoms
 from newsloom.operators.rules import model_batches
 from newsloom.operators.themes import theme_summary
 from newsloom.plans.core import query
@@ -50,12 +49,6 @@ def define_concepts(c, m, n):
     return K.define_concepts(views, stored, write).select("slug", "definition")
 
 
-@query("refresh_atoms", "f_notes", sql="SELECT id, CASE WHEN category = 'tools' THEN 'rewritten' ELSE 'fresh' END AS outcome FROM f_notes")
-def refresh_atoms(n):
-    stored = render_atoms(n).join(n.select("id", "category"), "id").select("id", F.when(F.col("category") == "tools", F.concat("document", F.lit("x"))).otherwise(F.col("document")).alias("document"))
-    return K.refresh_atoms(render_atoms(n), stored)
-
-
 @query("reconcile_documents", "f_notes", sql="SELECT slug AS path, CASE category WHEN '' THEN 'created' WHEN 'tools' THEN 'replaced' WHEN 'research' THEN 'kept' ELSE 'merged' END AS outcome FROM f_notes")
 def reconcile(n):
     start, end = "<!-- generated:start -->", "<!-- generated:end -->"
@@ -71,13 +64,6 @@ def save_themes(c):
     return K.save_themes(stored, new).select("slug", "created_at", "updated_at", F.col("note_id").isNull().alias("unnoted"))
 
 
-@query("render_molecule", "f_mentions", "f_notes")
-def render_molecule(m, n):
-
-
-    return K.render_molecules(theme_summary(_themes(m), m, n))
-
-
 @query("summarize", "f_articles", sql="SELECT id, concat('about ', len(content_md)) AS summary FROM f_articles")
 def summarize(a):
     def stub(frame):
