@@ -14,9 +14,10 @@ TITLE_STOPWORDS = (
 CATEGORIES = ("models", "research", "industry", "funding", "regulation", "tools", "open-source", "opinion", "general")
 CONCEPT_ENTITY_TYPES = ("org", "product", "model", "person", "paper")
 GENERIC_CONCEPT_TAGS = ("", "ai", "llm", "general")
-BRANDS = (
-    "OpenAI ChatGPT DeepMind DeepSeek GitHub GitLab PyTorch TensorFlow LangChain LlamaIndex NVIDIA xAI OpenRouter vLLM SGLang arXiv YouTube LinkedIn TikTok iPhone iOS macOS"
-).split() + ["Google DeepMind", "Hugging Face", "Meta AI", "Mistral AI", "Stability AI", "Scale AI"]
+BRANDS = [
+    "OpenAI", "ChatGPT", "DeepMind", "DeepSeek", "GitHub", "GitLab", "PyTorch", "TensorFlow", "LangChain", "LlamaIndex", "NVIDIA", "xAI", "OpenRouter", "vLLM", "SGLang", "arXiv", "YouTube", "LinkedIn", "TikTok", "iPhone",
+    "iOS", "macOS", "Google DeepMind", "Hugging Face", "Meta AI", "Mistral AI", "Stability AI", "Scale AI",
+]
 ACRONYMS = (
     "AGI AI API APIs ASI CLI CNN CoT CPU CUDA EU GDPR GPT GPU GPUs HBM JAX KV LLM LLMs LoRA MCP ML MLOps MoE NLP OCR ONNX QLoRA RAG RL RLHF RNN SDK SLM SSM STT TPU TTS UI UK US UX VLM VRAM"
 ).split()

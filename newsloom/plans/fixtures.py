@@ -38,15 +38,15 @@ select d.doc_id + 1 as id, cast(substring(d.source, 4) as int) + 1 as source_id,
   TS '2024-01-01 00:00:00' + (d.doc_id % 1440) * interval '37' minute + interval '10' minute as fetched_at
 from documents d left join labels l on l.doc_id = d.doc_id""",
     "f_article_events": """
-select e.event_id as id, e.event_id % n.n + 1 as article_id,
-  case when e.event_id % n.n % 20 < 6
+select e.event_id as id, e.event_id % (select count(*) from documents) + 1 as article_id,
+  case when e.event_id % (select count(*) from documents) % 20 < 6
          then case when e.event_type = 'purchase' and e.value < 0.5 then 'starred' else 'archived' end
-       when e.event_id % n.n % 20 < 12
+       when e.event_id % (select count(*) from documents) % 20 < 12
          then case e.event_type when 'view' then 'read' when 'click' then 'starred' when 'error' then 'archived'
               when 'signup' then 'unread' else 'unstarred' end
        else case e.event_type when 'error' then 'archived' else 'read' end end as event,
   case when e.user_id % 5 = 0 then 'system' else 'user' end as actor, e.ts as created_at
-from events e cross join (select count(*) as n from documents) n""",
+from events e""",
     "f_notes": """
 select id, 'atom' as note_type, title, concat('note-', cast(id as STR)) as slug, category,
   LCAT(LIST('atom', 'ai'), tags) as tags, tags as wikilinks, fetched_at as created_at

@@ -91,16 +91,21 @@ def display_name(links):
     return links.select("to_slug").distinct().select("to_slug", X.display_name(F.col("to_slug")).alias("name"))
 
 
-@query("concept_slugs", "f_articles", sql="SELECT id, array_to_string(list_sort(list_distinct(tags)), ',') AS slugs FROM f_articles")
+def _entities(a):
+    """An organisation that every fifth article shares, a place (no concept), and a person."""
+    of = lambda name, kind: F.struct(name.alias("name"), F.lit(kind).alias("type"))
+    return F.array(of(F.concat(F.lit("Org "), (F.col("id") % 5).cast("string")), "ORG"), of(F.lit("Some Place"), "place"), of(F.concat(F.lit("P. "), F.col("author")), "person"))
+
+
+@query("concept_slugs", "f_articles", sql="SELECT id, array_to_string(list_sort(list_distinct(list_concat(tags, [concat('org-', id % 5), CASE WHEN author = '' THEN 'p' ELSE concat('p-', author) END]))), ',') AS slugs FROM f_articles")
 def concept_slugs(a):
-    none = F.array().cast("array<struct<name:string,type:string>>")
-    return a.select("id", F.array_join(X.concept_slugs(none, F.col("tags")), ",").alias("slugs"))
+    return a.select("id", F.array_join(X.concept_slugs(_entities(a), F.col("tags")), ",").alias("slugs"))
 
 
-@query("concept_name", "f_articles", sql="SELECT id, concat(upper(substring(tags[1], 1, 1)), substring(tags[1], 2)) AS name FROM f_articles")
+@query("concept_name", "f_articles", sql="SELECT id, CASE WHEN id % 2 = 0 THEN concat('Org ', id % 5) ELSE concat(upper(substring(tags[1], 1, 1)), substring(tags[1], 2)) END AS name FROM f_articles")
 def concept_name(a):
-    none = F.array().cast("array<struct<name:string,type:string>>")
-    return a.select("id", X.concept_name(none, F.col("tags"), X.slugify(F.get("tags", F.lit(0)))).alias("name"))
+    slug = F.when(F.col("id") % 2 == 0, F.concat(F.lit("org-"), (F.col("id") % 5).cast("string"))).otherwise(X.slugify(F.get("tags", F.lit(0))))
+    return a.select("id", X.concept_name(_entities(a), F.col("tags"), slug).alias("name"))
 
 
 @query("domain_pattern", "pages", sql=r"SELECT page_id, replace(regexp_extract(regexp_replace(url, '^https?://', ''), '^([^/?]*)', 1), '.', '\.') AS pattern FROM pages")

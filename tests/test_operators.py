@@ -1,16 +1,20 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from newsloom.functions.simhash import article_simhash
+from newsloom.operators import documents as D
 from newsloom.operators import graph as G
 from newsloom.operators import ingest as I
 from newsloom.operators import learn as L
+from newsloom.operators import records as C
 from newsloom.operators import rules as R
+from newsloom.operators import search as S
 from newsloom.operators import tables as T
 from newsloom.operators.search import embed_missing, keyword_rank, keyword_scores, text_index
 from newsloom.operators.themes import cluster_themes
-from newsloom.streaming.streams import story_batch
+from newsloom.streaming.streams import health_batch, story_batch
 
 DAY = dt.datetime(2024, 1, 20)
 
@@ -136,3 +140,97 @@ def test_story_batches(spark):
     run(own.where("id = 2"), 0)
     run(own.where("id = 2"), 0)
     assert saved == {0: {1: 1, 2: 1}}
+
+
+def test_streaks_go_on_from_before_and_over_days(spark):
+    rows = [(i, 1, DAY + dt.timedelta(hours=7 * i), "failed" if i < 9 or i in (12, 13) else "ok") for i in range(16)] + [(99, 2, DAY, "ok")]
+    log = spark.createDataFrame(rows, "id long, source_id int, cycle_ts timestamp_ntz, outcome string")
+
+    def expected(last, streak):
+        out = {}
+        for i, _, _, outcome in rows[:16]:
+            last, streak = outcome, streak + 1 if outcome == last else 1
+            out[i] = streak
+        return out | {99: 1}
+
+    assert {r["id"]: r["streak"] for r in I.health_streaks(log).collect()} == expected("", 0)
+    before = spark.createDataFrame([(1, "failed", 4), (7, "ok", 2)], "source_id int, outcome string, streak int")
+    assert {r["id"]: r["streak"] for r in I.health_streaks(log, before).collect()} == expected("failed", 4)
+
+
+def test_health_stream_goes_on_from_batch_to_batch(spark, tmp_path):
+    run = health_batch(str(tmp_path))
+    rows = [(i, 1, DAY + dt.timedelta(hours=i), "failed") for i in range(6)]
+    for batch in (0, 1, 1):  # the second runs again
+        run(spark.createDataFrame(rows[3 * batch : 3 * batch + 3], "id long, source_id int, cycle_ts timestamp_ntz, outcome string"), batch)
+    assert sorted((r["id"], r["streak"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(i, i + 1) for i in range(6)]
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    values = base + [b ^ sum(1 << k for k in rng.sample(range(64), n)) for b in base for n in (1, 2, 3, 4)] + base[:5] + [0, 0]
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    got = {(r["later"], r["earlier"], r["distance"]) for r in I.near_duplicates(spark.createDataFrame(list(enumerate(signed)), "id long, simhash long")).collect()}
+    first = {}
+    for i, v in enumerate(values):
+        first.setdefault(v, i)
+    want = {(max(i, j), min(i, j), (v ^ w).bit_count()) for v, i in first.items() for w, j in first.items() if v and w and i != j and (v ^ w).bit_count() <= 3}
+    assert got == want
+
+
+def test_patterns_of_another_dialect(spark):
+    rules = spark.createDataFrame([(i, f"r{i}", q, True) for i, q in enumerate([r"\p{L}+ai", r"\Qa.b\E", "(?P<x>ai)", "(?=ai)", "a++", r"(a)\1", "[[:alpha:]]+x", "(", r"\p{Greek}"])], "id int, name string, query string, enabled boolean")
+    good, bad = R.valid_rules(rules)
+    assert [r["id"] for r in good] == [0, 1, 2, 6, 8] and [r["id"] for r in bad] == [3, 4, 5, 7]
+    own = spark.createDataFrame([(1, "Mumbai a.b", "", ""), (2, "axb", "", ""), (3, "λ", "", "")], "id int, title string, author string, url string")
+    assert sorted((r["id"], r["rule"]) for r in R.rule_matches(own, good).collect()) == [(1, 0), (1, 1), (1, 2), (2, 6), (3, 8)]
+
+
+def test_vector_places_equal_brute_force(spark):
+    rng = random.Random(2)
+    rows = [("note" if i % 3 else "article", i, [float(rng.randint(-2, 2)) for _ in range(3)] if i % 11 else None) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "kind string, id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(1, [1.0, 2.0, 0.5]), (2, [0.0, 0.0, 0.0]), (3, None)], "qid long, vector array<float>")
+
+    def cosine(a, b):
+        na, nb = (sum(x * x for x in v) ** 0.5 for v in (a or [], b))
+        return 0.0 if not a or not na or not nb else round(sum(x * y for x, y in zip(a, b)) / na / nb, 9) + 0.0
+
+    for qid, vector in ((1, [1.0, 2.0, 0.5]), (2, [0.0, 0.0, 0.0])):
+        order = sorted(rows, key=lambda r: (-cosine(r[2], vector), r[0] == "article", r[1]))
+        top = [(r["kind"], r["id"]) for r in S.vector_rank(vectors, queries, 7).where(f"qid = {qid}").orderBy("pos").collect()]
+        assert top == [r[:2] for r in order[:7]]
+        wanted = spark.createDataFrame([(qid, *r[:2]) for r in rows[::4]] + [(qid, "note", 999)], "qid long, kind string, id long")
+        got = {(r["kind"], r["id"]): r["pos"] for r in S.vector_positions(vectors, queries, wanted).collect()}
+        assert got == {r[:2]: order.index(r) + 1 for r in rows[::4]}
+
+
+def test_embedding_failures_are_by_item(spark):
+    docs = spark.createDataFrame([(i, "bad" if i in (2, 5) else "t", [1.0] if i == 7 else None) for i in range(9)], "id long, text string, embedding array<float>").coalesce(1)
+
+    def fn(texts):
+        if (texts == "bad").any():
+            raise ValueError("no")
+        return [[1.0] for _ in texts]
+
+    got = {r["id"]: r["error"] for r in embed_missing(docs, fn, size=4).collect()}
+    assert got == {i: "no" if i in (2, 5) else None for i in range(9) if i != 7}
+    assert sorted(r["error"] or "" for r in embed_missing(docs, fn, size=4, most_failures=1).collect()).count("given up") >= 3
+
+
+def test_records_change_by_table(spark):
+    table = spark.createDataFrame([(1, "a", True, DAY), (2, "b", True, DAY), (3, "c", False, DAY)], "id long, name string, enabled boolean, updated_at timestamp")
+    changes = spark.createDataFrame([(1, "delete", None), (2, "update", "B"), (3, "enable", None), (9, "update", "x"), (5, "create", "n"), (6, "create", "m")], "id long, op string, name string")
+    got = {(r["id"], r["name"], r["enabled"]) for r in C.change_records(table, changes, F.current_timestamp()).collect()}
+    assert got == {(2, "B", True), (3, "c", True), (4, "n", None), (5, "m", None)}
+
+
+def test_documents(spark):
+    row = spark.sql("SELECT 's' AS slug, 'A · B' AS title, timestamp_ntz '2024-01-02 03:04:05' AS created, '' AS summary, array(struct('a' AS slug, 'A' AS name, 2L AS notes, 5L AS total), struct('b' AS slug, 'B' AS name, 2L AS notes, 2L AS total), struct('c' AS slug, 'C' AS name, 1L AS notes, 2L AS total)) AS concepts, array(struct('2024-01-02' AS day, 1L AS id, 'n1' AS slug, 'One' AS title), struct('' AS day, 2L AS id, 'n2' AS slug, 'Two' AS title)) AS notes")
+    assert D.render_molecules(row).first()["document"] == (
+        '---\ntype: molecule\ncreated: "2024-01-02 03:04"\nstatus: active\ntags:\n  - synthesis\n  - ai\n  - theme\n---\n\n# 🧪 A · B\n\n## Central idea\n2 note(s) on 2024-01-02 name A, B and C together.\n\n'
+        "## How it developed\n- 2024-01-02 · [[n1]] — One\n- [[n2]] — Two\n\n## Concepts in play\n- [[a]] — A · 2 note(s) here, 5 in all\n- [[b]] — B · 2 note(s) here, 2 in all\n- [[c]] — C · 1 note(s) here, 2 in all\n\n"
+    )
+    values = spark.createDataFrame([(v,) for v in ("plain", "a: b", "", '-x"y', "two\nlines", " pad")], "v string").select(D.scalar(F.col("v")).alias("s"))
+    assert [r["s"] for r in values.collect()] == ["plain", '"a: b"', '""', '"-x\\"y"', "two lines", '" pad"']
