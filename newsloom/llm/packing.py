@@ -118,8 +118,11 @@ def _knapsack(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), counts
 
 
-def optimise_configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often each is used in the linear relaxation, by column generation from one-size configurations."""
+def optimise_configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 10_000) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how often each is used in the linear relaxation, by column generation from one-size configurations.
+
+    It ends when no configuration is worth more than it costs; should that not be after ``rounds``, it raises.
+    """
     n = len(sizes)
     basis = np.diag([float(capacity // s) for s in sizes])
     used = np.linalg.solve(basis, np.array(demand, float))
@@ -137,6 +140,8 @@ def optimise_configurations(sizes: list[int], demand: list[int], capacity: int,
         used = used - ratio[out] * change
         used[out] = ratio[out]
         basis[:, out] = column
+    else:
+        raise RuntimeError(f"column generation did not end in {rounds} rounds")
     return [(basis[:, j].round().astype(np.int64), float(used[j])) for j in range(n)]
 
 
