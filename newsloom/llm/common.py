@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -42,22 +44,44 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps from task to task, made when it isn't there; there is one such thing at a time."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Gives up what a worker process keeps, for the memory of tasks that don't need it."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that no model learns from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def with_arrow_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], drop: tuple[str, ...] = ()) -> DataFrame:
+def with_arrow_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], drop: tuple[str, ...] = (), holds: bool = False) -> DataFrame:
     """``df`` with the columns that a function computes from each Arrow batch.
 
     ``make()`` runs once in each task and returns that function. A column of ``df`` that is named like a new
-    one is replaced; those in ``drop`` are read by the function and left out of the result.
+    one is replaced; those in ``drop`` are read by the function and left out of the result. Unless ``make`` uses
+    what a worker ``holds``, that is given up first.
     """
     new = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in new and f.name not in drop]
     schema, names = T.StructType(kept + fields), [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            release()
         compute = make()
         for batch in batches:
             if batch.num_rows:

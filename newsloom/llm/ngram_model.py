@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import checkpointed
+from newsloom.llm.common import checkpointed, release
 
 ORDER, CLASS_BITS = 5, 12
 #: Text bytes of a block and of the parts in which its rows are read, and characters that one numpy pass takes.
@@ -87,6 +87,7 @@ def bucket_of(codes: np.ndarray | Column, buckets: int) -> np.ndarray | Column:
 
 def numbered_blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[int, pa.RecordBatch]]:
     """The rows of a partition, in parts of about ``PART_BYTES``, with the number of their block: the same for any size of batches."""
+    release()
     part, size = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
         if not batch.num_rows:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
         seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             row, piece, crc, length = [], [], [], []
-            for i, ids in token_ids(own, batch.column("text").to_pylist()):
+            for i, ids in token_ids(own, (t.as_py() for t in batch.column("text"))):
                 whole = memoryview(ids + end)
                 for k, at in enumerate(range(0, len(whole), 4 * capacity)):
                     some = whole[at : at + 4 * capacity]
@@ -60,19 +60,20 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, piece int, start long, length long, ids_crc32 long, part long, seq long")
 
 
-def token_ids(own: Transducer, texts: list[str | None]) -> Iterator[tuple[int, bytes]]:
+def token_ids(own: Transducer, texts: Iterable[str | None]) -> Iterator[tuple[int, bytes]]:
     """(index, ids as unsigned 32-bit numbers, least significant byte first) of each text."""
     waiting: list[bytes] = []
-    index = 0
+    index = -1
     for first, ends, outputs in own.read(texts):
         ids = own.tokens(outputs).tobytes()
         bounds = (4 * np.concatenate([[0], np.cumsum(own.counts(outputs))])[ends]).tolist()
         for i, (a, b) in enumerate(zip([0, *bounds], bounds), first):
-            if i > index:
+            if i > index >= 0:
                 yield index, b"".join(waiting)
-                waiting, index = [], i
+                waiting = []
+            index = i
             waiting.append(ids[a:b])
-    if texts:
+    if index >= 0:
         yield index, b"".join(waiting)
 
 

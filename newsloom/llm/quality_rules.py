@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import checkpointed, table, text_bytes
+from newsloom.llm.common import checkpointed, release, table, text_bytes
 from newsloom.llm.ngram_model import OTHER, BlockModel, block_log_probabilities, numbered_blocks
 
 #: Band: lower quartile minus, upper quartile plus so many interquartile ranges, of at least ``LEAST_SPREAD``.
@@ -86,6 +86,7 @@ def measure(docs: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "part"])
 
     def score(parts: pa.Table, values: pa.Table) -> pa.Table:
+        release()
         model, out = BlockModel(values), []
         for part in parts["part"]:
             for batch in pa.ipc.open_stream(part.as_buffer()):

@@ -26,14 +26,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, column: str = "t
 
         def compute(batch: pa.RecordBatch) -> list:
             counts = np.zeros(batch.num_rows, np.int64)
-            for first, ends, outputs in own.read(batch.column(column).to_pylist()):
+            for first, ends, outputs in own.read(t.as_py() for t in batch.column(column)):
                 total = np.concatenate([[0], np.cumsum(own.counts(outputs))])
                 counts[first : first + len(ends)] += np.diff(total[ends], prepend=0)
             return [counts, counts > limit]
 
         return compute
 
-    return with_arrow_columns(docs, [T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())], make)
+    return with_arrow_columns(docs, [T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())], make, holds=True)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,16 +27,17 @@ import json
 import marshal
 import unicodedata
 from array import array
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 from itertools import takewhile
 from typing import NamedTuple
 
 import numpy as np
 import regex
 
+from newsloom.llm.common import held
+
 #: Bytes of a chunk, chunks that are read in step, and states that are kept before all are given up.
-CHUNK, LANES, STATES = 512, 2048, 150_000
+CHUNK, LANES, STATES = 512, 2048, 200_000
 #: Pairs of tokens of which it is remembered whether they may be neighbours.
 NEIGHBOURS = 100_000
 #: Below so many heads they are read one by one.
@@ -397,26 +398,32 @@ class Transducer:
             return b"".join([self.special_byte.get(p) or _normalised(p) for p in self.specials.split(text)])
         return _normalised(text)
 
-    def read(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def read(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """The stream of some texts in parts: the index of the first text in a part, where each text in it ends, and the outputs.
 
         A text that is longer than a part goes on in the next. Outputs of a part hold until the next is asked for.
         """
-        block, waiting, first, size = CHUNK * LANES, [], 0, 0
-        for i, text in enumerate(texts):
+        waiting: list[bytes] = []
+        first, size = 0, 0
+        for text in texts:
             waiting.append(self.bytes_of(text) + b"\xff")
             size += len(waiting[-1])
-            if size >= block or i == len(texts) - 1:
-                data, ends = np.frombuffer(b"".join(waiting), np.uint8), np.cumsum([len(w) for w in waiting])
-                state, k = 0, 0
-                for at in range(0, size, block):
-                    if len(self.states) > STATES and not state:
-                        self.forget()
-                    out, state = self.run(data[at : at + block], state)
-                    last = int(np.searchsorted(ends, at + len(out), "left"))  # of the text that the part ends in
-                    yield first + k, np.minimum(ends[k : last + 1] - at, len(out)), out
-                    k = last + (last < len(ends) and ends[last] == at + len(out))
-                waiting, first, size = [], i + 1, 0
+            if size >= CHUNK * LANES:
+                yield from self._read_parts(first, waiting)
+                first, size, waiting = first + len(waiting), 0, []
+        if waiting:
+            yield from self._read_parts(first, waiting)
+
+    def _read_parts(self, first: int, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+        state, k = 0, 0
+        for at in range(0, len(data), CHUNK * LANES):
+            if len(self.states) > STATES and not state:
+                self.forget()
+            out, state = self.run(data[at : at + CHUNK * LANES], state)
+            last = int(np.searchsorted(ends, at + len(out), "left"))  # of the text that the part ends in
+            yield first + k, np.minimum(ends[k : last + 1] - at, len(out)), out
+            k = last + (last < len(ends) and ends[last] == at + len(out))
 
     def counts(self, outputs: np.ndarray) -> np.ndarray:
         """How many tokens each output has."""
@@ -467,7 +474,6 @@ def prefix_scan(state: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, np.n
     return state, origin
 
 
-@lru_cache(4)
 def transducer(path: str) -> Transducer:
-    """The transducer of a file, one for each worker process."""
-    return Transducer(path)
+    """The transducer of a file, which a worker process keeps for its next tasks."""
+    return held(path, lambda: Transducer(path))
