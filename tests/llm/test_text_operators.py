@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from newsloom.llm import language_id, quality_classifier, quality_rules, transducer, url_filter
+from newsloom.llm import html_extract, language_id, quality_classifier, quality_rules, transducer, url_filter
 from newsloom.llm.common import slices
 from newsloom.llm.decontaminate import find_contamination, original_spans, windows_of
 from newsloom.llm.html_extract import extract_main_text, main_text
@@ -60,6 +60,22 @@ def test_pages_give_their_article(spark):
         assert got[page_id]["text"] == want and got[page_id]["n_chars"] == len(want)
 
 
+def article_of(page):
+    body = re.sub(r"</?(?:p|h1|br)[^>]*>", " ", re.search(r"<article>(.*?)(?:</article>|$)", page, re.S)[1])
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", "", body)).split())
+
+
+def test_the_curve_decides(monkeypatch):
+    pages = [h for (h,) in sample(f"SELECT html FROM '{SF}/pages.parquet'")]
+    right = lambda change: sum(main_text(change(p)) == article_of(p) for p in pages) / len(pages)
+    plain = lambda p: re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", p).replace(' class="ad"', "")
+    assert right(lambda p: re.sub(r"</?article>", "", p)) >= 0.95 and right(plain) >= 0.85
+    page = "<div>Home</div><div>News and more</div><div><h1>Title</h1><p>" + "A long paragraph. " * 30 + "</p><p>End.</p></div><div>Some site, all rights kept</div>"
+    assert main_text(page) == "Title " + ("A long paragraph. " * 30).strip() + " End."
+    monkeypatch.setattr(html_extract, "SURGE", 0)
+    assert right(plain) < 0.1 and main_text(page).startswith("Home News")
+
+
 def test_boilerplate_goes():
     page = """<html><body><header><h1>Site</h1></header><div id="cookie-banner">We use cookies</div><div class="sidebar">side</div>
     <div class="content"><h1>Title</h1><p>Some long text that is &eacute;t&eacute; and <b>bo</b>ld.</p><p>Short.</p><div class="ad">Buy</div><p>More text after the advert.</p></div>
@@ -92,6 +108,17 @@ def test_url_rules_and_model(spark):
     assert got == urls | {None: ("", "", None, "allow")}
 
 
+def test_hosts_kept_back_are_judged(spark):
+    labelled = url_filter.labelled_urls(spark)
+    number = F.pmod(F.crc32(url_filter.host(F.col("url")).cast("binary")), F.lit(4))
+    weights = url_filter.fit_url_model(labelled.where(number != 0))
+    rows = url_filter.judge_urls(labelled.where(number == 0), (), weights).collect()
+    caught = sum(r["verdict"] == "block" and r["label"] == 1 for r in rows)
+    wrong = sum(r["verdict"] == "block" and r["label"] == 0 for r in rows)
+    bad = sum(r["label"] == 1 for r in rows)
+    assert bad > 5 and caught >= 0.2 * bad and wrong <= 0.1 * (len(rows) - bad)
+
+
 def test_unwanted_hosts_are_blocked(spark):
     out = QUERIES["op4_url_filter"](spark, SF).toPandas()
     by_model = out[out.rule.isna()]
