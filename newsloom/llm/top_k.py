@@ -88,15 +88,15 @@ def _counts(kind: type, bins: int):
             place = ((values[row, column].view(np.uint64) - low[column]) // width[column]).astype(np.int64)
             size = len(some.column("v")[0])
             if size not in totals:
-                totals[size] = [np.zeros(len(q) * bins, np.int64), q, lo, hi, width]
+                totals[size] = [np.zeros(len(q) * bins, np.int64), q, lo, hi, need, width]
             totals[size][0] += np.bincount(column * bins + place, minlength=len(q) * bins)
-        for total, q, lo, hi, width in totals.values():
+        for total, q, lo, hi, need, width in totals.values():
             at = np.flatnonzero(total)
             column, place = at // bins, (at % bins).astype(np.uint64)
             first = (lo.view(np.uint64)[column] + place * width[column]).view(np.int64)
             room = hi.view(np.uint64)[column] - first.view(np.uint64)
             last = (first.view(np.uint64) + np.minimum(room, width[column] - np.uint64(1))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(q[column]), pa.array(first), pa.array(last), pa.array(total[at])], ["q", "first", "last", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(q[column]), pa.array(need[column]), pa.array(first), pa.array(last), pa.array(total[at])], ["q", "need", "first", "last", "n"])
 
     return cell
 
@@ -149,12 +149,14 @@ def top_inner_products(vectors: DataFrame, queries: Column, key: str = "vec_id",
         open_ = open_.where(wide).withColumns({"floor": F.when(single, F.col("lo")).otherwise(F.col("floor")), "lo": F.when(single, F.lit(least).cast("long")).otherwise(F.col("lo")), "hi": F.when(single, F.lit(most).cast("long")).otherwise(F.col("hi")), "by_id": F.col("by_id") | single})
         if open_.isEmpty():
             break
-        counted = on_grid(open_.select(*own), candidates, _counts(kind, bins), "q long, first long, last long, n long")
-        summed = counted.groupBy("q", "first", "last").agg(F.sum("n").alias("n"))
-        above = F.coalesce(F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("first")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        running = summed.withColumn("above", above).withColumnRenamed("n", "held")
-        found = open_.drop("n").join(running, "q").where("above < need AND above + held >= need")
-        open_ = checkpointed(found.select("q", "query_id", "size", "v", "floor", F.col("first").alias("lo"), F.col("last").alias("hi"), (F.col("need") - F.col("above")).alias("need"), "by_id", F.col("held").alias("n")))
+        counted = on_grid(open_.select(*own), candidates, _counts(kind, bins), "q long, need long, first long, last long, n long")
+        summed = counted.groupBy("q", "need", "first", "last").agg(F.sum("n").alias("held"))
+        above = F.coalesce(F.sum("held").over(Window.partitionBy("q").orderBy(F.desc("first")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = summed.withColumn("above", above).where("above < need AND above + held >= need")
+        # a union and not a join: a plan's estimated size would be multiplied in every round
+        sides = open_.select("q", F.struct("query_id", "size", "v", "floor", "by_id").alias("s"), F.lit(None).cast("struct<lo: long, hi: long, need: long, n: long>").alias("f"))
+        sides = sides.unionByName(found.select("q", F.lit(None).cast(sides.schema["s"].dataType).alias("s"), F.struct(F.col("first").alias("lo"), F.col("last").alias("hi"), (F.col("need") - F.col("above")).alias("need"), F.col("held").alias("n")).alias("f")))
+        open_ = checkpointed(sides.groupBy("q").agg(F.first("s", True).alias("s"), F.first("f", True).alias("f")).select("q", "s.*", "f.*"))
     settled = final[0]
     for some in final[1:]:
         settled = settled.unionByName(some)
