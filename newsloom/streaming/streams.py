@@ -8,9 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.simhash import article_simhash
 from newsloom.operators.articles import replay_events
-from newsloom.operators.ingest import assign_stories, drop_stale, drop_unusable, health_streaks
+from newsloom.operators.ingest import drop_stale, drop_unusable, health_streaks
 from newsloom.operators.rules import decide
 from newsloom.operators.tables import shared_folder
 
@@ -83,18 +82,3 @@ def stream_health(log: DataFrame) -> DataFrame:
     folder = work_folder(log.sparkSession)
     log.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(health_batch(folder)).start().awaitTermination()
     return log.sparkSession.read.parquet(f"{folder}/out").drop("batch")
-
-
-def story_batch(known: Callable[[], DataFrame], save: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A function for foreachBatch that puts a batch of articles (id, title, content_md) into stories with those known.
-
-    ``known`` reads the articles of the window; ``save`` writes (id, story_id) under the batch's id, so a batch
-    that runs again replaces what it wrote.
-    """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        columns = ["id", "title", "content_md"]
-        every = known().select(columns).unionByName(batch.select(columns)).dropDuplicates(["id"])
-        save(assign_stories(every.withColumn("simhash", article_simhash(F.col("title"), F.col("content_md")))), batch_id)
-
-    return run
