@@ -151,19 +151,21 @@ def near_words(words: DataFrame) -> DataFrame:
     """
     signed = checkpointed(_signatures(words))
     key = ["gram", "place", "length"]
-    pivots = signed.select("word", "n", "last", "length", F.explode("pivots").alias("g")).select("word", "n", "last", "g.gram", "g.place", "length")
+    # a word is carried as what stands before and after the bigram
+    before, after = F.expr("substring(word, 1, g.place)"), F.expr("substring(word, g.place + 3)")
+    pivots = signed.select("word", "n", "last", "length", F.explode("pivots").alias("g")).select(before.alias("l"), after.alias("r"), "n", "last", "g.gram", "g.place", "length")
     hot = pivots.groupBy(*key).agg(F.count("*").alias("held")).where(F.col("held") > BLOCK).select(*key, F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
     hot = checkpointed(hot)
     # where a pivot of a word stands in another, and how long that one is, after one edit
     moves = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(l).alias("l")) for p, l in ((0, 0), (0, 1), (1, 1), (0, -1), (-1, -1))])
-    prefixes = signed.select("word", "n", "last", "length", F.explode("prefix").alias("g")).select("word", "n", "last", "length", "g.gram", "g.place", F.explode(moves).alias("m"))
-    prefixes = prefixes.select("word", "n", "last", "gram", (F.col("place") - F.col("m.p")).alias("place"), (F.col("length") - F.col("m.l")).alias("length"))
+    prefixes = signed.select("word", "n", "last", "length", F.explode("prefix").alias("g")).select(before.alias("other_l"), after.alias("other_r"), F.col("n").alias("other_n"), F.col("last").alias("other_last"), "length", "g.gram", "g.place", F.explode(moves).alias("m"))
+    prefixes = prefixes.select("other_l", "other_r", "other_n", "other_last", "gram", (F.col("place") - F.col("m.p")).alias("place"), (F.col("length") - F.col("m.l")).alias("length"))
     blocks = F.coalesce("blocks", F.lit(1))
-    dealt = pivots.join(hot, key, "left").withColumn("block", F.pmod(F.xxhash64("word"), blocks).cast("int")).drop("blocks")
+    dealt = pivots.join(hot, key, "left").withColumn("block", F.pmod(F.xxhash64("l", "r"), blocks).cast("int")).drop("blocks")
     copied = prefixes.join(hot, key, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
-    copied = copied.withColumnsRenamed({"word": "other", "n": "other_n", "last": "other_last"})
-    met = dealt.join(copied, [*key, "block"]).where("other_last >= last AND word <> other")
-    near = met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
+    # one edit leaves one side of the bigram as it was, and is all that the other side may differ by
+    met = dealt.join(copied, [*key, "block"]).where("other_last >= last AND (l = other_l AND levenshtein(r, other_r, 1) = 1 OR r = other_r AND levenshtein(l, other_l, 1) = 1)")
+    near = met.select(F.concat("l", "gram", "r").alias("word"), "n", F.concat("other_l", "gram", "other_r").alias("other"), "other_n")
     return near.unionByName(near.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))).distinct()
 
 
