@@ -1,15 +1,13 @@
-"""Structured Streaming twins of the ingest, health, triage and classification operators."""
+"""Structured Streaming twins of the ingest, triage and classification operators."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators.articles import replay_events
-from newsloom.operators.ingest import drop_stale, drop_unusable, health_streaks
+from newsloom.operators.ingest import drop_stale, drop_unusable
 from newsloom.operators.rules import decide
 from newsloom.operators.tables import shared_folder
 
@@ -53,32 +51,3 @@ def stream_classify(items: DataFrame, rules: list) -> DataFrame:
 def stream_triage(events: DataFrame) -> DataFrame:
     """The latest status and star of every article, for complete or update mode."""
     return replay_events(events)
-
-
-def health_batch(folder: str) -> Callable[[DataFrame, int], None]:
-    """A function for foreachBatch that writes a batch of the fetch log with streaks, which go on from the batch before.
-
-    A batch's rows are in ``folder``/out/batch=…, each source's last outcome and streak after it in
-    ``folder``/after/…: a batch that runs again replaces what it wrote. Batches land in the order of cycles.
-    """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{folder}/after/{batch_id - 1}") if batch_id else None
-        batch.select("id", "source_id", "cycle_ts", "outcome").write.mode("overwrite").parquet(f"{folder}/rows/{batch_id}")
-        streaks = health_streaks(spark.read.parquet(f"{folder}/rows/{batch_id}"), before)
-        streaks.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-        at = F.struct("cycle_ts", "id")
-        last = spark.read.parquet(f"{folder}/out/batch={batch_id}").groupBy("source_id").agg(F.max_by("outcome", at).alias("outcome"), F.max_by("streak", at).alias("streak"))
-        if before is not None:
-            last = last.unionByName(before.join(last, "source_id", "left_anti"))
-        last.write.mode("overwrite").parquet(f"{folder}/after/{batch_id}")
-
-    return run
-
-
-def stream_health(log: DataFrame) -> DataFrame:
-    """(id, source_id, cycle_ts, outcome, streak) of every fetch that has landed in a stream."""
-    folder = work_folder(log.sparkSession)
-    log.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(health_batch(folder)).start().awaitTermination()
-    return log.sparkSession.read.parquet(f"{folder}/out").drop("batch")

@@ -12,9 +12,9 @@ from newsloom.operators import records as C
 from newsloom.operators import rules as R
 from newsloom.operators import search as S
 from newsloom.operators import tables as T
-from newsloom.operators.search import embed_missing, keyword_rank, keyword_scores, text_index
+from newsloom.operators.search import embed_missing, keyword_rank, keyword_scores
+from newsloom.operators.text_index import add_to_index, read_index
 from newsloom.operators.themes import cluster_themes
-from newsloom.streaming.streams import health_batch, story_batch
 
 DAY = dt.datetime(2024, 1, 20)
 
@@ -116,10 +116,11 @@ def test_themes_are_picked_greedily(spark):
     assert [(r["seed"], r["concepts"], r["notes"]) for r in rows] == [("agents", ["agents", "memory"], 3)]
 
 
-def test_phrase_search(spark):
+def test_phrase_search(spark, tmp_path):
     docs = spark.createDataFrame([("note", 1, "red apple", "banana split"), ("article", 1, "apple red", "no fruit"), ("article", 2, "", "a red apple pie")], "kind string, id long, title string, content string")
     queries = spark.createDataFrame([(1, '"red apple"'), (2, "banana"), (3, " ")], "qid int, query string")
-    got = {(r["qid"], r["kind"], r["id"], r["pos"]) for r in keyword_rank(keyword_scores(text_index(docs, ["title", "content"]), queries)).collect()}
+    add_to_index(str(tmp_path), docs, ["title", "content"])
+    got = {(r["qid"], r["kind"], r["id"], r["pos"]) for r in keyword_rank(keyword_scores(read_index(spark, str(tmp_path)), queries)).collect()}
     assert got == {(1, "note", 1, 1), (1, "article", 2, 2), (2, "note", 1, 1)}
 
 
@@ -133,15 +134,6 @@ def test_failed_embeddings_are_rows(spark):
     assert errors == ["down"] * 2 + ["given up"] * 4
 
 
-def test_story_batches(spark):
-    own = articles(spark, ["alpha beta gamma delta epsilon", "alpha beta gamma delta epsilon two"]).drop("simhash")
-    saved = {}
-    run = story_batch(lambda: own.where("id = 1"), lambda df, n: saved.update({n: {r["id"]: r["story_id"] for r in df.collect()}}))
-    run(own.where("id = 2"), 0)
-    run(own.where("id = 2"), 0)
-    assert saved == {0: {1: 1, 2: 1}}
-
-
 def test_streaks_go_on_from_before_and_over_days(spark):
     rows = [(i, 1, DAY + dt.timedelta(hours=7 * i), "failed" if i < 9 or i in (12, 13) else "ok") for i in range(16)] + [(99, 2, DAY, "ok")]
     log = spark.createDataFrame(rows, "id long, source_id int, cycle_ts timestamp_ntz, outcome string")
@@ -158,14 +150,6 @@ def test_streaks_go_on_from_before_and_over_days(spark):
     assert {r["id"]: r["streak"] for r in I.health_streaks(log, before).collect()} == expected("failed", 4)
 
 
-def test_health_stream_goes_on_from_batch_to_batch(spark, tmp_path):
-    run = health_batch(str(tmp_path))
-    rows = [(i, 1, DAY + dt.timedelta(hours=i), "failed") for i in range(6)]
-    for batch in (0, 1, 1):  # the second runs again
-        run(spark.createDataFrame(rows[3 * batch : 3 * batch + 3], "id long, source_id int, cycle_ts timestamp_ntz, outcome string"), batch)
-    assert sorted((r["id"], r["streak"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(i, i + 1) for i in range(6)]
-
-
 def test_near_duplicates_equal_brute_force(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(30)]
