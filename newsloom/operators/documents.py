@@ -72,6 +72,12 @@ def render_atoms(articles: DataFrame) -> DataFrame:
     return articles.select("id", document.alias("document"))
 
 
+def redirect_document(title: Column, name: Column, slug: Column, created: Column) -> Column:
+    """The note of a concept that was merged into another: it leads there, for links that still lead here."""
+    fields = [("type", F.lit("electron")), ("created", note_time(created)), ("status", F.lit("merged"))]
+    return F.concat(frontmatter(fields, F.array(F.lit("ai"), F.lit("concept"))), F.lit("\n# "), title, F.lit("\n\nMerged into [["), slug, F.lit("]] — "), name, F.lit(".\n"))
+
+
 def render_electrons(views: DataFrame, created: Column) -> DataFrame:
     """(slug, document) of concept views: slug, name, definition (or null), sources (array of slug, title), related (array of slug, name, shared), months (array of month, n)."""
     c = F.col

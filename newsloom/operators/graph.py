@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import canon_key, display_name
+from newsloom.operators.allocate import free_names, in_turn
 from newsloom.operators.articles import since
-from newsloom.operators.tables import upsert
+from newsloom.operators.documents import redirect_document
+from newsloom.operators.tables import checkpointed, upsert
 
 GENERIC_TAGS = ("ai", "atom", "concept", "synthesis")
 
@@ -28,27 +30,30 @@ def fold_spellings(batch: DataFrame) -> DataFrame:
 
 
 def allocate_concept_slugs(concepts: DataFrame, owners: DataFrame, tries: int = 10) -> DataFrame:
-    """(slug, note_slug): the first of c, c-concept, c-concept-2 … that no note of another kind owns. ``owners``: slug."""
+    """(slug, note_slug): the first of c, c-concept, c-concept-2 … that no note of another kind owns and no smaller slug of ``concepts`` takes.
+
+    ``owners``: slug. Where all are taken it is c-concept, whoever has it.
+    """
     names = F.array(F.col("slug"), F.concat("slug", F.lit("-concept")), *[F.concat("slug", F.lit(f"-concept-{i}")) for i in range(2, tries + 1)])
-    tried = concepts.select("slug", F.posexplode(names).alias("pos", "candidate"))
-    free = tried.join(owners.select(F.col("slug").alias("candidate")).distinct(), "candidate", "left_anti")
-    return free.groupBy("slug").agg(F.min_by("candidate", "pos").alias("note_slug"))
+    free = free_names(concepts.select(F.col("slug").alias("key"), names.alias("names")).distinct(), owners.select(F.col("slug").alias("name")))
+    given = in_turn(free.withColumn("k", F.lit(1)))
+    return given.select(F.col("key").alias("slug"), F.coalesce("name", F.concat("key", F.lit("-concept"))).alias("note_slug"))
 
 
 def allocate_note_slugs(articles: DataFrame, owners: DataFrame, tries: int = 50) -> DataFrame:
-    """(id, note_slug): base, base-2 … by article order, without those that ``owners`` (slug) has; the last is taken whatever it is.
+    """(id, note_slug): the first of base, base-2 … base-``tries`` that neither ``owners`` (slug) nor an article of smaller id has.
 
-    Articles take the free names of their base in turn, so a name that two bases produce can only clash
-    between a base that ends in a number and a numbered one; such rows are numbered on from ``tries``.
+    After ``tries`` names it is the next number, whoever has it, so of a base only the first ``tries`` articles can
+    have a name of their own, and no more of them are numbered: a frequent base is cut before it is shuffled. The n-th of
+    a base begins at its n-th free name, as those before it take one each.
     """
     base = articles.select("id", F.col("slug").alias("base"))
-    turn = base.withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("id")))
-    names = base.select("base").distinct().select("base", F.posexplode(F.concat(F.array("base"), F.transform(F.sequence(F.lit(2), F.lit(tries + 1)), lambda i: F.concat(F.col("base"), F.lit("-"), i)))).alias("pos", "candidate"))
-    free = names.join(owners.select(F.col("slug").alias("candidate")).distinct(), "candidate", "left_anti")
-    free = free.withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("pos")))
-    named = turn.join(free, ["base", "n"], "left").select("id", "base", F.coalesce("candidate", F.concat("base", F.lit(f"-{tries + 1}"))).alias("note_slug"))
-    clash = F.row_number().over(Window.partitionBy("note_slug").orderBy("id"))
-    return named.withColumn("_k", clash).select("id", F.when(F.col("_k") == 1, F.col("note_slug")).otherwise(F.concat("note_slug", F.lit("-"), F.col("_k") + tries)).alias("note_slug"))
+    first = base.withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("id"))).where(F.col("k") <= tries)
+    names = F.concat(F.array("base"), F.transform(F.sequence(F.lit(2), F.lit(tries)), lambda i: F.concat(F.col("base"), F.lit("-"), i)))
+    free = free_names(first.select(F.col("base").alias("key"), names.alias("names")).distinct(), owners.select(F.col("slug").alias("name")))
+    wants = first.join(free.withColumnRenamed("key", "base"), "base").select(F.col("id").alias("key"), "names", "k")
+    given = in_turn(wants).withColumnRenamed("key", "id")
+    return base.join(given, "id", "left").select("id", F.coalesce("name", F.concat("base", F.lit(f"-{tries + 1}"))).alias("note_slug"))
 
 
 def set_links(notes: DataFrame) -> DataFrame:
@@ -177,8 +182,38 @@ def backfill_graph(notes: DataFrame) -> DataFrame:
     return electrons.unionByName(unknown).join(atoms, "slug", "left").select("slug", "note_id", F.coalesce("n", F.lit(0)).alias("mentions"))
 
 
+def merge_plan(pairs: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(merges, refused) of ``pairs`` (from, to): what each ``from`` becomes in the end, and the pairs that lead round in a circle.
+
+    A ``to`` that is itself merged, now or by ``aliases`` (alias, canonical), is followed to its end by pointer jumping, whose rounds
+    grow with the logarithm of the longest chain. Of several pairs of one ``from`` the smallest ``to`` counts.
+    """
+    own = pairs.groupBy("from").agg(F.min("to").alias("to")).where(F.col("from").isNotNull() & F.col("to").isNotNull())
+    links = own
+    if aliases is not None:
+        older = aliases.select(F.col("alias").alias("from"), F.col("canonical").alias("to")).where("from <> to")
+        links = own.unionByName(older.join(own, "from", "left_anti").groupBy("from").agg(F.min("to").alias("to")))
+    # a chain of n links is at its end after as many doublings as n has bits; what still goes on then is a circle
+    links = checkpointed(links)
+    at, steps = links, 1
+    total = links.count()
+    while True:
+        onward = at.select(F.col("from").alias("to"), F.col("to").alias("_next"))
+        at = checkpointed(at.join(onward, "to", "left").select("from", F.coalesce("_next", "to").alias("to")))
+        steps *= 2
+        going = at.join(links.select(F.col("from").alias("to")), "to", "left_semi")
+        if going.isEmpty() or steps > total:
+            break
+    ends = at.join(links.select(F.col("from").alias("to")), "to", "left_anti").select("from", "to")
+    merges = ends.join(own.select("from"), "from", "left_semi")
+    return merges, own.join(merges.select("from"), "from", "left_anti")
+
+
 def merge_concepts(mentions: DataFrame, links: DataFrame, aliases: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(mentions, links, aliases) after each ``from`` of ``pairs`` has become its ``to``: facts once, older aliases re-pointed, new ones added."""
+    """(mentions, links, aliases) after each ``from`` of ``pairs`` has become its ``to``: facts once, older aliases re-pointed, new ones added.
+
+    ``pairs`` are the merges of a ``merge_plan``, so no ``to`` is a ``from``.
+    """
     p = pairs.select(F.col("from").alias("_from"), F.col("to").alias("_to"))
 
     def moved(df: DataFrame, column: str) -> DataFrame:
@@ -190,6 +225,28 @@ def merge_concepts(mentions: DataFrame, links: DataFrame, aliases: DataFrame, pa
     return facts, edges, named
 
 
+def merged_notes(notes: DataFrame, merges: DataFrame, names: DataFrame, created: Column) -> DataFrame:
+    """(id, slug, content, wikilinks, change) of the notes (id, slug, title, content, wikilinks) that ``merges`` (from, to) change.
+
+    ``relinked``: each [[from]] and [[from|label]] in the text leads to the concept it was merged into, and so do the links, each
+    once. ``redirect``: the note of a merged concept only points on; ``names``: slug, name of concepts.
+    """
+    m = merges.select(F.col("from").alias("_from"), F.col("to").alias("_to"))
+    gone = notes.join(m, F.col("slug") == F.col("_from")).join(names.select(F.col("slug").alias("_to"), F.col("name").alias("_name")), "_to", "left")
+    redirect = gone.select("id", "slug", redirect_document(F.col("title"), F.coalesce("_name", "_to"), F.col("_to"), created).alias("content"), F.array("_to").alias("wikilinks"), F.lit("redirect").alias("change"))
+    touched = notes.select("id", F.explode(F.array_distinct("wikilinks")).alias("_from")).join(m, "_from").groupBy("id").agg(F.collect_list(F.struct("_from", "_to")).alias("_moves"))
+    own = notes.join(gone.select("id"), "id", "left_anti").join(touched, "id")
+
+    def pointed(text: Column, move: Column) -> Column:
+        for close in ("]]", "|"):
+            text = F.replace(text, F.concat(F.lit("[["), move["_from"], F.lit(close)), F.concat(F.lit("[["), move["_to"], F.lit(close)))
+        return text
+
+    content = F.aggregate("_moves", F.coalesce("content", F.lit("")), pointed)
+    moved = F.aggregate("_moves", F.col("wikilinks"), lambda links, move: F.transform(links, lambda x: F.when(x == move["_from"], move["_to"]).otherwise(x)))
+    return own.select("id", "slug", content.alias("content"), F.array_distinct(moved).alias("wikilinks"), F.lit("relinked").alias("change")).unionByName(redirect)
+
+
 def repair_names(concepts: DataFrame) -> DataFrame:
     """(slug, name) of concepts whose name is still their slug, as a reader should see them."""
     return concepts.where("name = slug").select("slug", display_name(F.col("slug")).alias("name"))

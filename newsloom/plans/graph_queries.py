@@ -31,9 +31,16 @@ def fold_spellings(links):
     return G.fold_spellings(links.select(F.col("from_note").alias("id"), F.when(F.col("from_note") % 2 == 0, F.replace("to_slug", F.lit("-"))).otherwise(F.col("to_slug")).alias("slug")))
 
 
-@query("allocate_concept_slugs", "f_concepts", sql="SELECT slug, CASE WHEN starts_with(slug, 'area') THEN concat(slug, '-concept') ELSE slug END AS note_slug FROM f_concepts")
+@query(
+    "allocate_concept_slugs",
+    "f_concepts",
+    sql="""SELECT slug, CASE WHEN starts_with(slug, 'area') THEN concat(slug, '-concept-2') ELSE slug END AS note_slug FROM f_concepts
+  UNION ALL SELECT concat(slug, '-concept'), concat(slug, '-concept', CASE WHEN starts_with(slug, 'area') THEN '-concept' ELSE '' END) FROM f_concepts""",
+)
 def allocate_concept_slugs(concepts):
-    return G.allocate_concept_slugs(concepts, concepts.where("slug LIKE 'area%'"))
+    """Every concept c beside a concept c-concept; other notes own c and c-concept of the areas."""
+    both = concepts.select("slug").unionByName(concepts.select(F.concat("slug", F.lit("-concept")).alias("slug")))
+    return G.allocate_concept_slugs(both, both.where("slug LIKE 'area%'"))
 
 
 @query("allocate_note_slugs", "f_articles", "f_notes", sql=f"WITH r AS (SELECT id, s, row_number() OVER (PARTITION BY s ORDER BY id) AS n FROM (SELECT id, {SLUG.format('title')} AS s FROM f_articles)) SELECT id, CASE WHEN n = 1 THEN s ELSE concat(s, '-', n) END AS note_slug FROM r")
@@ -138,8 +145,16 @@ def backfill_graph(n):
 
 
 def _merge(m, links, which):
-    pairs = m.select("concept_slug").distinct().where("concept_slug LIKE 'facet-%'").select(F.col("concept_slug").alias("from"), F.lit("area-0").alias("to"))
-    return G.merge_concepts(m, links, _aliases(links), pairs)[which]
+    """facet-k becomes area-0 through area-9, which isn't there; topic-1 and topic-2 would become each other."""
+    facets = m.select("concept_slug").distinct().where("concept_slug LIKE 'facet-%'").select(F.col("concept_slug").alias("from"), F.lit("area-9").alias("to"))
+    more = m.sparkSession.createDataFrame([("area-9", "area-0"), ("topic-1", "topic-2"), ("topic-2", "topic-1")], "from string, to string")
+    merges, refused = G.merge_plan(facets.unionByName(more))
+    return refused if which is None else merges if which == "plan" else G.merge_concepts(m, links, _aliases(links), merges)[which]
+
+
+@query("merge_plan", "f_mentions", "f_links", sql="SELECT DISTINCT concept_slug AS \"from\", 'area-0' AS \"to\", false AS refused FROM f_mentions WHERE starts_with(concept_slug, 'facet-') UNION ALL VALUES ('area-9', 'area-0', false), ('topic-1', 'topic-2', true), ('topic-2', 'topic-1', true)")
+def merge_plan(m, links):
+    return _merge(m, links, "plan").withColumn("refused", F.lit(False)).unionByName(_merge(m, links, None).withColumn("refused", F.lit(True)))
 
 
 @query("merge_concepts", "f_mentions", "f_links", sql="SELECT DISTINCT CASE WHEN starts_with(concept_slug, 'facet-') THEN 'area-0' ELSE concept_slug END AS concept_slug, note_id FROM f_mentions")
@@ -147,7 +162,27 @@ def merge_concepts(m, links):
     return _merge(m, links, 0).select("concept_slug", "note_id")
 
 
-@query("aliases", "f_mentions", "f_links", sql="SELECT DISTINCT to_slug AS alias, 'area-0' AS canonical FROM f_links WHERE starts_with(to_slug, 'facet-')")
+@query("merged_links", "f_mentions", "f_links", sql="SELECT DISTINCT from_note, CASE WHEN starts_with(to_slug, 'facet-') THEN 'area-0' ELSE to_slug END AS to_slug FROM f_links")
+def merged_links(m, links):
+    return _merge(m, links, 1)
+
+
+@query(
+    "merged_notes",
+    "f_notes",
+    sql=f"""WITH x AS (SELECT id, slug, title, list_filter(wikilinks, lambda w: w IN ('topic-1', 'topic-3', 'area-1')) AS hit, list_distinct(list_transform(wikilinks, lambda w: CASE WHEN w IN ('topic-1', 'topic-3', 'area-1') THEN 'topic-2' ELSE w END)) AS moved, wikilinks FROM f_notes)
+SELECT id, 'redirect' AS change, concat('---', chr(10), 'type: electron', chr(10), 'created: "2024-01-27 00:00"', chr(10), 'status: merged', chr(10), 'tags:', chr(10), '  - ai', chr(10), '  - concept', chr(10), '---', chr(10), chr(10), '# ', title, chr(10), chr(10), 'Merged into [[topic-2]] — Two.', chr(10)) AS content, 'topic-2' AS links FROM x WHERE slug IN ('topic-1', 'topic-3', 'area-1')
+UNION ALL SELECT id, 'relinked', array_to_string(list_transform(wikilinks, lambda w: CASE WHEN w IN ('topic-1', 'topic-3', 'area-1') THEN '[[topic-2]] and [[topic-2|here]]' ELSE concat('[[', w, ']] and [[', w, '|here]]') END), ', '), array_to_string(list_sort(moved), ',') FROM x WHERE len(hit) > 0 AND slug NOT IN ('topic-1', 'topic-3', 'area-1')""",
+)
+def merged_notes(n):
+    pairs = n.sparkSession.createDataFrame([("area-1", "topic-1"), ("topic-1", "topic-3"), ("topic-3", "topic-2")], "from string, to string")
+    names = n.sparkSession.createDataFrame([("topic-2", "Two")], "slug string, name string")
+    text = F.array_join(F.transform("wikilinks", lambda w: F.concat(F.lit("[["), w, F.lit("]] and [["), w, F.lit("|here]]"))), ", ")
+    out = G.merged_notes(n.withColumn("content", text), G.merge_plan(pairs)[0], names, now())
+    return out.select("id", "change", "content", F.array_join(F.array_sort("wikilinks"), ",").alias("links"))
+
+
+@query("aliases", "f_mentions", "f_links", sql="SELECT DISTINCT to_slug AS alias, 'area-0' AS canonical FROM f_links WHERE starts_with(to_slug, 'facet-') UNION ALL SELECT 'area-9', 'area-0'")
 def aliases(m, links):
     return _merge(m, links, 2)
 

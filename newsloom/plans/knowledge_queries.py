@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import knowledge as K
 from newsloom.operators.digest import daily_digest, enrich_digest
+from newsloom.operators.reconcile import reconcile_documents
 from newsloom.operators.rules import model_batches
 from newsloom.operators.themes import theme_summary
 from newsloom.plans.core import query
@@ -11,7 +12,6 @@ from newsloom.plans.fixtures import AS_OF
 from newsloom.plans.graph_queries import _RESOLVED, _aliases, _themes
 from newsloom.plans.ingest_queries import now
 from newsloom.plans.text_queries import SLUG
-from newsloom.sources.readers import reconcile_documents
 
 _ATOMS = f"""{_RESOLVED}, cand AS (SELECT * FROM f_articles WHERE classified),
 sl AS (SELECT id, CASE WHEN n = 1 THEN s ELSE concat(s, '-', n) END AS slug FROM (SELECT id, s, row_number() OVER (PARTITION BY s ORDER BY id) AS n FROM (SELECT id, {SLUG.format('title')} AS s FROM cand))),
@@ -49,12 +49,26 @@ def define_concepts(c, m, n):
     return K.define_concepts(views, stored, write).select("slug", "definition")
 
 
-@query("reconcile_documents", "f_notes", sql="SELECT slug AS path, CASE category WHEN '' THEN 'created' WHEN 'tools' THEN 'replaced' WHEN 'research' THEN 'kept' ELSE 'merged' END AS outcome FROM f_notes")
+_HEAD = "concat('---\ntype: atom\ntags:\n  - ai\n  - ', category, '\n---\n')".replace("\n", "' || chr(10) || '")
+_REGION = "concat('<!-- generated:start -->', chr(10), '# ', title, chr(10), '<!-- generated:end -->')"
+
+
+@query(
+    "reconcile_documents",
+    "f_notes",
+    sql=f"""SELECT slug AS path, CASE WHEN category = '' THEN 'created' WHEN category IN ('tools', 'models') THEN 'replaced' WHEN category = 'research' THEN 'kept' ELSE 'merged' END AS outcome,
+  CASE WHEN category = 'research' THEN title WHEN category IN ('', 'tools', 'models') THEN concat({_HEAD}, {_REGION}, chr(10))
+    ELSE concat('---', chr(10), 'type: atom', chr(10), 'tags:', chr(10), '  - ai', chr(10), '  - ', category, chr(10), '  - mine', chr(10), '  - "a: b"', chr(10), 'reviewed: 2024-01-02', chr(10), 'aliases:', chr(10), '  - x', chr(10), '---', chr(10), 'before ', {_REGION}, chr(10), 'after') END AS text FROM f_notes""",
+)
 def reconcile(n):
-    start, end = "<!-- generated:start -->", "<!-- generated:end -->"
-    text = F.when(F.col("category") == "tools", F.lit("old")).when(F.col("category") == "research", F.col("title")).otherwise(F.concat(F.lit(f"mine {start}"), "title", F.lit(f"{end} tail")))
-    stored = n.where("category <> ''").select(F.col("slug").alias("path"), text.alias("text"), F.when(F.col("category") != "tools", "hash").alias("last_hash"))
-    return reconcile_documents(n.select(F.col("slug").alias("path"), F.col("title").alias("text")), stored).select("path", "outcome")
+    """Untouched, never written, edited around the region and in the properties, without markers, or new, by category."""
+    c, lf = F.col("category"), F.lit("\n")
+    fresh = F.concat(F.lit("---\ntype: atom\ntags:\n  - ai\n  - "), c, F.lit("\n---\n\n# "), "title", lf)
+    edited = F.concat(F.lit('---\ntype: old\nreviewed: 2024-01-02\ntags:\n  - ai\n  - mine\n  - dropped\n  - "a: b"\naliases:\n  - x\nstatus: active\n---\nbefore <!-- generated:start -->\nstale\n<!-- generated:end -->\nafter'))
+    text = F.when(c == "tools", "as written").when(c == "models", "never written").when(c == "research", F.col("title")).otherwise(edited)
+    written = F.when(c == "tools", F.sha2(F.lit("as written").cast("binary"), 256)).when(c != "models", "another")
+    stored = n.where("category <> ''").select(F.col("slug").alias("path"), text.alias("text"), written.alias("last_hash"), F.array(F.lit("ai"), F.lit("dropped")).alias("last_tags"))
+    return reconcile_documents(n.select(F.col("slug").alias("path"), fresh.alias("text")), stored).select("path", "outcome", "text")
 
 
 @query("save_themes", "f_concepts", sql="SELECT slug, first_seen AS created_at, last_seen AS updated_at, note_id IS NULL AS unnoted FROM f_concepts")

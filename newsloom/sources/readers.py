@@ -173,20 +173,3 @@ def parse_model_json(replies: DataFrame, schema: str = "array<struct<id:long,cat
     items = F.coalesce(F.from_json(F.nullif(body, F.lit("")), schema, {"mode": "PERMISSIVE"}), F.from_json(F.nullif(repaired, F.lit("")), schema))
     own = replies.select("reply", F.explode_outer(items).alias("item"))
     return own.where("item IS NULL OR item.id <> 0").select("reply", "item", F.col("item").isNull().alias("error"))
-
-
-def reconcile_documents(rendered: DataFrame, stored: DataFrame, start: str = "<!-- generated:start -->", end: str = "<!-- generated:end -->") -> DataFrame:
-    """(path, outcome, text) of rendered (path, text) against stored documents (path, text, last_hash).
-
-    Nothing stored is created; untouched text, and text without marker or hash, is replaced; text whose marker was
-    taken out is kept; else the generated region is renewed and what the reader wrote around it stays.
-    """
-    r, s = rendered.select("path", F.col("text").alias("_new")), stored.select("path", F.col("text").alias("_old"), "last_hash")
-    both = r.join(s, "path", "left")
-    marked = F.contains("_old", F.lit(start)) & F.contains("_old", F.lit(end))
-    untouched = F.sha2("_old", 256) == F.col("last_hash")
-    outcome = F.when(F.col("_old").isNull(), "created").when(untouched | (~marked & F.col("last_hash").isNull()), "replaced").when(~marked, "kept").otherwise("merged")
-    head = F.substring_index("_old", start, 1)
-    tail = F.substr(F.col("_old"), F.locate(end, "_old") + len(end))
-    merged = F.concat(head, F.lit(start), F.lit("\n"), F.col("_new"), F.lit("\n"), F.lit(end), tail)
-    return both.withColumn("outcome", outcome).select("path", "outcome", F.when(F.col("outcome") == "kept", F.col("_old")).when(F.col("outcome") == "merged", merged).otherwise(F.col("_new")).alias("text"))

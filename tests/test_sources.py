@@ -63,12 +63,3 @@ def test_model_replies(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "reply int, text string")
     rows = [(r["reply"], r["item"] and r["item"]["id"], r["error"]) for r in S.parse_model_json(df).orderBy("reply").collect()]
     assert rows == [(0, 1, False), (1, 2, False), (2, None, True)]
-
-
-def test_reconcile(spark):
-    start, end = "<!-- generated:start -->", "<!-- generated:end -->"
-    rendered = spark.createDataFrame([(p, "new") for p in "abcde"], "path string, text string")
-    old = f"mine {start}\nold\n{end} tail"
-    stored = spark.createDataFrame([("b", "old", None), ("c", "mine", "hash"), ("d", old, "hash")], "path string, text string, last_hash string").unionByName(spark.sql("SELECT 'e' AS path, 'old' AS text, sha2('old', 256) AS last_hash"))
-    rows = {r["path"]: (r["outcome"], r["text"]) for r in S.reconcile_documents(rendered, stored).collect()}
-    assert rows == {"a": ("created", "new"), "b": ("replaced", "new"), "c": ("kept", "mine"), "d": ("merged", f"mine {start}\nnew\n{end} tail"), "e": ("replaced", "new")}
