@@ -6,12 +6,9 @@ article: an array with the place of every rule that matches. ``MAX_RULES`` bound
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException, PythonException, SparkRuntimeException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import clamp_importance, portable_regex, re2_has
@@ -39,12 +36,12 @@ def parse_actions(actions: Column) -> Column:
 
 
 def compiles(spark: SparkSession, pattern: str) -> bool:
-    """Whether RE2 would take a pattern and Spark takes its translation."""
+    """Whether RE2 would take a pattern, and the regex engine of Spark's JVM its translation; no job runs."""
     if not re2_has(pattern):
         return False
     try:
-        spark.range(1).where(F.lit("").rlike(portable_regex(pattern))).collect()
-    except (PythonException, SparkRuntimeException, AnalysisException, Py4JJavaError):
+        spark._jvm.java.util.regex.Pattern.compile(portable_regex(pattern))
+    except (Py4JJavaError, IllegalArgumentException):
         return False
     return True
 
@@ -71,7 +68,8 @@ def matches(rules: list) -> Column:
 
 
 def _value(rules: list, place: Column, column: str, kind: str) -> Column:
-    values = F.array(*[F.lit(r[column]).cast(kind) for r in rules]) if rules else F.array().cast(f"array<{kind}>")
+    of = lambda r: F.lit(r[column] if column in r else [])  # noqa: E731  rules without tags give none
+    values = F.array(*[of(r).cast(kind) for r in rules]) if rules else F.array().cast(f"array<{kind}>")
     return F.get(values, place)
 
 
@@ -92,11 +90,18 @@ def decide(articles: DataFrame, rules: list) -> DataFrame:
         "rule_keep": F.coalesce(_value(rules, F.col("_a"), "keep", "boolean"), F.lit(False)),
         "rule_category": F.coalesce(_value(rules, F.col("_a"), "category", "string"), F.lit("")),
         "rule_importance": F.coalesce(_value(rules, F.col("_a"), "importance", "int"), F.lit(0)),
+        "rule_tags": F.coalesce(_value(rules, F.col("_a"), "tags", "array<string>"), F.array().cast("array<string>")),
     }
     found = found.withColumns(out)
     return found.withColumn("to_model", (F.col("floor") > 0) | F.col("rule").isNull() | F.col("rule_keep")).drop("_m", "_b", "_a")
 
 
+def list_rules(rules: DataFrame) -> DataFrame:
+    """Rules with their place (``pos``) in a list, enabled ones first, then by id; there are at most ``MAX_RULES``."""
+    first = rules.orderBy(F.desc("enabled"), "id").limit(MAX_RULES)
+    return first.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("enabled"), "id")))
+
+
 def rule_matches(articles: DataFrame, rules: list) -> DataFrame:
     """(id, rule) of every match."""
     return articles.select("id", F.explode(matches(rules)).alias("_i")).select("id", _value(rules, F.col("_i"), "id", "int").alias("rule"))
@@ -116,16 +121,18 @@ def default_importance(title: Column) -> Column:
 
 
 def apply_rules(decided: DataFrame) -> DataFrame:
-    """Rows that a rule settles, with its category, importance (0 is unset) and status; the rest is left out."""
+    """Rows that a rule settles, with its category, importance (0 is unset), tags and status, and without entities; the rest is left out."""
     importance = F.when(F.col("rule_importance") > 0, F.col("rule_importance")).otherwise(default_importance(F.col("title")))
-    return decided.where("NOT to_model").withColumns(
-        {
-            "category": F.coalesce(F.nullif("rule_category", F.lit("")), F.lit("general")),
-            "importance": importance,
-            "status": F.when(F.col("rule_archive"), "archived").otherwise(F.col("status")),
-            "classified": F.lit(True),
-        }
-    )
+    new = {
+        "category": F.coalesce(F.nullif("rule_category", F.lit("")), F.lit("general")),
+        "importance": importance,
+        "status": F.when(F.col("rule_archive"), "archived").otherwise(F.col("status")),
+        "classified": F.lit(True),
+        "tags": F.col("rule_tags"),
+    }
+    if "entities" in decided.columns:
+        new["entities"] = F.array().cast(decided.schema["entities"].dataType)
+    return decided.where("NOT to_model").withColumns(new)
 
 
 def settle_importance(current: Column, delta: Column, floor: Column) -> Column:
@@ -135,61 +142,6 @@ def settle_importance(current: Column, delta: Column, floor: Column) -> Column:
     return F.struct(final.alias("importance"), ((want != current) & (final != current)).alias("adjusted"), ((floor > current) & (final == floor)).alias("boosted"))
 
 
-def classify(queue: DataFrame, rules: list, deltas: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None, coverage: tuple[int, int] = (3, 2)) -> DataFrame:
-    """The queue with category, importance, status and ``by`` (rules, model or fallback) and the flags of settling.
-
-    ``queue`` has story_size, ``deltas`` (id, delta). Rules settle what they may; the rest goes to ``model``
-    (a function for mapInPandas from id, title, content_md to id, category, importance), and what it doesn't
-    answer is general at default importance.
-    """
-    decided = decide(queue, rules)
-    by_rules = apply_rules(decided).withColumn("by", F.lit("rules"))
-    rest = decided.where("to_model")
-    answers = rest.select("id", "title", "content_md").mapInPandas(model, "id long, category string, importance int") if model else None
-    if answers is not None:
-        new = answers.select("id", F.col("category").alias("_c"), F.col("importance").alias("_i"))
-        rest = rest.join(new, "id", "left")
-    else:
-        rest = rest.withColumns({"_c": F.lit(None).cast("string"), "_i": F.lit(None).cast("int")})
-    rest = rest.withColumns(
-        {"category": F.coalesce("_c", F.lit("general")), "importance": F.coalesce("_i", default_importance(F.col("title"))), "classified": F.lit(True), "by": F.when(F.col("_c").isNotNull(), "model").otherwise("fallback")}
-    ).drop("_c", "_i")
-    out = by_rules.unionByName(rest).join(deltas, "id", "left")
-    floor = F.greatest("floor", coverage_floor(F.col("story_size"), *coverage))
-    out = out.withColumn("_s", settle_importance(F.col("importance"), F.coalesce("delta", F.lit(0)), F.when(F.col("by") == "rules", 0).otherwise(floor)))
-    return out.withColumns({"importance": F.col("_s.importance"), "adjusted": F.col("_s.adjusted"), "boosted": F.col("_s.boosted")}).drop("_s", "delta")
-
-
-def classify_plan(decided: DataFrame, batch: int = 20) -> DataFrame:
-    """Counts of a dry run, each article once under what happens to it."""
-    n = lambda condition: F.count_if(condition)
-    sent = n(F.col("to_model"))
-    return decided.agg(
-        F.count("*").alias("pending"),
-        n(~F.col("to_model") & ~F.col("rule_archive")).alias("by_rules"),
-        n(~F.col("to_model") & F.col("rule_archive")).alias("archived"),
-        n(F.col("to_model") & F.col("rule_keep")).alias("kept"),
-        n(F.col("floor") > 0).alias("boosted"),
-        sent.alias("to_model"),
-        F.ceil(sent / batch).alias("batches"),
-    )
-
-
-def model_batches(fn: Callable[[pd.DataFrame], pd.DataFrame], size: int = 20) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A function for mapInPandas that calls ``fn`` on batches of ``size`` rows; a batch that fails is left out, its rows stay pending."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in range(0, len(frame), size):
-                try:
-                    answer = fn(frame.iloc[i : i + size])
-                except Exception:  # noqa: BLE001  the user's function may fail in any way
-                    continue
-                yield answer[answer["id"].isin(frame["id"].iloc[i : i + size])]
-
-    return run
-
-
 def merge_rules(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """(name, outcome): created, updated, unchanged or kept, by name; query, enabled and actions make the difference."""
     s = stored.select("name", F.struct("query", "enabled", "actions").alias("_s"))

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from newsloom.operators import knowledge as K
 from newsloom.operators.digest import daily_digest, enrich_digest
 from newsloom.operators.reconcile import reconcile_documents
-from newsloom.operators.rules import model_batches
 from newsloom.operators.themes import theme_summary
 from newsloom.plans.core import query
 from newsloom.plans.fixtures import AS_OF
@@ -78,14 +77,6 @@ def save_themes(c):
     return K.save_themes(stored, new).select("slug", "created_at", "updated_at", F.col("note_id").isNull().alias("unnoted"))
 
 
-@query("summarize", "f_articles", sql="SELECT id, concat('about ', len(content_md)) AS summary FROM f_articles")
-def summarize(a):
-    def stub(frame):
-        return frame.assign(summary="about " + frame["content_md"].str.len().astype(str))[["id", "summary"]]
-
-    return a.select("id", "content_md").mapInPandas(model_batches(stub), "id long, summary string")
-
-
 @query("enrich_digest", "f_articles", sql=f"SELECT DISTINCT coalesce(nullif(category, ''), 'general') AS theme, CASE WHEN category = 'tools' THEN 'on tools' ELSE '' END AS summary FROM f_articles WHERE status <> 'archived' AND fetched_at >= timestamp '{AS_OF}' - interval 7 day")
 def enrich(a):
     themes = daily_digest(a, now())

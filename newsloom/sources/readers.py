@@ -167,9 +167,9 @@ def write_rules(rules: DataFrame, path: str) -> None:
 
 
 def parse_model_json(replies: DataFrame, schema: str = "array<struct<id:long,category:string,summary:string,tags:array<string>,importance:int>>") -> DataFrame:
-    """(reply, item or error) of model replies (reply, text): the first list in the text, fences and a trailing comma forgiven; items of id 0 are left out."""
+    """(reply, place, item or error) of model replies (reply, text): the first list in the text, fences and a trailing comma forgiven; items of id 0 are left out."""
     body = F.regexp_extract("text", r"(?s)(\[.*\])", 1)
     repaired = F.regexp_replace(body, r",(\s*[\]}])", r"$1")
     items = F.coalesce(F.from_json(F.nullif(body, F.lit("")), schema, {"mode": "PERMISSIVE"}), F.from_json(F.nullif(repaired, F.lit("")), schema))
-    own = replies.select("reply", F.explode_outer(items).alias("item"))
-    return own.where("item IS NULL OR item.id <> 0").select("reply", "item", F.col("item").isNull().alias("error"))
+    own = replies.select("reply", items.isNull().alias("error"), F.posexplode_outer(items).alias("place", "item"))
+    return own.where("error OR item.id <> 0").select("reply", "place", "item", "error")
