@@ -12,7 +12,7 @@ from newsloom.operators import records as C
 from newsloom.operators import rules as R
 from newsloom.operators import search as S
 from newsloom.operators import tables as T
-from newsloom.operators.search import embed_missing, keyword_rank, keyword_scores
+from newsloom.operators.search import keyword_rank, keyword_scores
 from newsloom.operators.text_index import add_to_index, read_index
 from newsloom.operators.themes import cluster_themes
 
@@ -124,16 +124,6 @@ def test_phrase_search(spark, tmp_path):
     assert got == {(1, "note", 1, 1), (1, "article", 2, 2), (2, "note", 1, 1)}
 
 
-def test_failed_embeddings_are_rows(spark):
-    docs = spark.createDataFrame([(i, "t", None) for i in range(6)], "id long, text string, embedding array<float>").coalesce(1)
-
-    def fn(texts):
-        raise RuntimeError("down")
-
-    errors = [r["error"] for r in embed_missing(docs, fn, size=1, most_failures=2).collect()]
-    assert errors == ["down"] * 2 + ["given up"] * 4
-
-
 def test_streaks_go_on_from_before_and_over_days(spark):
     rows = [(i, 1, DAY + dt.timedelta(hours=7 * i), "failed" if i < 9 or i in (12, 13) else "ok") for i in range(16)] + [(99, 2, DAY, "ok")]
     log = spark.createDataFrame(rows, "id long, source_id int, cycle_ts timestamp_ntz, outcome string")
@@ -190,19 +180,6 @@ def test_vector_places_equal_brute_force(spark):
         assert got == {r[:2]: order.index(r) + 1 for r in rows[::4]}
 
 
-def test_embedding_failures_are_by_item(spark):
-    docs = spark.createDataFrame([(i, "bad" if i in (2, 5) else "t", [1.0] if i == 7 else None) for i in range(9)], "id long, text string, embedding array<float>").coalesce(1)
-
-    def fn(texts):
-        if (texts == "bad").any():
-            raise ValueError("no")
-        return [[1.0] for _ in texts]
-
-    got = {r["id"]: r["error"] for r in embed_missing(docs, fn, size=4).collect()}
-    assert got == {i: "no" if i in (2, 5) else None for i in range(9) if i != 7}
-    assert sorted(r["error"] or "" for r in embed_missing(docs, fn, size=4, most_failures=1).collect()).count("given up") >= 3
-
-
 def test_records_change_by_table(spark):
     table = spark.createDataFrame([(1, "a", True, DAY), (2, "b", True, DAY), (3, "c", False, DAY)], "id long, name string, enabled boolean, updated_at timestamp")
     changes = spark.createDataFrame([(1, "delete", None), (2, "update", "B"), (3, "enable", None), (9, "update", "x"), (5, "create", "n"), (6, "create", "m")], "id long, op string, name string")
