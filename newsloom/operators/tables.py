@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,3 +54,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, name: str, after: int, *order: str) -> DataFrame:
+    """``df`` with ``name``: numbers from ``after`` + 1 on, in the given order. No task orders all rows: each numbers a range of them.
+
+    The driver sees one count a partition.
+    """
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    counts = sorted((r[0], r[1]) for r in placed.groupBy(F.shiftright("_at", 33).alias("p")).count().collect())
+    before, starts = after + 1, []
+    for part, count in counts:
+        starts.append((part, before))
+        before += count
+    first = F.broadcast(df.sparkSession.createDataFrame(starts, "_p long, _first long"))
+    own = placed.join(first, F.shiftright("_at", 33) == F.col("_p"))
+    return own.withColumn(name, F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_p", "_first")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: cut from its lineage, and with the size that it has.
+
+    A checkpoint keeps the size that was estimated for its plan, which joins multiply: over many steps planning itself gets slow.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
