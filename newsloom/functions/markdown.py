@@ -21,6 +21,10 @@ def strip_tags(html: Column) -> Column:
     return trimmed(F.regexp_replace(html, "<[^>]*>", ""))
 
 
+#: Names of meta elements that say who wrote a page.
+_AUTHORS = ("author", "article:author", "dc.creator")
+
+
 class _Writer(HTMLParser):
     """Writes blocks, emphasis, links, lists and code of a page as markdown; with ``readable``, without navigation and the like."""
 
@@ -29,10 +33,14 @@ class _Writer(HTMLParser):
         self.readable, self.out, self.lists, self.links = readable, [], [], []
         self.skip = self.code = 0
         self.title, self.in_title, self.article_at, self.article_end = "", False, None, None
+        self.byline = ""
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "title":
             self.in_title = True
+        if tag == "meta" and not self.byline:
+            named = {k: v or "" for k, v in attrs}
+            self.byline = named.get("content", "") if (named.get("name") or named.get("property", "")).lower() in _AUTHORS else ""
         if tag in _SKIPPED or self.readable and (tag in _UNREADABLE or tag == "div" and "ad" in dict(attrs).get("class", "").split()) or self.skip and tag == "div":
             self.skip += 1
         if self.skip:
@@ -124,21 +132,21 @@ def html_to_markdown(pages: DataFrame, column: str = "html") -> DataFrame:
 
 
 def extract_pages(pages: DataFrame, column: str = "html", least: int = MIN_LENGTH) -> DataFrame:
-    """``pages`` with title, markdown and outcome of their readable body in the place of the html column.
+    """``pages`` with title, byline, markdown and outcome of their readable body in the place of the html column.
 
     A body under ``least`` characters falls back to the page's plain text; if that is short too the outcome is
     ``failed`` and markdown is null, else it is ``extracted``. Markdown is cleaned.
     """
 
-    @F.pandas_udf("struct<title:string,markdown:string,text:string>")
+    @F.pandas_udf("struct<title:string,byline:string,markdown:string,text:string>")
     def read(html: pd.Series) -> pd.DataFrame:
         rows = [_write(h or "", True) for h in html]
-        return pd.DataFrame({"title": [" ".join(w.title.split()) for w in rows], "markdown": [w.markdown(True) for w in rows], "text": [w.markdown() for w in rows]})
+        return pd.DataFrame({"title": [" ".join(w.title.split()) for w in rows], "byline": [" ".join(w.byline.split()) for w in rows], "markdown": [w.markdown(True) for w in rows], "text": [w.markdown() for w in rows]})
 
-    kept = [c for c in pages.columns if c not in (column, "title", "markdown", "outcome")]
+    kept = [c for c in pages.columns if c not in (column, "title", "byline", "markdown", "outcome")]
     found = pages.select(*kept, read(column).alias("_r"))
     body = F.when(F.length("_r.markdown") >= least, F.col("_r.markdown")).when(F.length("_r.text") >= least, F.col("_r.text"))
-    out = found.select(*kept, F.col("_r.title").alias("title"), clean_markdown(body).alias("markdown"))
+    out = found.select(*kept, F.col("_r.title").alias("title"), F.col("_r.byline").alias("byline"), clean_markdown(body).alias("markdown"))
     return out.withColumn("outcome", F.when(F.col("markdown").isNull(), "failed").otherwise("extracted"))
 
 

@@ -192,6 +192,13 @@ def embed_text(title: Column, body: Column, n: int = 1200) -> Column:
     return F.when(t == "", b).otherwise(F.concat(t, F.lit("\n\n"), b))
 
 
+def note_day(content: Column, created_at: Column) -> Column:
+    """The day a note is about: what its head says under ``created``, else when it was made."""
+    head = F.regexp_extract(F.coalesce(content, F.lit("")), r"(?s)\A---\n(.*?\n)---\n", 1)
+    said = F.regexp_extract(head, r"""(?m)^created:\s*["']?(\d{4}-\d{2}-\d{2})""", 1)
+    return F.coalesce(F.nullif(said, F.lit("")).try_cast("date"), F.to_date(created_at))
+
+
 def content_key(name: Column, slugs: Column) -> Column:
     """Cache key of a name and the slugs it rests on."""
     return F.sha2(F.concat(name, F.lit("\0"), F.array_join(F.array_sort(slugs), "\0")), 256)

@@ -133,13 +133,22 @@ def story_members(articles: DataFrame, anchors: DataFrame) -> DataFrame:
     return articles.join(anchors.select("story_id").distinct(), "story_id", "left_semi").orderBy("story_id", "id")
 
 
-def ingest_outcomes(items: DataFrame, stored: DataFrame, stories: DataFrame, as_of: Column, max_age_days: int = 30) -> DataFrame:
-    """(id, outcome) of a batch: skipped (no url, stale, known or repeated url), grouped into an earlier story, or new."""
+def ingest_outcomes(items: DataFrame, stored: DataFrame, stories: DataFrame, as_of: Column, max_age_days: int = 30, known: DataFrame | None = None) -> DataFrame:
+    """(id, outcome) of a batch: skipped (no url, stale, known or repeated url), grouped into an earlier story, updated (``known`` has its source_id and guid), or new."""
     usable = drop_stale(drop_unusable(items), as_of, max_age_days)
     kept = dedup_by_url(usable, stored).select("id", F.lit(True).alias("_kept"))
     anchor = stories.select("id", "story_id")
-    outcome = F.when(F.col("_kept").isNull(), "skipped").when((F.col("story_id") != 0) & (F.col("story_id") != F.col("id")), "grouped").otherwise("new")
-    return items.select("id").join(kept, "id", "left").join(anchor, "id", "left").select("id", outcome.alias("outcome"))
+    own = items.select("id", *([] if known is None else ["source_id", "guid"]))
+    own = own.withColumn("_known", F.lit(None).cast("boolean")) if known is None else own.join(known.select("source_id", "guid", F.lit(True).alias("_known")).distinct(), ["source_id", "guid"], "left")
+    outcome = F.when(F.col("_kept").isNull(), "skipped").when((F.col("story_id") != 0) & (F.col("story_id") != F.col("id")), "grouped").when(F.col("_known"), "updated").otherwise("new")
+    return own.join(kept, "id", "left").join(anchor, "id", "left").select("id", outcome.alias("outcome"))
+
+
+def ingest_summary(outcomes: DataFrame, cycles: DataFrame) -> DataFrame:
+    """One row: what became of a run's items (id, outcome), and of its sources (source_id, outcome: ok, empty or failed)."""
+    n = lambda *kinds: F.count_if(F.col("outcome").isin(*kinds))
+    items = outcomes.agg(*[n(k).alias(k) for k in ("new", "updated", "grouped", "skipped")], F.lit(1).alias("_one"))
+    return items.join(cycles.agg(n("ok", "empty").alias("sources_fetched"), n("failed").alias("sources_failed"), F.lit(1).alias("_one")), "_one").drop("_one")
 
 
 def health_streaks(log: DataFrame, before: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from newsloom.operators import articles as A
+from newsloom.operators import pages as P
 from newsloom.operators.ingest import assign_stories
 from newsloom.operators.tables import apply_changes, last_by, upsert
 from newsloom.plans.core import query
@@ -104,12 +105,15 @@ def pending_extraction(a):
     return A.pending_extraction(storied(a)).select("id")
 
 
-@query("extract_pending", "f_articles", "pages", sql="SELECT a.id, a.extracted OR (len(a.content_md) < 200 AND coalesce(len(p.html), 0) >= 200) AS extracted FROM f_articles a LEFT JOIN pages p ON p.page_id = a.id")
+@query("extract_pending", "f_articles", "pages", sql="SELECT a.id, a.extracted OR (len(a.content_md) < 200 AND p.page_id IS NOT NULL) AS extracted, NOT a.extracted AND len(a.content_md) < 200 AND p.page_id IS NOT NULL AS filled FROM f_articles a LEFT JOIN pages p ON p.page_id = a.id AND p.page_id % 5 <> 0")
 def extract_pending(a, p):
-    landed = p.where(F.length("html") >= 200).select(F.concat(F.lit("p"), F.col("page_id")).alias("url"), F.col("html").alias("markdown"), F.lit("extracted").alias("outcome"))
+    """Pages of a fifth of the articles hold a script alone and can't be read."""
+    html = F.when(F.col("page_id") % 5 == 0, F.lit("<html><script>var a = 1;</script></html>")).otherwise(F.replace("html", F.lit("<article>"), F.lit("<article><p>" + "word " * 60 + "</p>")))
+    landed = p.select(F.concat(F.lit("p"), F.col("page_id")).alias("url"), html.alias("html"))
     own = a.withColumn("url", F.concat(F.lit("p"), F.col("id"))).withColumn("story_id", F.lit(0))
-    out = A.extract_pending(own, landed)
-    return out.select("id", "extracted")
+    after, _ = P.extract_landed(own, landed)
+    before = own.select("id", F.col("content_md").alias("_old"))
+    return after.join(before, "id").select("id", "extracted", (F.length("content_md") >= 200).__and__(F.length("_old") < 200).alias("filled"))
 
 
 _CHANGES = "c AS (SELECT id, CASE id % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'archived' ELSE 'starred' END AS status FROM f_articles WHERE starred)"
@@ -141,11 +145,16 @@ def replay_events(e):
     return A.replay_events(e)
 
 
-@query("upsert_articles", "f_articles", sql="SELECT source_id, guid, CASE WHEN starred THEN concat(title, '!') ELSE title END AS title, status, NOT classified AS created FROM f_articles WHERE classified OR starred OR extracted")
+@query(
+    "upsert_articles",
+    "f_articles",
+    sql=f"""SELECT source_id, guid, CASE WHEN starred THEN concat(title, '!') ELSE title END AS title, status, CASE WHEN classified THEN fetched_at ELSE {TIME} END AS fetched_at,
+  CASE WHEN classified AND NOT starred THEN fetched_at ELSE {TIME} END AS updated_at, NOT classified AS created FROM f_articles WHERE classified OR starred OR extracted""",
+)
 def upsert_articles(a):
-    stored = a.where("classified").select("source_id", "guid", "title", "status")
+    stored = a.where("classified").select("source_id", "guid", "title", "status", "fetched_at", F.col("fetched_at").alias("updated_at"))
     incoming = a.where("starred OR (NOT classified AND extracted)").select("source_id", "guid", F.when(F.col("starred"), F.concat("title", F.lit("!"))).otherwise(F.col("title")).alias("title"), F.when(F.col("classified"), "unread").otherwise(F.col("status")).alias("status"))
-    return upsert(stored, incoming, ["source_id", "guid"], keep=("status",))
+    return P.upsert_articles(stored, incoming, now())
 
 
 @query("enabled_sources", "f_sources", sql="SELECT id, name, group_name FROM f_sources WHERE enabled AND NOT hidden")
@@ -172,10 +181,25 @@ def note_of_article(a, n):
     return a.select("id").join(n.where("note_type = 'atom'").select("id", "slug"), "id", "left")
 
 
-@query("ingest_pages", "pages", "f_articles", sql="SELECT sha256(url) AS guid, min(page_id) AS page_id FROM pages WHERE url NOT IN (SELECT url FROM f_articles) GROUP BY url")
-def ingest_pages(p, a):
-    new = p.join(a.select("url"), "url", "left_anti")
-    return new.groupBy("url").agg(F.min("page_id").alias("page_id")).select(F.sha2("url", 256).alias("guid"), "page_id")
+@query(
+    "ingest_pages",
+    "pages",
+    "f_articles",
+    "f_sources",
+    sql=r"""WITH f AS (SELECT url, arg_min(html, page_id) AS html, min(page_id) AS page_id FROM pages WHERE url NOT IN (SELECT url FROM f_articles) GROUP BY url)
+SELECT (SELECT max(id) + 1 FROM f_sources) AS source_id, sha256(url) AS guid, url, trim(regexp_replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title, CASE WHEN page_id % 3 = 0 THEN concat('Ada ', page_id) ELSE '' END AS author FROM f""".replace("\\\\", "\\"),
+)
+def ingest_pages(p, a, s):
+    """A third of the pages say who wrote them."""
+    author = F.concat(F.lit('<head><meta name="Author" content=" Ada  '), "page_id", F.lit('">'))
+    html = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("<head>"), author)).otherwise(F.col("html"))
+    return P.ingest_pages(p.withColumn("html", html), a, P.with_manual_source(s)).select("source_id", "guid", "url", "title", "author")
+
+
+@query("manual_source", "f_sources", sql="SELECT id, name, hidden FROM f_sources UNION ALL SELECT max(id) + 1, 'Manual', true FROM f_sources")
+def manual_source(s):
+    """It is added once."""
+    return P.with_manual_source(P.with_manual_source(s)).select("id", "name", "hidden")
 
 
 @query("note_documents", "f_notes", sql="SELECT id, concat(CASE note_type WHEN 'electron' THEN '01-Electrons/' ELSE '02-Atoms/' END, slug, '.md') AS path FROM f_notes")

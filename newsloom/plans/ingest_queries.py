@@ -106,18 +106,19 @@ def dedup_by_url(a, pages):
 @query(
     "ingest_summary",
     "f_articles",
+    "f_fetch_log",
     sql=STORIES
-    + f"SELECT CASE WHEN a.published < timestamp '{AS_OF}' - interval 14 day OR a.id % 6 = 0 THEN 'skipped' WHEN s.story_id NOT IN (0, a.id) THEN 'grouped' ELSE 'new' END AS outcome, count(*) AS n FROM f_articles a JOIN stories s ON s.id = a.id GROUP BY 1",
+    + f""", o AS (SELECT CASE WHEN a.published < timestamp '{AS_OF}' - interval 14 day OR a.id % 6 = 0 THEN 'skipped' WHEN s.story_id NOT IN (0, a.id) THEN 'grouped' WHEN a.id % 11 = 0 THEN 'updated' ELSE 'new' END AS outcome FROM f_articles a JOIN stories s ON s.id = a.id),
+l AS (SELECT arg_max(outcome, struct_pack(t := cycle_ts, i := id)) AS outcome FROM f_fetch_log GROUP BY source_id)
+SELECT count_if(outcome = 'new')::BIGINT AS new, count_if(outcome = 'updated')::BIGINT AS updated, count_if(outcome = 'grouped')::BIGINT AS grouped, count_if(outcome = 'skipped')::BIGINT AS skipped,
+  (SELECT count(*) FROM l WHERE outcome <> 'failed') AS sources_fetched, (SELECT count(*) FROM l WHERE outcome = 'failed') AS sources_failed FROM o""",
 )
-def ingest_summary(a):
+def ingest_summary(a, log):
+    """A sixth of the urls and an eleventh of the guids are known; a source counts by its last cycle."""
     known = I.drop_unusable(a.where("id % 6 = 0")).select("url")
-    return I.ingest_outcomes(a, known, I.assign_stories(hashed(a)), now(), 14).groupBy("outcome").agg(F.count("*").alias("n"))
-
-
-@query("exists_simhash", "f_articles", sql=SIMHASH + ", k AS (SELECT DISTINCT s.h FROM sim s JOIN f_articles a ON a.id = s.id WHERE a.extracted) SELECT id FROM sim WHERE h IN (SELECT h FROM k)")
-def exists_simhash(a):
-    own = hashed(a)
-    return I.exists_simhash(own.select("id", "simhash"), own.where("extracted").select("simhash").distinct()).select("id")
+    outcomes = I.ingest_outcomes(a, known, I.assign_stories(hashed(a)), now(), 14, a.where("id % 11 = 0").select("source_id", "guid"))
+    cycles = log.groupBy("source_id").agg(F.max_by("outcome", F.struct("cycle_ts", "id")).alias("outcome"))
+    return I.ingest_summary(outcomes, cycles)
 
 
 _LOG = """WITH o AS (SELECT *, CASE WHEN outcome IS DISTINCT FROM lag(outcome) OVER w THEN 1 ELSE 0 END AS c FROM f_fetch_log WINDOW w AS (PARTITION BY source_id ORDER BY cycle_ts, id)),

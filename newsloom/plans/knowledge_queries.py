@@ -1,10 +1,13 @@
 """Note building over the domain views."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from newsloom.operators import knowledge as K
-from newsloom.operators.digest import daily_digest, enrich_digest
+from newsloom.operators.digest import daily_digest, digest_reply, enrich_digest
 from newsloom.operators.reconcile import reconcile_documents
+from newsloom.operators.tables import checkpointed
 from newsloom.operators.themes import theme_summary
 from newsloom.plans.core import query
 from newsloom.plans.fixtures import AS_OF
@@ -77,7 +80,31 @@ def save_themes(c):
     return K.save_themes(stored, new).select("slug", "created_at", "updated_at", F.col("note_id").isNull().alias("unnoted"))
 
 
-@query("enrich_digest", "f_articles", sql=f"SELECT DISTINCT coalesce(nullif(category, ''), 'general') AS theme, CASE WHEN category = 'tools' THEN 'on tools' ELSE '' END AS summary FROM f_articles WHERE status <> 'archived' AND fetched_at >= timestamp '{AS_OF}' - interval 7 day")
+_THEMES = f"th AS (SELECT DISTINCT coalesce(nullif(category, ''), 'general') AS theme FROM f_articles WHERE status <> 'archived' AND fetched_at >= timestamp '{AS_OF}' - interval 7 day)"
+
+
+def _brief(body):
+    """Speaks of tools, in capitals, and of something that isn't there."""
+    names = [t["name"] for t in json.loads(body)]
+    return "```json\n" + json.dumps({"overview": f"{len(names)} themes", "themes": [{"name": "TOOLS", "summary": "on tools"}, {"name": "nothing", "summary": "x"}]}) + "\n```"
+
+
+def _down(body):
+    raise RuntimeError("down")
+
+
+@query("enrich_digest", "f_articles", sql=f"WITH {_THEMES} SELECT theme, CASE WHEN theme = 'tools' THEN 'on tools' ELSE '' END AS summary, concat((SELECT count(*) FROM th), ' themes') AS overview FROM th")
 def enrich(a):
-    themes = daily_digest(a, now())
-    return enrich_digest(themes, themes.where("theme = 'tools'").select(F.upper("theme").alias("name"), F.lit("on tools").alias("summary"))).select("theme", "summary")
+    themes = checkpointed(daily_digest(a, now()))
+    reply = digest_reply(themes, _brief)
+    said = enrich_digest(themes, reply.select(F.inline("summaries"))).select("theme", "summary", F.lit(1).alias("_one"))
+    return said.join(reply.select("overview", F.lit(1).alias("_one")), "_one").select("theme", "summary", "overview")
+
+
+@query("enrich_digest_failure", "f_articles", sql=f"WITH {_THEMES} SELECT theme, '' AS summary, 'down' AS error FROM th")
+def enrich_failure(a):
+    """Without an answer the digest stays as it is, and says why."""
+    themes = checkpointed(daily_digest(a, now()))
+    reply = digest_reply(themes, _down)
+    said = enrich_digest(themes, reply.select(F.inline("summaries"))).select("theme", "summary", F.lit(1).alias("_one"))
+    return said.join(reply.select("error", F.lit(1).alias("_one")), "_one").select("theme", "summary", "error")

@@ -128,6 +128,13 @@ def article_day(a):
     return a.select("id", F.to_date(F.coalesce("published", "fetched_at")).alias("day"))
 
 
+@query("note_day", "f_notes", sql="SELECT id, CASE WHEN id % 3 = 0 THEN DATE '2023-05-06' ELSE CAST(created_at AS DATE) END AS day FROM f_notes")
+def note_day(n):
+    """A third of the notes say when they were made; another third say something that is no date, or not in their head."""
+    said = F.when(F.col("id") % 3 == 0, F.lit('---\ntype: atom\ncreated: "2023-05-06 07:08"\n---\n')).when(F.col("id") % 3 == 1, F.lit("---\ncreated: soon\n---\n\ncreated: 2022-01-01\n")).otherwise("created: 2022-01-01")
+    return n.select("id", X.note_day(said, F.col("created_at")).alias("day"))
+
+
 @query("definition_key", "f_notes", sql="SELECT id, sha256(concat(title, chr(0), array_to_string(list_sort(wikilinks), chr(0)))) AS key FROM f_notes")
 def definition_key(n):
     return n.select("id", X.content_key(F.col("title"), F.col("wikilinks")).alias("key"))
