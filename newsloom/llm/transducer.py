@@ -36,8 +36,10 @@ import regex
 
 from newsloom.llm.common import held
 
-#: Bytes of a chunk, chunks that are read in step, and states that are kept before all are given up.
+#: Bytes of a chunk, chunks that are read in step, and states that are kept before all but the current one are given up.
 CHUNK, LANES, STATES = 512, 2048, 200_000
+#: A part with under one end of a word in ``SPARSE`` bytes is cut to ``LONG`` bytes, each of which may make a state of its own.
+LONG, SPARSE = 1 << 17, 64
 #: Pairs of tokens of which it is remembered whether they may be neighbours.
 NEIGHBOURS = 100_000
 #: Below so many heads they are read one by one.
@@ -295,16 +297,20 @@ class Transducer:
             window = self._extended(window, word[k : k + 1])
         return self._ended(window, word[-1:])
 
-    def _compile(self, state: int, byte: int) -> int:
-        """Adds the transition and returns its arc."""
-        next_state, tokens = self._step(State.of(self.states[state]), byte)
-        after = next_state.packed()
-        number = self.numbers.get(after)
+    def _number(self, packed: bytes) -> int:
+        """The number of a state, a new one if it hasn't any."""
+        number = self.numbers.get(packed)
         if number is None:
-            number = self.numbers[after] = len(self.states)
-            self.states.append(after)
+            number = self.numbers[packed] = len(self.states)
+            self.states.append(packed)
             if 8 * len(self.states) > len(self.pages):
                 self.pages = np.concatenate([self.pages, np.zeros_like(self.pages)])
+        return number
+
+    def _compile(self, state: int, byte: int) -> int:
+        """Adds the transition and returns its arc."""
+        next_state, tokens = self._step(State.of(self.states[state]), byte)
+        number = self._number(next_state.packed())
         page = int(self.pages[8 * state + (byte >> 5)])
         if not page:
             page = self.pages[8 * state + (byte >> 5)] = self.n_pages
@@ -373,10 +379,12 @@ class Transducer:
         lanes = -(-n // CHUNK)
         padded = np.full(lanes * CHUNK, END, np.uint8)
         padded[:n] = data
-        out, after = self._read_chunks(padded, lanes)
         resets = _RESETS[padded].reshape(lanes, CHUNK)
         reset = resets.any(1)
         head = np.where(reset, resets.argmax(1) + 1, CHUNK)  # bytes up to the first that ends every word
+        # heads are read later, from the states before them: here they are white space, which makes no states
+        own = np.where(np.arange(CHUNK) < np.where(reset, head - 1, CHUNK)[:, None], np.uint8(0x20), padded.reshape(lanes, CHUNK))
+        out, after = self._read_chunks(own, lanes)
         starts = np.arange(lanes, dtype=np.int64) * CHUNK
         # maps: the state that a prefix of the chunks ends in and the byte from which it is still to be read
         before, origin = prefix_scan(np.concatenate([[entry], np.where(reset, after, -1)]), np.concatenate([[0], np.where(reset, starts + CHUNK, starts)]))
@@ -416,14 +424,20 @@ class Transducer:
 
     def _read_parts(self, first: int, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
-        state, k = 0, 0
-        for at in range(0, len(data), CHUNK * LANES):
-            if len(self.states) > STATES and not state:
+        state, k, at = 0, 0, 0
+        while at < len(data):
+            if len(self.states) > STATES:
+                current = self.states[state]
                 self.forget()
-            out, state = self.run(data[at : at + CHUNK * LANES], state)
+                state = self._number(current)
+            part = data[at : at + CHUNK * LANES]
+            if SPARSE * np.count_nonzero(_RESETS[part]) < len(part):
+                part = part[:LONG]
+            out, state = self.run(part, state)
             last = int(np.searchsorted(ends, at + len(out), "left"))  # of the text that the part ends in
             yield first + k, np.minimum(ends[k : last + 1] - at, len(out)), out
-            k = last + (last < len(ends) and ends[last] == at + len(out))
+            at += len(out)
+            k = last + (last < len(ends) and ends[last] == at)
 
     def counts(self, outputs: np.ndarray) -> np.ndarray:
         """How many tokens each output has."""

@@ -263,3 +263,19 @@ def test_long_texts_come_in_pieces(monkeypatch):
     parts = language_id._features(texts), quality_classifier.pooled(texts, vectors)
     assert np.allclose(parts[1][[0, 1, 4]], whole[1][[0, 1, 4]]) and np.abs(parts[1] - whole[1])[2].max() < 0.05
     assert [a[1].sum() for a in parts[0]][:2] == [a[1].sum() for a in whole[0]][:2]
+
+
+def test_states_are_bounded_inside_a_text_without_white_space(monkeypatch):
+    monkeypatch.setattr(transducer, "STATES", 2_000)
+    monkeypatch.setattr(transducer, "LONG", 1_024)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzéß'", k=30_000)), "plain words", "".join(rng.choices("abcxyz", k=9_000))]
+    own, got, most = transducer.Transducer(path), [[] for _ in texts], 0
+    for first, ends, outputs in own.read(texts):
+        most = max(most, len(own.states))
+        for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            got[first + k] += own.tokens(outputs[a:b]).tolist()
+    library = Tokenizer.from_file(path)
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert most <= 2_000 + 2 * 1_024
