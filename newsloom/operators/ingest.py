@@ -26,9 +26,8 @@ def drop_stale(items: DataFrame, as_of: Column, max_age_days: int = 30) -> DataF
 
 
 def dedup_by_url(items: DataFrame, known: DataFrame | None = None, arrival: str = "id") -> DataFrame:
-    """The first item of each url in arrival order, without those whose url is among ``known``."""
-    first = items.groupBy("url").agg(F.min(arrival).alias("_first"))
-    out = items.join(first, "url").where(F.col(arrival) == F.col("_first")).drop("_first").select(*items.columns)
+    """The first item of each url in arrival order, without those whose url is among ``known``. Each task hands on one item a url."""
+    out = items.groupBy("url").agg(F.min_by(F.struct(*[F.col(c) for c in items.columns]), arrival).alias("_r")).select("_r.*")
     return out if known is None else out.join(known.select("url"), "url", "left_anti").select(*items.columns)
 
 

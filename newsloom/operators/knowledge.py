@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import content_key, slugify, tag_slugs
 from newsloom.operators import graph as G
 from newsloom.operators.tables import upsert
 
+#: Notes that a concept's note lists.
+SOURCES = 500
+
 
 def build_atoms(candidates: DataFrame, aliases: DataFrame, concepts: DataFrame, owners: DataFrame) -> DataFrame:
     """Note rows (id, note_type, slug, title, category, tags, wikilinks, created_at) of candidate articles; links are resolved concepts, sorted, each once."""
@@ -24,8 +27,10 @@ def build_atoms(candidates: DataFrame, aliases: DataFrame, concepts: DataFrame,
 
 
 def electron_view(concepts: DataFrame, mentions: DataFrame, notes: DataFrame) -> DataFrame:
-    """(slug, sources, related, months, definition_key): what a concept's note shows; the key changes with its name or the notes that mention it."""
-    sources = mentions.join(notes.select(F.col("id").alias("note_id"), F.col("slug").alias("source")), "note_id").groupBy(F.col("concept_slug").alias("slug")).agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    """(slug, sources, related, months, definition_key): what a concept's note shows, of its notes the newest ``SOURCES``; the key changes with its name or those notes."""
+    newest = Window.partitionBy("concept_slug").orderBy(F.desc("_made"), F.desc("note_id"))
+    named = mentions.select("concept_slug", "note_id").distinct().join(notes.select(F.col("id").alias("note_id"), F.col("slug").alias("source"), F.col("created_at").alias("_made")), "note_id")
+    sources = named.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= SOURCES).groupBy(F.col("concept_slug").alias("slug")).agg(F.array_sort(F.collect_set("source")).alias("sources"))
     related = G.co_occurring(mentions).groupBy("slug").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("n"), "related"))), lambda x: x["related"]).alias("related"))
     months = G.mentions_by_month(mentions).groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("month", "n"))).alias("months"))
     return concepts.select("slug").join(sources, "slug").join(related, "slug", "left").join(months, "slug", "left").withColumn("definition_key", content_key(F.col("slug"), F.col("sources")))

@@ -36,7 +36,7 @@ def cluster_themes(mentions: DataFrame, stored: DataFrame) -> DataFrame:
         hits = members.join(m, F.col("b") == F.col("concept_slug")).groupBy("a", "note_id").agg(F.collect_set("b").alias("named")).where(F.size("named") >= 2)
         kept = hits.select("a", F.explode("named").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
         concepts = kept.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "b"))), lambda x: x["b"]).alias("concepts")).where(F.size("concepts") >= LEAST_CONCEPTS)
-        notes = hits.groupBy("a").agg(F.count("*").alias("notes"), F.array_sort(F.collect_list("note_id")).alias("note_ids")).where(F.col("notes") >= LEAST_NOTES)
+        notes = hits.groupBy("a").agg(F.count("*").alias("notes")).where(F.col("notes") >= LEAST_NOTES)
         first = free.join(concepts, F.col("concept_slug") == F.col("a")).drop("a").join(notes, F.col("concept_slug") == F.col("a")).orderBy("rank").select("rank", "concepts", "notes", F.lit(number).alias("number")).first()
         if first is None:
             break

@@ -1,5 +1,6 @@
 """Concept graph, notes, themes and digests over the domain views."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import slugify
@@ -207,9 +208,12 @@ def notes_on_day(n):
     return n.groupBy(F.to_date("created_at").alias("day"), "note_type").agg(F.count("*").alias("n"))
 
 
-@query("daily_notes", "f_notes", sql="SELECT CAST(created_at AS DATE) AS day, array_to_string(list(slug ORDER BY slug), ',') AS slugs FROM f_notes GROUP BY ALL")
+@query("daily_notes", "f_notes", sql="SELECT CAST(created_at AS DATE) AS day, array_to_string(list(slug ORDER BY slug), ',') AS slugs FROM (SELECT *, row_number() OVER (PARTITION BY CAST(created_at AS DATE) ORDER BY created_at, id) AS k FROM f_notes) WHERE k <= 200 GROUP BY ALL")
 def daily_notes(n):
-    return n.groupBy(F.to_date("created_at").alias("day")).agg(F.array_join(F.array_sort(F.collect_list("slug")), ",").alias("slugs"))
+    """The first 200 notes of each day."""
+    at = Window.partitionBy("day").orderBy("created_at", "id")
+    first = n.withColumn("day", F.to_date("created_at")).withColumn("k", F.row_number().over(at)).where(F.col("k") <= 200)
+    return first.groupBy("day").agg(F.array_join(F.array_sort(F.collect_list("slug")), ",").alias("slugs"))
 
 
 @query("tag_taxonomy", "f_notes", sql="SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM f_notes) GROUP BY tag")

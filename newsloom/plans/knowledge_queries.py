@@ -35,7 +35,14 @@ def kb_build(a, n, links, c, m):
     return K.kb_build(a.where("classified"), n, m, c, _aliases(links))["concepts"].select("slug", "mentions")
 
 
-@query("electron_view", "f_concepts", "f_mentions", "f_notes", sql="SELECT m.concept_slug AS slug, array_to_string(list(DISTINCT n.slug ORDER BY n.slug), ',') AS sources, sha256(concat(m.concept_slug, chr(0), array_to_string(list(DISTINCT n.slug ORDER BY n.slug), chr(0)))) AS definition_key FROM f_mentions m JOIN f_notes n ON n.id = m.note_id GROUP BY m.concept_slug")
+@query(
+    "electron_view",
+    "f_concepts",
+    "f_mentions",
+    "f_notes",
+    sql="""WITH x AS (SELECT m.concept_slug, n.slug, row_number() OVER (PARTITION BY m.concept_slug ORDER BY n.created_at DESC, n.id DESC) AS k FROM (SELECT DISTINCT concept_slug, note_id FROM f_mentions) m JOIN f_notes n ON n.id = m.note_id)
+SELECT concept_slug AS slug, array_to_string(list(DISTINCT slug ORDER BY slug), ',') AS sources, sha256(concat(concept_slug, chr(0), array_to_string(list(DISTINCT slug ORDER BY slug), chr(0)))) AS definition_key FROM x WHERE k <= 500 GROUP BY concept_slug""",
+)
 def electron_view(c, m, n):
     return K.electron_view(c, m, n).select("slug", F.array_join("sources", ",").alias("sources"), "definition_key")
 

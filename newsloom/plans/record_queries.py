@@ -1,5 +1,6 @@
 """Changes to kept tables and rendered documents, over the domain views."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import display_name
@@ -101,17 +102,24 @@ def refresh_atoms(a, s):
     return K.refresh_atoms(D.render_atoms(own), old)
 
 
-_ELECTRON = rf"""WITH src AS (SELECT m.concept_slug AS slug, count(*) AS n, array_to_string(list(concat('- [[', n.slug, ']] — ', n.title, chr(10)) ORDER BY n.slug), '') AS t FROM (SELECT DISTINCT concept_slug, note_id FROM f_mentions) m JOIN f_notes n ON n.id = m.note_id GROUP BY 1),
+_ELECTRON = rf"""WITH src AS (SELECT x.concept_slug AS slug, count(*) AS n, array_to_string(list(concat('- [[', x.slug, ']] — ', x.title, chr(10)) ORDER BY x.slug, x.title), '') AS t FROM (SELECT m.concept_slug, n.slug, n.title, row_number() OVER (PARTITION BY m.concept_slug ORDER BY n.created_at DESC, n.id DESC) AS k FROM (SELECT DISTINCT concept_slug, note_id FROM f_mentions) m JOIN f_notes n ON n.id = m.note_id) x WHERE k <= 500 GROUP BY 1),
 mo AS (SELECT concept_slug AS slug, strftime(created_at, '%Y-%m') AS month, count(*) AS n FROM f_mentions GROUP BY ALL), tl AS (SELECT slug, array_to_string(list(concat('- ', month, ' · ', n, ' mention(s)  ', repeat('▁', least(n, 20)), chr(10)) ORDER BY month), '') AS t FROM mo GROUP BY 1)
 SELECT slug, concat('---', chr(10), 'type: electron', chr(10), 'created: "2024-01-27 00:00"', chr(10), 'status: active', chr(10), 'tags:', chr(10), '  - ai', chr(10), '  - concept', chr(10), '---', chr(10), chr(10), '# ', slug, chr(10), chr(10), '## Definition', chr(10),
   'A recurring idea in the feed, named in ', src.n, ' note(s).', chr(10), chr(10), '## When it comes up', chr(10), tl.t, chr(10), '## Sources', chr(10), src.t, chr(10)) AS document FROM src JOIN tl USING (slug)"""
 
 
+def _sources_of(m, n, most=500):
+    """The newest notes of each concept, by slug."""
+    source = n.select(F.col("id").alias("note_id"), F.struct("slug", "title").alias("s"), "created_at")
+    newest = Window.partitionBy("concept_slug").orderBy(F.desc("created_at"), F.desc("note_id"))
+    named = m.select("concept_slug", "note_id").distinct().join(source, "note_id").withColumn("k", F.row_number().over(newest)).where(F.col("k") <= most)
+    return named.groupBy(F.col("concept_slug").alias("slug")).agg(F.array_sort(F.collect_list("s")).alias("sources"))
+
+
 @query("render_electrons", "f_mentions", "f_notes", sql=_ELECTRON)
 def render_electrons(m, n):
     """Without names, definitions and related concepts, whose rules have queries of their own."""
-    source = n.select(F.col("id").alias("note_id"), F.struct("slug", "title").alias("s"))
-    sources = m.select("concept_slug", "note_id").distinct().join(source, "note_id").groupBy(F.col("concept_slug").alias("slug")).agg(F.array_sort(F.collect_list("s")).alias("sources"))
+    sources = _sources_of(m, n)
     months = G.mentions_by_month(m).groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("month", "n"))).alias("months"))
     views = sources.join(months, "slug").withColumns({"name": F.col("slug"), "definition": F.lit(None).cast("string"), "related": F.array().cast("array<struct<slug:string,name:string,shared:bigint>>")})
     return D.render_electrons(views, now())
@@ -120,8 +128,7 @@ def render_electrons(m, n):
 @query("electron_documents", "f_mentions", "f_notes")
 def electron_documents(m, n):
     """With display names and the concepts that each comes up with."""
-    source = n.select(F.col("id").alias("note_id"), F.struct("slug", "title").alias("s"))
-    sources = m.select("concept_slug", "note_id").distinct().join(source, "note_id").groupBy(F.col("concept_slug").alias("slug")).agg(F.array_sort(F.collect_list("s")).alias("sources"))
+    sources = _sources_of(m, n)
     months = G.mentions_by_month(m).groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("month", "n"))).alias("months"))
     shared = F.struct((-F.col("shared")).alias("o"), F.col("related").alias("slug"), display_name(F.col("related")).alias("name"), "shared")
     related = G.co_occurring(m).groupBy("slug").agg(F.array_sort(F.collect_list(shared)).alias("related"))

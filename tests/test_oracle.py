@@ -9,7 +9,7 @@ from newsloom.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = "normalize_url title_similarity simhash story_pairs assign_stories story_coverage source_health list_by_group replay_events decide classify signals concept_pairs graph_neighbors index_by_category hybrid_search stream_health upsert_articles".split()
+CHECKED = "normalize_url title_similarity simhash story_pairs assign_stories story_coverage source_health list_by_group replay_events decide classify signals concept_pairs graph_neighbors index_by_category hybrid_search stream_health upsert_articles add_to_index reconcile_documents merged_notes merge_plan classify_plan model_classify embed_missing ingest_pages index_document daily_documents electron_view dedup_by_url".split()
 
 
 @pytest.mark.parametrize("name", CHECKED)
