@@ -5,7 +5,8 @@ outside the page's content containers. A line has a weight: 0 if its element, cl
 or most of it is links, else 1. The weighted lengths of every ``WINDOW`` lines in a row are summed. Text begins where
 that curve leaves zero and surges to the threshold (``SHARE`` of its peak, at most ``SURGE``), and ends where it dives
 back to zero; what is between, but for boilerplate lines, is the article. A stretch that never surges is
-not, wherever it stands; elements only give weights and gaps.
+not, unless it is a list, table, quotation or the like in the very container of text that does: beside it in a container of its
+own, or between two such stretches. Elements only give weights and gaps.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 BOILERPLATE = frozenset("nav footer aside form button select option dialog menu head object canvas audio video fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar alert alertdialog dialog form status".split())
 SECTIONS = frozenset("article main section div header table ul ol dl body td blockquote figure details".split())
+#: Sections that belong to the text around them, and elements that a class name alone doesn't make boilerplate inside of content.
+WITHIN = frozenset("table ul ol dl td blockquote figure details".split())
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote figure figcaption table tbody thead tr td th li dt dd".split()) | INLINE
 #: Words of class names and ids that mark what isn't the article.
 _HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|comments?|commentlist|respond|replies|disqus|cookies?\w*|consent|gdpr|notice|alert"
@@ -49,12 +53,17 @@ _SIBLINGS = {"li": ("li",), "p": ("p",), "tr": ("tr", "td", "th"), "td": ("td",
 
 @dataclass
 class Line:
-    """A block's text, its characters in links, whether it is boilerplate, and whether it is in a content container."""
+    """A block's text, its characters in links, whether it is boilerplate, whether it is in a content container, and the number of its own container."""
 
     text: str
     links: int
     boilerplate: bool
     inside: bool
+    home: int
+
+    @property
+    def linked(self) -> bool:
+        return self.links > LINK_SHARE * len(self.text)
 
 
 @dataclass
@@ -63,12 +72,15 @@ class _Element:
     boilerplate: bool
     inside: bool
     link: bool
+    home: int = 0
 
 
 @dataclass
 class _Reader:
-    """Turns tags and text into lines; line None is a blank one."""
+    """Turns tags and text into lines; line None is a blank one. ``named``: whether class names count that may also name content."""
 
+    named: bool = True
+    homes: int = 0
     lines: list[Line | None] = field(default_factory=list)
     open: list[_Element] = field(default_factory=lambda: [_Element("", False, False, False)])
     parts: list[str] = field(default_factory=list)
@@ -89,7 +101,7 @@ class _Reader:
                 last = self.lines[-1] if self.lines else None
                 # boilerplate inside of content is one line, however many it has
                 if not (top.boilerplate and top.inside and last is not None and last.boilerplate and last.inside):
-                    self.lines.append(Line(text, self.links, top.boilerplate, top.inside))
+                    self.lines.append(Line(text, self.links, top.boilerplate, top.inside, top.home))
             self.parts, self.links = [], 0
 
     def blank(self) -> None:
@@ -113,13 +125,17 @@ class _Reader:
                 self.flush()
             return
         top = self.open[-1]
-        boilerplate = top.boilerplate or self._is_boilerplate(name, attributes, top.inside)
+        boilerplate = top.boilerplate or self._is_boilerplate(name, attributes, top.inside, self.named)
         if name not in INLINE or boilerplate != top.boilerplate:
             self.flush()
         inside = top.inside or not boilerplate and (name in ("article", "main") or name in SECTIONS and self._is_content(attributes))
         if not top.inside and (name in SECTIONS or boilerplate != top.boilerplate):
             self.blank()
-        self.open.append(_Element(name, boilerplate, inside, top.link or name == "a"))
+        home = top.home
+        if name in SECTIONS and name not in WITHIN and name != "body" or boilerplate != top.boilerplate:
+            self.homes += 1
+            home = self.homes
+        self.open.append(_Element(name, boilerplate, inside, top.link or name == "a", home))
 
     def end(self, name: str) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -143,7 +159,7 @@ class _Reader:
         return bool(attributes) and any(key.lower() in ("class", "id") and _CONTENT_HINT.search("".join(values)) for key, *values in _ATTRIBUTE.findall(attributes))
 
     @staticmethod
-    def _is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
+    def _is_boilerplate(name: str, attributes: str, inside: bool, named: bool) -> bool:
         if name in BOILERPLATE or name == "header" and not inside:
             return True
         if not attributes or name in ("html", "body", "main"):
@@ -152,14 +168,16 @@ class _Reader:
             key, value = key.lower(), "".join(values)
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in BOILERPLATE_ROLES:
                 return True
-            if key in ("class", "id") and _HINT.search(value) and (_STRONG_HINT.search(value) or not _CONTENT_HINT.search(value)):
-                return True
+            if key in ("class", "id") and _HINT.search(value):
+                weak = named and not (inside and name in TEXTUAL) and not _CONTENT_HINT.search(value)
+                if weak or _STRONG_HINT.search(value):
+                    return True
         return False
 
 
-def page_lines(page: str) -> list[Line | None]:
+def page_lines(page: str, named: bool = True) -> list[Line | None]:
     """Lines of a page in order, with blank ones (None) for what was taken out."""
-    reader, at, end = _Reader(), 0, len(page)
+    reader, at, end = _Reader(named), 0, len(page)
     while at < end:
         found = _TOKEN.search(page, at)
         if found is None:
@@ -187,7 +205,7 @@ def page_lines(page: str) -> list[Line | None]:
 
 def curve(lines: list[Line | None]) -> np.ndarray:
     """The sum of weighted lengths over ``WINDOW`` lines from each line on."""
-    own = np.array([0 if x is None or x.boilerplate or x.links > LINK_SHARE * len(x.text) else len(x.text) for x in lines] + [0] * (WINDOW - 1))
+    own = np.array([0 if x is None or x.boilerplate or x.linked else len(x.text) for x in lines] + [0] * (WINDOW - 1))
     if not own.any():  # links only
         own = np.array([0 if x is None or x.boilerplate else len(x.text) for x in lines] + [0] * (WINDOW - 1))
     return np.convolve(own, np.ones(WINDOW, int))[WINDOW - 1 : WINDOW - 1 + len(lines)]
@@ -203,10 +221,34 @@ def segments(sums: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(starts, dives, strict=True) if sums[a:b].max() >= surge]
 
 
+def _kept(lines: list[Line | None], sums: np.ndarray) -> list[str]:
+    """Texts of the stretches that surge, and of what belongs to them."""
+    found = segments(sums)
+    surging = np.zeros(len(lines), bool)
+    for a, b in found:
+        surging[a:b] = True
+    homes = {x.home for a, b in found for x in lines[a:b] if x is not None and not x.boilerplate and not x.linked}
+    first, last = (found[0][0], found[-1][1]) if found else (0, 0)
+    out = []
+    for i, x in enumerate(lines):
+        # the root, number 0, has more than the article in it
+        if x is not None and not x.boilerplate and (surging[i] or not x.linked and x.home in homes and (x.home or first < i < last)):
+            out.append(x.text)
+    return out
+
+
 def main_text(page: str | None) -> str:
-    """The article of a page; null, blank or without text: empty."""
+    """The article of a page; null, blank or without text: empty.
+
+    If nothing is left and the class names alone hide a stretch that surges to ``SURGE``, they don't count.
+    """
     lines = page_lines(page or "")
-    kept = [x.text for a, b in segments(curve(lines)) for x in lines[a:b] if x is not None and not x.boilerplate]
+    kept = _kept(lines, curve(lines))
+    if not kept and any(x is not None for x in lines):
+        lines = page_lines(page or "", named=False)
+        sums = curve(lines)
+        if sums.max(initial=0) >= SURGE:
+            kept = _kept(lines, sums)
     return " ".join(kept)
 
 

@@ -279,3 +279,30 @@ def test_states_are_bounded_inside_a_text_without_white_space(monkeypatch):
     library = Tokenizer.from_file(path)
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert most <= 2_000 + 2 * 1_024
+
+
+LONG_TEXT = "<p>" + "long words here " * 30 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page, short",
+    [
+        (f"<body>{LONG_TEXT}<ul><li>short item</li></ul>{LONG_TEXT}</body>", "short item"),
+        (f"<body>{LONG_TEXT}<blockquote>quoted</blockquote>{LONG_TEXT}</body>", "quoted"),
+        (f"<body>{LONG_TEXT}<table><tr><td>a cell</td></tr></table>{LONG_TEXT}</body>", "a cell"),
+        (f"<body><div>{LONG_TEXT}<ul><li>last item</li></ul></div><div><p>foot</p></div></body>", "last item"),
+        (f"<body><article><h2 class='side'>Head</h2>{LONG_TEXT}</article></body>", "Head"),
+        (f"<body><article>{LONG_TEXT}<figure class='widget-img'><figcaption>caption</figcaption></figure></article></body>", "caption"),
+    ],
+)
+def test_short_parts_of_an_article_stay(page, short):
+    text = main_text(page)
+    assert short in text and "foot" not in text and text.count("long") == 30 * page.count(LONG_TEXT)
+
+
+def test_what_hides_the_whole_page_does_not_count():
+    assert main_text(f"<body><div class='related-work'>{LONG_TEXT}</div></body>").count("long") == 30
+    assert main_text("<body><div class='sidebar'><p>only a little</p></div></body>") == ""
+    assert main_text(f"<body><div class='comments'>{LONG_TEXT}</div></body>") == ""
+    links = "".join(f"<li><a href='/{i}'>entry {i}</a></li>" for i in range(9))
+    assert main_text(f"<body><ul>{links}</ul>{LONG_TEXT}<ul>{links}</ul></body>").startswith("long") and "entry" not in main_text(f"<body><ul>{links}</ul>{LONG_TEXT}<ul>{links}</ul></body>")
