@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import canon_key, concept_name, concept_slugs, display_name, slugify, strip_brackets
+from newsloom.functions.text import canon_key, concept_name, concept_slugs, display_name, note_day, slugify, strip_brackets
 from newsloom.operators import documents as D
 from newsloom.operators import graph as G
 from newsloom.operators.articles import kb_candidates
@@ -180,18 +180,73 @@ def repair_names(vault: Vault) -> tuple[Vault, DataFrame]:
 def write_themes(vault: Vault, as_of: Column, days: int = THEME_DAYS) -> tuple[Vault, DataFrame]:
     """A molecule for each theme of the notes of the last ``days``; a theme keeps its note while its seed does, and molecules known are tried first."""
     recent = stored(G.mentions_since(vault.mentions, vault.notes, as_of, days))
-    known = vault.notes.where("note_type = 'molecule'").orderBy("id").limit(1000).select(F.expr("substring(slug, 7)").alias("slug"), F.row_number().over(Window.orderBy("id")).alias("pos"))
+    known = vault.notes.where("note_type = 'molecule' AND startswith(slug, 'theme-')").orderBy("id").limit(1000).select(F.expr("substring(slug, 7)").alias("slug"), F.row_number().over(Window.orderBy("id")).alias("pos"))
     themes = cluster_themes(recent, known)
     created = vault.notes.where("note_type = 'molecule'").select(F.expr("substring(slug, 7)").alias("slug"), F.col("created_at").alias("_created"))
     views = theme_views(themes, recent, vault.notes).join(created, "slug", "left").withColumn("created", F.coalesce("_created", as_of)).drop("_created")
-    views = stored(views)
+    return _write_molecules(vault, stored(views).withColumn("slug", F.concat(F.lit("theme-"), "slug")), as_of)
+
+
+def _write_molecules(vault: Vault, views: DataFrame, as_of: Column) -> tuple[Vault, DataFrame]:
     head = F.to_json(F.struct(_text_array("synthesis", "ai", "theme").alias("tags"), F.lit("molecule").alias("type")))
     rows = views.select("slug", F.lit("molecule").alias("note_type"), "title", F.lit("").alias("category"), _text_array("synthesis", "ai", "theme").alias("tags"), F.concat(F.transform("concepts", lambda c: c["slug"]), F.transform("notes", lambda n: n["slug"])).alias("wikilinks"), head.alias("frontmatter"))
-    rendered = rows.join(D.render_molecules(views).withColumnRenamed("document", "content"), "slug").withColumn("slug", F.concat(F.lit("theme-"), "slug"))
+    rendered = rows.join(D.render_molecules(views).withColumnRenamed("document", "content"), "slug")
     notes, written = write_notes(vault.notes, rendered, as_of)
     return replace(vault, notes=notes), written
 
 
+def cited_concepts(vault: Vault, as_of: Column) -> DataFrame:
+    """New mentions (concept_slug, note_id, created_at, name) that the reader's notes make of concepts that there are."""
+    known = vault.concepts.withColumn("canon_key", canon_key(F.col("slug")))
+    cited = G.user_note_mentions(vault.notes.where("note_type = 'user'"), known, vault.aliases).join(vault.mentions, ["concept_slug", "note_id"], "left_anti")
+    return stored(cited.select("concept_slug", "note_id", as_of.alias("created_at"), F.lit(None).cast("string").alias("name")))
+
+
+def synthesize(vault: Vault, categories: DataFrame, as_of: Column, *, newest: int = 100, listed: int = 20, top: int = 6) -> tuple[Vault, DataFrame]:
+    """A molecule for each of ``categories`` (category): the dated story of its atoms, and the concepts that they name most.
+
+    Of a category the ``newest`` atoms are looked at; the ``listed`` latest of them by the day they are about, then id, are told in order. Concepts count
+    once a note, links that are no concepts don't. A category without atoms gives nothing; a slug that another note owns stays with it.
+    """
+    at = Window.partitionBy("category").orderBy(F.desc("created_at"), F.desc("id"))
+    atoms = vault.notes.where("note_type = 'atom'").join(categories.select("category").distinct(), "category", "left_semi")
+    atoms = stored(atoms.withColumn("_n", F.row_number().over(at)).where(F.col("_n") <= newest).select("category", "id", "slug", "title", "wikilinks", note_day(F.col("content"), F.col("created_at")).alias("day")))
+    latest = Window.partitionBy("category").orderBy(F.desc("day"), F.desc("id"))
+    told = atoms.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= listed)
+    notes = told.groupBy("category").agg(F.array_sort(F.collect_list(F.struct(D.note_day(F.col("day")).alias("day"), "id", "slug", "title"))).alias("notes"))
+    links = atoms.select("category", "id", F.explode(F.array_distinct("wikilinks")).alias("slug"))
+    known = vault.concepts.withColumn("canon_key", canon_key(F.col("slug")))
+    named = links.join(G.resolve_concepts(links.select("slug"), vault.aliases, known), "slug").select("category", "id", "concept").distinct()
+    counted = named.join(vault.concepts.select(F.col("slug").alias("concept"), "name", F.col("mentions").alias("total")), "concept").groupBy("category", "concept", "name", "total").agg(F.count("*").alias("here"))
+    best = Window.partitionBy("category").orderBy(F.desc("here"), "concept")
+    ranked = counted.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= top)
+    concepts = ranked.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("concept").alias("slug"), "name", F.col("here").alias("notes"), "total"))).alias("concepts"))
+    slug = F.concat(F.lit("sintesis-"), slugify(F.col("category")))
+    made = vault.notes.where("note_type = 'molecule'").select("slug", F.col("created_at").alias("_created"))
+    views = notes.join(concepts, "category", "left").select(slug.alias("slug"), F.concat(F.lit("Síntesis de "), "category").alias("title"), F.lit(None).cast("string").alias("summary"), "notes", F.coalesce("concepts", F.array().cast(concepts.schema["concepts"].dataType)).alias("concepts"))
+    views = stored(views.join(made, "slug", "left").withColumn("created", F.coalesce("_created", as_of)).drop("_created"))
+    return _write_molecules(vault, views, as_of)
+
+
+def preview(vault: Vault, articles: DataFrame, own: DataFrame, as_of: Column, *, least_importance: int = 2, days: int = 30, limit: int | None = 200, promote_at: int = PROMOTE_AT) -> dict[str, DataFrame]:
+    """What a run of ``build`` would do to ``vault``, which stays as it is: atoms (slug, title, category, concepts), concepts without a note (slug,
+    name, mentions, after, promoting), themes (slug, new), and counts (what, n) of stale atoms and of the reader's new and edited notes."""
+    after, imported = import_notes(vault, own, as_of)
+    noted = vault.ledger.where("ref_type = 'article'").select(F.col("ref_id").cast("long").alias("id"))
+    candidates = stored(kb_candidates(articles, noted, as_of, least_importance, days, limit))
+    after, new, written = add_atoms(after, candidates, as_of)
+    after, stale = refresh_atoms(after, articles, as_of)
+    after = record_mentions(after, new)
+    after = record_mentions(after, cited_concepts(after, as_of))
+    before = vault.concepts.select("slug", F.col("mentions").alias("_m"))
+    concepts = after.concepts.where("note_id IS NULL").join(before, "slug", "left").select("slug", "name", F.coalesce("_m", F.lit(0)).alias("mentions"), F.col("mentions").alias("after"), (F.col("mentions") >= promote_at).alias("promoting"))
+    _, themes = write_themes(after, as_of)
+    atoms = after.notes.join(written.select("slug"), "slug", "left_semi").select("slug", "title", "category", F.col("wikilinks").alias("concepts"))
+    n = lambda rows, outcome, name: rows.agg(F.lit(name).alias("what"), F.count_if(F.col("outcome") == outcome).alias("n"))
+    counts = n(stale, "updated", "stale_atoms").unionByName(n(imported, "created", "notes_new")).unionByName(n(imported, "updated", "notes_edited"))
+    return {"atoms": atoms, "concepts": concepts, "themes": themes.select("slug", (F.col("outcome") == "created").alias("new")), "counts": counts}
+
+
 def build(vault: Vault, articles: DataFrame, own: DataFrame, as_of: Column, *, least_importance: int = 2, days: int = 30, limit: int | None = 200, promote_at: int = PROMOTE_AT) -> tuple[Vault, DataFrame]:
     """(vault, counts) after a run over articles (with story_id, source_name, entities, updated_at and, if it is known, ``coverage``) and the reader's own notes.
 
@@ -203,11 +258,8 @@ def build(vault: Vault, articles: DataFrame, own: DataFrame, as_of: Column, *, l
     candidates = stored(kb_candidates(articles, noted, as_of, least_importance, days, limit))
     vault, new, atoms = add_atoms(vault, candidates, as_of)
     vault, refreshed = refresh_atoms(vault, articles, as_of)
-    users = vault.notes.where("note_type = 'user'")
     vault = record_mentions(vault, new)
-    known = vault.concepts.withColumn("canon_key", canon_key(F.col("slug")))
-    cited = G.user_note_mentions(users, known, vault.aliases).join(vault.mentions, ["concept_slug", "note_id"], "left_anti")
-    cited = stored(cited.select("concept_slug", "note_id", as_of.alias("created_at"), F.lit(None).cast("string").alias("name")))
+    cited = cited_concepts(vault, as_of)
     vault = record_mentions(vault, cited)
     vault, renamed = repair_names(vault)
     touched = new.select(F.col("concept_slug").alias("slug")).unionByName(cited.select(F.col("concept_slug").alias("slug"))).unionByName(renamed)

@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from newsloom.operators.build import Vault, build, daily_documents, dangling_document, due_concepts, index_document, write_electrons
+from newsloom.operators.build import Vault, build, daily_documents, dangling_document, due_concepts, index_document, preview, synthesize, write_electrons
 
 DAY = dt.datetime(2024, 1, 20)
 ARTICLE = "id long, title string, summary string, content_md string, category string, importance int, tags array<string>, entities array<struct<name:string,type:string>>, published timestamp_ntz, fetched_at timestamp_ntz, updated_at timestamp_ntz, source_name string, url string, classified boolean, status string, story_id long"
@@ -70,6 +70,17 @@ def test_build_takes_what_changed(spark):
     assert "better" in notes["mamba-2"]["content"] and notes["another-mamba"]["updated_at"] == DAY + dt.timedelta(days=3) and "lone" not in notes
     assert notes["mamba"]["created_at"] == DAY + dt.timedelta(days=1) and "[[fresh]]" in notes["mamba"]["content"]
 
+    # what a run would do, and the story of a category
+    coming = preview(third, rows(spark, [*data, article(7, "Lone wolf", ["lone", "other"])]), own, at(4))
+    assert {r["slug"]: (r["mentions"], r["after"], r["promoting"]) for r in coming["concepts"].collect()} == {"lone": (1, 2, True), "other": (0, 1, False)}
+    assert [(r["slug"], r["concepts"]) for r in coming["atoms"].collect()] == [("lone-wolf", ["lone", "other"])] and {r["what"]: r["n"] for r in coming["counts"].collect()} == {"stale_atoms": 0, "notes_new": 0, "notes_edited": 0}
+    told, written = synthesize(third, spark.createDataFrame([("models",), ("nothing",)], "category string"), at(5))
+    assert [(r["slug"], r["outcome"]) for r in written.collect()] == [("sintesis-models", "created")]
+    story = told.notes.where("slug = 'sintesis-models'").first()["content"]
+    assert "# 🧪 Síntesis de models" in story and "- 2024-01-20 · [[mamba-2]] — Mamba\n" in story and "- [[mamba]] — Mamba · 3 note(s) here, 3 in all" in story
+    again, written = synthesize(told, spark.createDataFrame([("models",)], "category string"), at(6))
+    assert [r["outcome"] for r in written.collect()] == ["fresh"]
+
     # a reader asks for a note before a concept has earned it
     wanted = due_concepts(third, spark.createDataFrame([], "slug string"), explicit=spark.createDataFrame([("lone",), ("none",)], "slug string"))
     fourth, written = write_electrons(third, wanted, at(4))
