@@ -36,8 +36,10 @@ import regex
 
 from newsloom.llm.common import held
 
-#: Bytes of a chunk, chunks that are read in step, and states that are kept before all but the current one are given up.
-CHUNK, LANES, STATES = 512, 2048, 200_000
+#: Bytes of a chunk, and chunks that are read in step.
+CHUNK, LANES = 512, 2048
+#: States that are kept before all are given up: between words, and inside one, where the current one stays.
+STATES, MOST = 200_000, 400_000
 #: A part with under one end of a word in ``SPARSE`` bytes is cut to ``LONG`` bytes, each of which may make a state of its own.
 LONG, SPARSE = 1 << 17, 64
 #: Pairs of tokens of which it is remembered whether they may be neighbours.
@@ -426,7 +428,7 @@ class Transducer:
         data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
         state, k, at = 0, 0, 0
         while at < len(data):
-            if len(self.states) > STATES:
+            if len(self.states) > (MOST if state else STATES):
                 current = self.states[state]
                 self.forget()
                 state = self._number(current)

@@ -266,7 +266,7 @@ def test_long_texts_come_in_pieces(monkeypatch):
 
 
 def test_states_are_bounded_inside_a_text_without_white_space(monkeypatch):
-    monkeypatch.setattr(transducer, "STATES", 2_000)
+    monkeypatch.setattr(transducer, "MOST", 2_000)
     monkeypatch.setattr(transducer, "LONG", 1_024)
     path = public_tokenizers.path("word_bpe_49k.json")
     rng = random.Random(4)
