@@ -43,6 +43,24 @@ def test_note_names_equal_asking_in_order(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_every_article_of_a_frequent_title_has_its_own_name(spark, seed):
+    """More than 50 of a title, names of other titles in their way, and names that are taken before."""
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["note"] * 20 + ["note-7", "note-7-2", "note-7-2-3", "note-60", "note-61", "note-02", "b", "b-2", "b-3", "x-2"])) for i in rng.sample(range(1000), 250)]
+    owned = {"note-3", "note-4", "note-5", "note-70", "b", "note-60-2", "x"}
+    taken, want = set(owned), {}
+    for i, base in sorted(rows):
+        k = 1
+        while (name := base if k == 1 else f"{base}-{k}") in taken:
+            k += 1
+        want[i] = name
+        taken.add(name)
+    df = spark.createDataFrame(rows, "id long, slug string").repartition(4)
+    got = {r["id"]: r["note_slug"] for r in G.allocate_note_slugs(df, spark.createDataFrame([(o,) for o in owned], "slug string")).collect()}
+    assert got == want and len(set(got.values())) == len(rows)
+
+
 def test_chains_of_merges_end_and_circles_are_refused(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("p", "q"), ("q", "r"), ("r", "p"), ("in", "p"), ("s", "s"), ("m", "old"), ("t", "v"), ("t", "u"), (None, "x")]
     older = [("old", "new"), ("new", "newest"), ("a", "elsewhere"), ("v", "t2")]
