@@ -43,6 +43,14 @@ def test_five_outlets_tell_one_story(spark):
     assert (row["story_size"], row["outlets"], row["sources"]) == (5, 5, "s1,s2,s3,s4,s5")
 
 
+def test_story_pairs_are_compared_where_they_meet(spark):
+    """No pair is shuffled to be made unique; a similarity of just the least counts, also where its product isn't exact (40 * 0.55)."""
+    both, own = [f"both{c}" for c in "abcdefghijklmnopqrstuv"], [f"own{c}" for c in "abcdefghijklmnopqr"]
+    pairs = I.story_pairs(articles(spark, [" ".join(both), " ".join(both + own), "nothing like any other headline here"]))
+    assert [(r["later"], r["earlier"], r["score"]) for r in pairs.collect()] == [(2, 1, 0.55)]
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_story_pairs_equal_brute_force_with_repeats(spark):
     base = ["alpha beta gamma delta epsilon", "alpha beta gamma delta zeta", "alpha beta gamma delta epsilon", "eta theta iota kappa 5.1", "eta theta iota kappa 5.2", ""]
     pairs = {(r["later"], r["earlier"]) for r in I.story_pairs(articles(spark, base)).collect()}
