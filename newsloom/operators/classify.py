@@ -12,7 +12,7 @@ from newsloom.functions.text import dedupe_tags, sanitize_category
 from newsloom.operators.articles import newest_first
 from newsloom.operators.learn import adjustment_for
 from newsloom.operators.rules import apply_rules, coverage_floor, decide, default_importance, rule_effect, settle_importance
-from newsloom.operators.tables import checkpointed
+from newsloom.operators.tables import checkpointed, stored
 from newsloom.sources.readers import parse_model_json
 
 BATCH, SAMPLE = 20, 5
@@ -72,7 +72,7 @@ def classify(
     ``by_coverage`` and ``rule_archive`` say what else happened.
     """
     queue = queue if ids is None else queue.join(ids.select("id").distinct(), "id", "left_semi")
-    decided = checkpointed(_decided(queue, rules, coverage))
+    decided = stored(_decided(queue, rules, coverage))
     rest, failures = decided.where("to_model"), None
     by_rules = apply_rules(decided).withColumn("by", F.lit("rules")).withColumns({"adjusted": F.lit(False), "boosted": F.lit(False)})
     if rules_only:
@@ -87,7 +87,7 @@ def classify(
     if rules_only:
         rest = rest.withColumns({"adjusted": F.lit(False), "boosted": F.lit(False)})
     else:
-        rest = checkpointed(rest)
+        rest = stored(rest)
         delta = rest.withColumn("delta", F.lit(0)) if learned is None else rest.join(adjustment_for(rest, learned, max_delta), "id", "left")
         rest = delta.withColumn("_s", settle_importance(F.col("importance"), F.coalesce("delta", F.lit(0)), F.col("floor"))).drop("delta", "importance").select("*", "_s.*").drop("_s")
     return by_rules.unionByName(rest), failures

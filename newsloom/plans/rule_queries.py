@@ -221,7 +221,10 @@ def _reply(some):
 
 
 def _run(a, e, s, r, **options):
-    return K.classify(options.pop("queue", _sized(a).where("NOT classified")), R.valid_rules(r)[0], _signals(a, e, s), **options)
+    """A run over the queue; where no model reads bodies they aren't carried along."""
+    queue = options.pop("queue", _sized(a).where("NOT classified"))
+    queue = queue if "complete" in options else queue.drop("content_md")
+    return K.classify(queue, R.valid_rules(r)[0], _signals(a, e, s), **options)
 
 
 @query("classify", *_LEARN, "f_rules", sql=_RUN + 'SELECT id, "by", importance, adjusted, boosted FROM done WHERE NOT classified')
