@@ -58,6 +58,16 @@ def test_text_index_of_batches_equals_a_rebuild(spark, tmp_path):
     assert X.phrase_frequencies(X.read_index(spark, f"{path}/none", 8), asked).count() == 0
 
 
+def test_postings_are_shuffled_in_groups_and_come_out_single(spark):
+    docs = [(k, i, "a b a", "b" if i % 2 else None) for k in ("article", "note") for i in range(600)]
+    grouped = X.grouped_postings(spark.createDataFrame(docs, "kind string, id long, title string, content string").coalesce(1), ["title", "content"])
+    assert {(r["term"], r["kind"], r["column"], len(r["ids"])) for r in grouped.where("first < 256 and size(ids) < 256").collect()} <= {(t, k, c, n) for t in "ab" for k in ("article", "note") for c in (0, 1) for n in (44, 88)}
+    assert grouped.count() < 20 and grouped.where("size(ids) > 256").count() == 0
+    want = {(k, i, 0, t, p) for k, i, _, _ in docs for t, p in (("a", (0, 2)), ("b", (1,)))} | {(k, i, 1, "b", (0,)) for k, i, _, c in docs if c}
+    got = [(*r[:4], tuple(r["places"])) for r in X.single(grouped).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def _serial_stories(rows, batches, days):
     """One article after the other, against those of its batch and those of earlier batches within the window."""
     stop = set(TITLE_STOPWORDS)
