@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.simhash import article_simhash
 from newsloom.functions.text import TITLE_STOPWORDS
 from newsloom.operators import text_index as X
+from newsloom.operators.tables import in_blocks
 from newsloom.streaming.stories import read_stories, story_batch
 
 DAY = dt.datetime(2024, 1, 20)
@@ -68,6 +69,17 @@ def test_postings_are_shuffled_in_groups_and_come_out_single(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_pairs_of_a_frequent_key_meet_once_in_small_cells(spark):
+    rows = spark.createDataFrame([("often", i) for i in range(100)] + [("seldom", i) for i in range(3)], "w string, a long")
+    x, y, on = in_blocks(rows, rows.where("a < 60").withColumnRenamed("a", "b"), "w", "a", "b", most=10)
+    met = x.join(y, on).select("a", "b", *on).collect()
+    assert sorted((r["w"], r["a"], r["b"]) for r in met) == sorted([("often", a, b) for a in range(100) for b in range(60)] + [("seldom", a, b) for a in range(3) for b in range(3)])
+    cells = {}
+    for r in met:
+        cells.setdefault(tuple(r[c] for c in on), []).append(r)
+    assert len(cells) == 61 and max(map(len, cells.values())) < 600
+
+
 def _serial_stories(rows, batches, days):
     """One article after the other, against those of its batch and those of earlier batches within the window."""
     stop = set(TITLE_STOPWORDS)
