@@ -104,3 +104,17 @@ def test_themes_become_molecules_and_keep_their_note(spark):
     assert {r["what"]: r["n"] for r in counts.collect()} == {"notes_imported": 0, "atoms_created": 1, "concepts_tracked": 2, "atoms_refreshed": 0, "electrons_created": 0, "electrons_updated": 2, "molecules_created": 0, "molecules_updated": 1}
     after = more.notes.where("note_type = 'molecule'").collect()
     assert [r["id"] for r in after] == [note["id"]] and "[[report-9]]" in after[0]["content"]
+
+
+def test_steps_without_input_write_no_tables(spark, monkeypatch):
+    """Nor do the reader's notes that are as they were: most of a run's seconds are tables that are written, however small."""
+    import newsloom.operators.build as B
+
+    written, stored = [], B.stored
+    monkeypatch.setattr(B, "stored", lambda df: written.append(1) or stored(df))
+    own = spark.createDataFrame([("mine", "Mine", "see [[gpt]]", ["t"], ["gpt"])], OWN)
+    vault, _ = build(empty(spark), rows(spark, [article(1, "Mamba", ["gpt"])]), own, at(1))
+    first = len(written)
+    again, counts = build(vault, rows(spark, [article(1, "Mamba", ["gpt"])]), own, at(2))
+    assert {r["n"] for r in counts.collect()} == {0}
+    assert again.notes is vault.notes and again.ledger is vault.ledger and len(written) - first <= 12
