@@ -51,6 +51,14 @@ def test_story_pairs_are_compared_where_they_meet(spark):
     assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_stories_compare_headlines_once(spark):
+    """Parents by title are used twice: what they come from, tokens and pairs, is not in the plan of either use."""
+    parents = I.story_parents(articles(spark, ["alpha beta gamma delta epsilon", "alpha beta gamma delta zeta", "alpha beta gamma delta epsilon"]))
+    plan = parents._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "regexp_extract_all" not in plan
+    assert {(r["id"], r["parent"], r["by"]) for r in parents.collect()} == {(2, 1, "title"), (3, 1, "title")}
+
+
 def test_story_pairs_equal_brute_force_with_repeats(spark):
     base = ["alpha beta gamma delta epsilon", "alpha beta gamma delta zeta", "alpha beta gamma delta epsilon", "eta theta iota kappa 5.1", "eta theta iota kappa 5.2", ""]
     pairs = {(r["later"], r["earlier"]) for r in I.story_pairs(articles(spark, base)).collect()}
