@@ -132,3 +132,20 @@ def test_stories_of_a_stream_equal_the_serial_order(spark, tmp_path):
     story_batch(str(tmp_path), 30)(spark.createDataFrame([], schema), 4)
     story_batch(str(tmp_path), 30)(spark.createDataFrame([(500, rows[2][1], "late", rows[2][3] + dt.timedelta(days=400))], schema), 5)
     assert {r["id"]: r["story_id"] for r in read_stories(spark, str(tmp_path)).collect()}[500] == 0
+
+
+def test_headlines_of_a_stream_are_compared_as_numbers_that_words_keep(spark, tmp_path):
+    schema = "id long, title string, content_md string, fetched_at timestamp_ntz"
+    titles = ["robots open chips markets", "robots open chips alpha", "nova5 robots open beta", "nova5 robots open beta gamma"]
+    before = {}
+    for number, title in enumerate(titles):
+        for _ in range(1 + (number == 2)):  # a batch that runs again numbers its words as before
+            story_batch(str(tmp_path), 30)(spark.createDataFrame([(number + 1, title, f"{'abcd'[number] * 5} " * 40, DAY)], schema), number)
+            words = {r["w"]: r["i"] for r in spark.read.parquet(f"{tmp_path}/words").collect()}
+        assert before.items() <= words.items() and len(set(words.values())) == len(words) and set(words) >= set(title.split())
+        assert all(words[w] < min(before.values(), default=1) for w in words.keys() - before.keys())
+        before = words
+    kept = spark.read.parquet(f"{tmp_path}/prefixes")
+    assert dict(kept.dtypes)["r"] == dict(kept.dtypes)["v"] == "array<int>"
+    assert {tuple(r["v"]) for r in kept.where("batch = 3").collect()} == {(words["nova5"],)}
+    assert {r["id"]: r["story_id"] for r in read_stories(spark, str(tmp_path)).collect()} == {1: 0, 2: 0, 3: 3, 4: 3}
