@@ -149,3 +149,37 @@ def test_headlines_of_a_stream_are_compared_as_numbers_that_words_keep(spark, tm
     assert dict(kept.dtypes)["r"] == dict(kept.dtypes)["v"] == "array<int>"
     assert {tuple(r["v"]) for r in kept.where("batch = 3").collect()} == {(words["nova5"],)}
     assert {r["id"]: r["story_id"] for r in read_stories(spark, str(tmp_path)).collect()} == {1: 0, 2: 0, 3: 3, 4: 3}
+
+
+def test_an_index_keeps_groups_of_each_task_without_a_shuffle_and_compacts_them_as_groups(spark, tmp_path):
+    docs = spark.createDataFrame([("article" if i % 2 else "note", i, "often", f"own{i} often") for i in range(1200)], "kind string, id long, title string, content string")
+    path = str(tmp_path)
+    X.add_to_index(f"{path}/many", docs.repartition(3), ["title", "content"])
+    often = spark.read.parquet(f"{path}/many/postings").where("term = 'often'")
+    # a row has 256 documents of a kind, column and slice of a task at most, and each task writes its own file
+    assert often.count() <= 3 * 2 * 2 * X.SLICES and often.select(F.input_file_name()).distinct().count() == 3
+    X.add_to_index(f"{path}/many", docs.where("id % 3 = 0").withColumn("content", F.lit("later")), ["title", "content"], 1, docs.where("id % 5 = 4"))
+    many = X.read_index(spark, f"{path}/many")
+    X.compact_index(many, f"{path}/one")
+    one = spark.read.parquet(f"{path}/one/postings")
+    assert one.where("term = 'often'").count() <= (3 + 4) * 2 * 2 * X.SLICES
+    left = [(r["term"], r["column"], r["id"]) for r in X.single(one).collect()]
+    want = [("often", 0, i) for i in range(1200) if i % 3 == 0 or i % 5 != 4] + [("later", 1, i) for i in range(0, 1200, 3)]
+    want += [(t, 1, i) for i in range(1200) if i % 3 and i % 5 != 4 for t in ("often", f"own{i}")]
+    # what is removed in a batch that also has it is there
+    assert sorted(left) == sorted(want)
+
+
+def test_phrases_in_blocks_are_found_as_at_once_and_postings_shuffled_once(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    docs = [("note", i, " ".join(rng.choices("a b c d", k=30)), None) for i in range(60)]
+    X.add_to_index(str(tmp_path), spark.createDataFrame(docs, "kind string, id long, title string, content string").repartition(2), ["title", "content"], buckets=4)
+    phrases = [tuple(rng.choices("abcde", k=n)) for n in (1, 2, 2, 3, 3, 4, 5) for _ in range(9)] + [("a", "a", "a")]
+    asked = spark.createDataFrame([(list(t),) for t in {*phrases}], "t array<string>")
+    index, want = X.read_index(spark, str(tmp_path), 4), {(t, i): n for t in {*phrases} for (_, i), n in _phrases(docs, 2, t).items()}
+    found = X.phrase_frequencies(index, asked)
+    assert {(tuple(r["t"]), r["id"]): r["tf"] for r in found.collect()} == want and len(want) > 500
+    # no phrase is joined to postings of one of its words, which would make a row for each phrase of a word
+    assert "explode(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(X, "PHRASES", 10)
+    assert {(tuple(r["t"]), r["id"]): r["tf"] for r in X.phrase_frequencies(index, asked).collect()} == want
