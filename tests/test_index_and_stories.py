@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.simhash import article_simhash
 from newsloom.functions.text import TITLE_STOPWORDS
 from newsloom.operators import text_index as X
+from newsloom.operators.search import fused_top
 from newsloom.operators.tables import in_blocks
 from newsloom.streaming.stories import read_stories, story_batch
 
@@ -183,3 +184,23 @@ def test_phrases_in_blocks_are_found_as_at_once_and_postings_shuffled_once(spark
     assert "explode(" not in found._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(X, "PHRASES", 10)
     assert {(tuple(r["t"]), r["id"]): r["tf"] for r in X.phrase_frequencies(index, asked).collect()} == want
+
+
+def test_fused_top_asks_for_keywords_and_vectors_once(spark):
+    rows, asked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(n):
+        def run(frames):
+            for f in frames:
+                n.add(len(f))
+                yield f
+
+        return run
+
+    keywords = spark.createDataFrame([(0, "note", 3, 1), (0, "article", 1, 2), (1, "article", 2, 1)], "qid long, kind string, id long, pos int").mapInPandas(counted(rows), "qid long, kind string, id long, pos int")
+    queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, None)], "qid long, vector array<double>").mapInPandas(counted(asked), "qid long, vector array<double>")
+    vectors = spark.createDataFrame([("article", 1, [1.0, 0.0]), ("article", 2, [0.9, 0.1]), ("note", 3, [0.0, 1.0])], "kind string, id long, embedding array<double>")
+    got = {(r["qid"], r["kind"], r["id"]): round(r["score"], 9) for r in fused_top(keywords, vectors, queries, 2).collect()}
+    both = lambda *places: round(sum(1 / (60 + p) for p in places), 9)
+    assert got == {(0, "article", 1): both(2, 1), (0, "note", 3): both(1, 3), (1, "article", 2): both(1)}
+    assert rows.value == 3 and asked.value == 2
